@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import mixing, oracles, secret_scan, url_filters
+from orrery.llm import fingerprints, mixing, near_dup, oracles, secret_scan, url_filters
 from orrery.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.filter_urls(pages, url_filters.HOST_RULES + url_filters.SPAM_GLOBS).drop("url")
@@ -26,6 +34,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
+    "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE_SQL = oracles.SQL
