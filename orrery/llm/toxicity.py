@@ -93,62 +93,81 @@ def voters(mined: list[str], repeated: list[str]) -> list[tuple[str, int]]:
 
 
 class LabelModel:
-    """P(toxic) and the rates of the joint votes of each block, given the class."""
+    """A mixture of kinds of clean and of toxic documents; in each kind, the joint votes of each block have rates.
 
-    def __init__(self, prior: float, voters: int):
-        self.prior, self.voters, self.blocks = prior, voters, [(i,) for i in range(voters)]
+    Kinds within a side take up that, say, texts of one language share their lexicons.
+    """
+
+    SIDES = np.array([0, 0, 1, 1, 1, 1])
+
+    def __init__(self, voters: int):
+        self.voters, self.blocks = voters, [(i,) for i in range(voters)]
 
     def _codes(self, votes: np.ndarray) -> list[np.ndarray]:
         return [sum(votes[:, v].astype(int) << k for k, v in enumerate(b)) for b in self.blocks]
 
     def _expect(self, codes: list[np.ndarray]) -> np.ndarray:
-        odds = np.log(self.prior) - np.log1p(-self.prior) + sum(np.log(t[1][c]) - np.log(t[0][c]) for t, c in zip(self.tables, codes, strict=True))
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        """Log of the joint density of each pattern and kind."""
+        return np.log(self.priors) + sum(np.log(t[:, c]).T for t, c in zip(self.tables, codes, strict=True))
+
+    @staticmethod
+    def _shares(logs: np.ndarray) -> np.ndarray:
+        e = np.exp(logs - logs.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
 
-    def _em(self, votes: np.ndarray, counts: np.ndarray, known: np.ndarray, post: np.ndarray, rounds: int) -> np.ndarray:
-        codes = self._codes(votes)
+    def _em(self, votes: np.ndarray, counts: np.ndarray, known: np.ndarray, shares: np.ndarray, rounds: int) -> np.ndarray:
+        codes, side = self._codes(votes), [self.SIDES == y for y in (0, 1)]
         for _ in range(rounds):
-            w = np.stack([counts * (1 - post), counts * post]) + known
-            self.prior = float(np.clip(w[1].sum() / w.sum(), 1e-4, 0.5))
+            w = counts[:, None] * shares
+            for y in (0, 1):
+                within = shares * side[y] + 1e-12 * side[y]
+                w += known[y][:, None] * within / within.sum(1, keepdims=True)
+            self.priors = (w.sum(0) + 1e-3) / (w.sum() + 1e-3 * len(self.SIDES))
             self.tables = []
             for b, c in zip(self.blocks, codes, strict=True):
-                t = np.stack([np.bincount(c, w[y], 1 << len(b)) for y in (0, 1)]) + 0.5 / (1 << len(b))
+                t = np.stack([np.bincount(c, x, 1 << len(b)) for x in w.T]) + 0.5 / (1 << len(b))
                 self.tables.append(t / t.sum(1, keepdims=True))
-            new = self._expect(codes)
-            if np.abs(new - post).max() < 1e-6:
+            new = self._shares(self._expect(codes))
+            if np.abs(new - shares).max() < 1e-6:
                 break
-            post = new
+            shares = new
         return new
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 200) -> LabelModel:
         """votes: distinct patterns of 0 and 1; counts: documents of each; known: clean and toxic ones of each, by label.
 
-        Known documents weigh as much as all together, so that the mixture's toxic part is the labels' one.
+        Known documents weigh as much as all together, so that the mixture's toxic kinds are the labels'.
         """
+        rate = min(0.5, max(0.01, known[1].sum() / max(known.sum(), 1.0)))
         known = known * (counts.sum() / max(known.sum(), 1.0))
-        start = np.where(votes.any(1), 0.9, 0.01 * self.prior)
-        post = self._em(votes, counts, known, start, rounds)
+        first = np.where(votes.any(1), votes.argmax(1), -1)
+        shares = np.full((len(votes), len(self.SIDES)), 1e-3)
+        for y in (0, 1):
+            kinds = np.flatnonzero(self.SIDES == y)
+            shares[np.arange(len(votes)), kinds[np.maximum(first, 0) * len(kinds) // self.voters]] = np.where(first < 0, 0.01 * rate, 0.7)[:] if y else np.where(first < 0, 1.0, 0.3)
+        shares /= shares.sum(1, keepdims=True)
+        shares = self._em(votes, counts, known, shares, rounds)
         joined: dict[int, list[int]] = {i: [i] for i in range(self.voters)}
         residual = []
-        for y in (1 - post, post):
-            w = counts * y
-            mean = (w @ votes) / max(w.sum(), 1e-9)
-            cov = ((votes - mean) * w[:, None]).T @ (votes - mean) / max(w.sum(), 1e-9)
+        for x in (counts[:, None] * shares).T:
+            total = max(x.sum(), 1e-9)
+            mean = (x @ votes) / total
+            cov = ((votes - mean) * x[:, None]).T @ (votes - mean) / total
             sd = np.sqrt(np.clip(np.diag(cov), 1e-6, None))
-            residual.append(np.abs(cov / sd / sd[:, None]) * (w.sum() > 20))
+            residual.append(np.abs(cov / sd / sd[:, None]) * (total > 20))
         self.correlations = np.max(residual, 0)
-        pairs = sorted(((-self.correlations[i, j], i, j) for i in range(self.voters) for j in range(i)), key=lambda x: x)
+        pairs = sorted((-self.correlations[i, j], i, j) for i in range(self.voters) for j in range(i))
         for c, i, j in pairs:
             if -c >= DEPENDENT and joined[i] is not joined[j] and len(joined[i]) + len(joined[j]) <= BLOCK:
                 joined[i] += joined[j]
                 for k in joined[j]:
                     joined[k] = joined[i]
         self.blocks = sorted({tuple(sorted(b)) for b in joined.values()})
-        self._em(votes, counts, known, post, rounds)
+        self._em(votes, counts, known, shares, rounds)
         return self
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return self._expect(self._codes(votes))
+        return self._shares(self._expect(self._codes(votes)))[:, self.SIDES == 1].sum(1)
 
 
 def score(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
@@ -180,19 +199,20 @@ def score(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     if table.any():
         counts = np.array([r["n"] for r in seen], float)
         known_votes = np.array([told.get(r["p"], (0, 0)) for r in seen], float).T
-        model = LabelModel(prior, len(patterns)).fit(table, counts, known_votes)
+        model = LabelModel(len(patterns)).fit(table, counts, known_votes)
         teach = dict(zip((r["p"] for r in seen), model.posterior(table).tolist(), strict=True))
         spark = df.sparkSession
         taught = spark.createDataFrame(list(teach.items()), "p string, post double")
         total = float(counts.sum())
         u = F.pmod(F.xxhash64("doc_id", "words"), F.lit(1 << 30)) / float(1 << 30)
         sample = votes.filter(u < min(1.0, MAX_TAUGHT / total)).withColumn("p", pattern).join(F.broadcast(taught), "p")
-        features = [f"f{i}" for i in range(len(names))] + ["hits", "density"]
+        made = _features(names, [least for _, least in patterns])
+        features = [f"f{i}" for i in range(len(made))]
         sides = sample.withColumn("y", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("w", F.when(F.col("y") == 1, F.col("post")).otherwise(1 - F.col("post")))
-        sides = stored(sides.select("y", "w", *[c.alias(f) for f, c in zip(features, _features(names), strict=True)]), "taught")
+        sides = stored(sides.select("y", "w", *[c.alias(f) for f, c in zip(features, made, strict=True)]), "taught")
         if not sides.isEmpty():
             intercept, weights = logistic_columns(sides, features, label="y", weight="w", l1=0.0, l2=1e-4)
-            score_ = logistic(intercept, list(zip(weights, _features(names), strict=True)))
+            score_ = logistic(intercept, list(zip(weights, made, strict=True)))
         else:
             score_ = F.lit(prior)
     else:
@@ -201,7 +221,8 @@ def score(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
-def _features(names: list[str]) -> list[Column]:
-    """Of the classifier: each voter's hits and all hits, damped, and hits per word."""
+def _features(names: list[str], least: list[int]) -> list[Column]:
+    """Of the classifier: each voter's vote and hits, damped, and all hits, damped and per word."""
     hits = sum((F.col(v) for v in names[1:]), F.col(names[0])).cast("double")
-    return [F.log1p(F.col(v).cast("double")) for v in names] + [F.log1p(hits), hits / F.greatest(F.col("words"), F.lit(1))]
+    votes = [(F.col(v) >= k).cast("double") for v, k in zip(names, least, strict=True)]
+    return votes + [F.log1p(F.col(v).cast("double")) for v in names] + [F.log1p(hits), hits / F.greatest(F.col("words"), F.lit(1))]
