@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import fingerprints, mixing, near_dup, oracles, quality_rules, secret_scan, sentence_pieces, token_counts, toxicity, url_filters
+from orrery.llm import bm25_search, fingerprints, mixing, near_dup, oracles, quality_rules, secret_scan, sentence_pieces, token_counts, toxicity, url_filters
 from orrery.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_sentence_pieces": op7_sentence_pieces,
+    "op8_bm25_search": op8_bm25_search,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filters": op10_url_filters,
 }
