@@ -2,14 +2,15 @@
 
 1. A document's set: the hashes of its distinct word shingles. Equal sets are one class, named by a 128-bit digest;
    only classes go on, so exact copies cost nothing more.
-2. Inverted lists: each class posts its LISTED smallest hashes. Values that one class alone holds go, then classes
-   that keep too few values to be alike to any other (a linked pair shares at least 10 of 32 but for a chance
-   of about 1e-10; small sets are their own sketch, and the bound is exact).
+2. Inverted lists: each class posts its LISTED smallest hashes. A linked pair shares at least 12 of 32, but for a
+   chance below MISS at the threshold of 80 % (small sets are their own sketch; there the bound is exact). So in the order of
+   the lists' lengths it also shares one outside the 11 longest lists of either, and those postings go.
 3. Overlaps in the lists give candidate pairs. Only connectivity is asked for, so a list first proposes its members
    against one pivot; a list whose members have come together in one component is done. Lists of up to SMALL
    members then propose all pairs across components; longer ones propose a second pivot. What is left are long
-   lists with several components; there, only classes that draw enough of their values from such lists can still
-   have unseen links, and these are paired across components. No list is capped or dropped.
+   lists with several components, of texts that share passages. Their classes post their full sets, each without
+   its longest lists as before, which leaves the rarest fifth; those lists propose all pairs across components.
+   No list is capped or dropped.
 4. Each pair passes the union-sketch estimate, then the exact Jaccard test on full sets.
 5. Components by alternating large-star and small-star steps; nothing is collected to the driver.
 """
@@ -17,6 +18,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orrery.llm.common import stored
 
 LISTED = 32  # values of a class that enter the inverted lists
 SKETCH = 64  # values for the union-sketch estimate
-LEAST_SHARED = 10  # of LISTED values, by a linked pair
+MISS = 1e-7  # chance that a linked pair at the threshold shares fewer of LISTED values than asked for
 SMALL = 32  # members of a list that are paired outright
 SLACK = 0.3  # the estimate may fall so far below the threshold: over six standard errors at SKETCH values
 SLICE = 2_000_000  # bytes of text taken together in a task
@@ -87,7 +90,7 @@ def _sketcher(n: int, full: bool):
                 sets = list(shingle_sets(part.column("text"), n))
                 ids = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 if full:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "members"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_id", "members"])
                 else:
                     sizes = pa.array([len(s) for s in sets], pa.int64())
                     least = pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64()))
@@ -100,8 +103,8 @@ def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = (c.values.to_numpy().view(np.uint64) for c in (x, y))
                 union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
                 near = np.isin(union, a[:SKETCH], assume_unique=True) & np.isin(union, b[:SKETCH], assume_unique=True)
                 likely = near.sum() >= (percent / 100 - SLACK) * len(union)
@@ -114,7 +117,21 @@ def _verifier(percent: int):
 
 def _needed(n: Column, percent: int) -> Column:
     """Values of a class's posted sketch that a link needs to share with its partner's, at least."""
-    return F.least(F.lit(LEAST_SHARED), F.ceil(n * percent / 100))
+    p, low, k = percent / 100, 0.0, 0
+    while low + (now := math.comb(LISTED, k) * p**k * (1 - p) ** (LISTED - k)) <= MISS:
+        low, k = low + now, k + 1
+    return F.when(n * 100 <= LISTED * percent, F.ceil(n * percent / 100)).otherwise(F.lit(max(1, k)))
+
+
+def _rarest(posted: DataFrame, needed: Column) -> DataFrame:
+    """posted (v, set_id, n, ...) without values that one class alone holds, and without each class's longest lists.
+
+    Whoever shares `needed` values shares one that is not among the needed - 1 longest lists of either class. nth is
+    a value's place from the longest list on, so it also says how many values of the class are not rarer.
+    """
+    shared = posted.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
+    nth = F.row_number().over(Window.partitionBy("set_id").orderBy(F.col("m").desc(), "v"))
+    return posted.join(shared, "v").withColumn("nth", nth).filter(F.col("nth") >= needed).drop("m")
 
 
 def _comparable(a: Column, b: Column, percent: int) -> Column:
@@ -147,36 +164,45 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between classes that connect whatever links connect. lists: v (value), set_id, n."""
-    pivot = lambda x, pick: x.groupBy("v").agg(pick(F.struct("set_id", "n")).alias("p"), F.count("*").alias("m"))
+def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between classes that connect whatever links connect. lists: v (value), set_id, n, nth; sketches: set_id, least."""
 
-    def star(x: DataFrame, pick) -> DataFrame:
-        out = x.join(pivot(x, pick).filter("m > 1"), "v").filter(F.col("set_id") != F.col("p.set_id"))
+    def star(x: DataFrame, rank: Column) -> DataFrame:
+        """Each member of a list and its pivot, the first by rank."""
+        p = x.groupBy("v").agg(F.min(F.struct(rank.alias("rank"), "set_id", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
+        out = x.join(p, "v").filter(F.col("set_id") != F.col("p.set_id"))
         return out.filter(_comparable(F.col("n"), F.col("p.n"), percent)).select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v"))
 
     def unsettled(x: DataFrame, labels: DataFrame) -> DataFrame:
-        x = x.join(labels, x["set_id"] == labels["node"], "left").select("v", "set_id", "n", F.coalesce("component", "set_id").alias("c"))
+        x = x.join(labels, x["set_id"] == labels["node"], "left").select("v", "set_id", "n", "nth", F.coalesce("component", "set_id").alias("c"))
         lists = x.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("v", "m")
         return stored(x.join(lists, "v"), "lists")
 
-    def across(x: DataFrame) -> DataFrame:
+    def across(x: DataFrame, alike) -> DataFrame:
+        """Pairs of different components that share a value; each once, at the rarest value they share."""
+        own = x.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("nth", "v")), asc=False)["v"].alias("own"))
+        x = stored(x.join(own, "set_id"), "postings")
         a, b = x.alias("a"), x.alias("b")
         on = (F.col("a.v") == F.col("b.v")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.c") != F.col("b.c")) & _comparable(F.col("a.n"), F.col("b.n"), percent)
+        on = on & alike & (F.array_intersect("a.own", "b.own")[0] == F.col("a.v"))
         return a.join(b, on).select(F.col("a.set_id").alias("u"), F.col("b.set_id").alias("v"))
 
-    links = _verified(star(lists, F.min), sets, percent)
+    links = _verified(star(lists, F.col("set_id")), sets, percent)
     rest = unsettled(lists, components(links))
     long = rest.filter(F.col("m") > SMALL)
-    pairs = across(rest.filter(F.col("m") <= SMALL)).unionByName(star(long, F.max))
+    shared = F.size(F.array_intersect("a.least", "b.least")) >= F.least(_needed(F.col("a.n"), percent), _needed(F.col("b.n"), percent))
+    pairs = across(rest.filter(F.col("m") <= SMALL).join(sketches, "set_id"), shared).unionByName(star(long, F.xxhash64("set_id")))
     links = stored(links.unionByName(_verified(pairs, sets, percent)), "links")
     if long.isEmpty():
         return links
-    last = unsettled(long.select("v", "set_id", "n"), components(links))
-    # links that share a value of a short list have been seen: the others share long lists only
-    able = last.groupBy("set_id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= _needed(F.col("n"), percent)).select("set_id")
-    last = stored(last.join(able, "set_id", "left_semi"), "lists")
-    return links if last.isEmpty() else links.unionByName(_verified(across(last), sets, percent))
+    left = unsettled(long.select("v", "set_id", "n", "nth"), components(links)).select("set_id", "n").distinct()
+    whole = stored(left.join(sets, "set_id").select("set_id", "n", F.explode("members").alias("v")), "whole")
+    last = stored(_rarest(whole, F.ceil(F.col("n") * percent / 100)), "lists")
+    links = stored(links.unionByName(_verified(star(last, F.xxhash64("set_id", "v")), sets, percent)), "links")
+    last = unsettled(last, components(links))
+    # of both classes, the values that are not rarer than the rarest shared one bound the overlap
+    enough = F.least("a.nth", "b.nth") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    return links if last.isEmpty() else links.unionByName(_verified(across(last, enough), sets, percent))
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -197,15 +223,14 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # a set of up to 3 (at 80 %: of less than 4) members has no other set that is alike enough
     classes = rows.filter(F.col("n_shingles") * (100 - percent) >= percent).groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("least").alias("least"))
     posted = classes.select("set_id", "row_key", "n", F.explode("least").alias("v"))
-    shared = posted.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1").select("v")
-    posted = stored(posted.join(shared, "v"), "postings")
-    able = posted.groupBy("set_id", "n").agg(F.count("*").alias("k"), F.min("row_key").alias("row_key")).filter(F.col("k") >= _needed(F.col("n"), percent))
-    able = stored(able.select("set_id", "row_key"), "candidates")
-    lists = stored(posted.join(able.select("set_id"), "set_id", "left_semi").select("v", "set_id", "n"), "lists")
+    lists = stored(_rarest(posted, _needed(F.col("n"), percent)), "lists")
+    able = stored(lists.select("set_id", "row_key").distinct(), "candidates")
+    lists = lists.select("v", "set_id", "n", "nth")
+    sketches = stored(classes.join(able.select("set_id"), "set_id", "left_semi").select("set_id", "least"), "sketches")
     texts = docs.select("row_key", "text").join(able.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
-    sets = stored(texts.select("text").mapInArrow(_sketcher(words, True), "set_id binary, members binary"), "sets")
+    sets = stored(texts.select("text").mapInArrow(_sketcher(words, True), "set_id binary, members array<bigint>"), "sets")
 
-    labels = components(_links(lists, sets, percent))
+    labels = components(_links(lists, sketches, sets, percent))
     of_class = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
     of_class = of_class.join(labels, of_class["set_id"] == labels["node"], "left").select("set_id", "least_id", "component")
     joined = of_class.filter("component IS NOT NULL")
