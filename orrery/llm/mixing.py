@@ -65,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
     return s.select("source", "source_size", "n_docs", "mean_quality", "target", "epochs", "rest")
 
 
-def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), cap: int = 2, seed: str = "mix", rows_per_bucket: int = 10_000) -> DataFrame:
+def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: dict[str, Column] | None = None, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), cap: int = 2, seed: str = "mix", rows_per_bucket: int = 10_000) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of df, and the columns of `carry`.
 
     taken counts words: the epochs of its source times the size, plus what the fractional selection takes; the
@@ -75,8 +75,8 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
     rows that are equal in all columns gives the words doesn't change the result. An empty table gives no rows.
     Other columns of df aren't read. Reruns agree: the keys depend on ids, texts and `seed` only.
     """
-    size = n_words(F.col(text))
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.col(text).alias("text"), *[F.col(c).alias(f"__{c}") for c in carry])
+    carry, size = carry or {}, n_words(F.col(text))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.col(text).alias("text"), *[c.alias(f"__{k}") for k, c in carry.items()])
     docs = docs.withColumn("quality", quality_weight(F.col("text"), F.col("size")))
     docs = docs.withColumn("key", -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / F.col("quality")).drop("text")
     docs = stored(docs, "mixing")
@@ -92,4 +92,17 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
     run = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("before") + F.sum("size").over(run) - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"__{c}").alias(c) for c in carry])
+    return d.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"__{k}").alias(k) for k in carry])
+
+
+def take(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix as rows of df: each document as often as mix() takes words of it, in whole documents, rounded up.
+
+    A source so exceeds its target by less than one document. Rows equal in id, text and source stand for one
+    another. Documents without words go.
+    """
+    key = F.xxhash64(F.col(doc_id), F.col(text), F.col(source))
+    mixed = mix(df, doc_id=doc_id, text=text, source=source, carry={"__key": key}, **how)
+    times = mixed.filter("taken > 0").groupBy("__key").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    kept = df.withColumn("__key", key).join(times, "__key").dropDuplicates(["__key"])
+    return kept.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__key", "__times", "__nth")

@@ -215,8 +215,29 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     linked with nothing. Repeated rows are all returned, and kept alike. An empty table gives no rows. Other columns
     of df aren't read.
     """
+    return _grouped(df, doc_id, text, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of df, unchanged, for each group of near_duplicates(): that of the least id.
+
+    Rows equal in id and text are one document. Of a group without ids, and of rows with one id and different
+    texts in a group, the one of the least hash stays. Texts without words are all different, but for equal rows.
+    """
+    found = _grouped(df, doc_id, text, words, percent).filter("kept")
+    least = found.filter("n_shingles > 0").groupBy("component").agg(F.min("row_key").alias("__row_key")).select("__row_key")
+    least = least.unionByName(found.filter("n_shingles = 0").select(F.col("row_key").alias("__row_key")).distinct())
+    keyed = df.withColumn("__row_key", _row_key(F.col(doc_id), F.col(text)))
+    return keyed.join(least, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
+
+
+def _row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
+def _grouped(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
     kinds = "doc_id long, row_key long, n_shingles long, set_id binary"
     rows = stored(docs.mapInArrow(_sketcher(words, False), f"{kinds}, least array<bigint>"), "sketches")
 
@@ -235,8 +256,9 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     of_class = of_class.join(labels, of_class["set_id"] == labels["node"], "left").select("set_id", "least_id", "component")
     joined = of_class.filter("component IS NOT NULL")
     of_component = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    joined = joined.join(of_component, "component").select("set_id", "component_id")
-    of_class = joined.unionByName(of_class.filter("component IS NULL").select("set_id", F.col("least_id").alias("component_id")))
-    out = rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_id").join(of_class, "set_id").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    joined = joined.join(of_component, "component").select("set_id", "component", "component_id")
+    of_class = joined.unionByName(of_class.filter("component IS NULL").select("set_id", F.col("set_id").alias("component"), F.col("least_id").alias("component_id")))
+    columns = ["doc_id", "row_key", "n_shingles", "component", "component_id"]
+    out = rows.filter("n_shingles > 0").select("doc_id", "row_key", "n_shingles", "set_id").join(of_class, "set_id").select(*columns)
+    out = out.unionByName(rows.filter("n_shingles = 0").withColumns({"component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")}).select(*columns))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

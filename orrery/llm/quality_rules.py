@@ -47,10 +47,11 @@ class Rule:
 
     conditions: tuple[tuple[str, bool, float], ...]
 
-    def column(self) -> Column:
+    def column(self, within: str = "") -> Column:
         out = F.lit(True)
         for name, above, bound in self.conditions:
-            out = out & (F.col(name) > bound if above else F.col(name) <= bound)
+            c = F.col(within + name)
+            out = out & (c > bound if above else c <= bound)
         return out.cast("double")
 
 
@@ -59,9 +60,9 @@ class Model:
     intercept: float
     weights: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
-        """Over columns named as the statistics."""
-        return logistic(self.intercept, [(w, rule.column()) for rule, w in self.weights])
+    def score(self, within: str = "") -> Column:
+        """Over columns named as the statistics, after a prefix."""
+        return logistic(self.intercept, [(w, rule.column(within)) for rule, w in self.weights])
 
 
 def tree_rules(described: str) -> set[Rule]:
@@ -109,3 +110,9 @@ def score(df: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "t
     d = df.select(F.col(doc_id).alias("doc_id"), *[c.alias(k) for k, c in statistics(F.col(text)).items()])
     d = d.select("doc_id", (fold(F.col("doc_id"), mod) == held_out).alias("held_out"), model.score().alias("score"))
     return d.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep(df: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of df, unchanged, whose score is at least the threshold; nulls and repeated rows as in score()."""
+    made = F.struct(*[c.alias(k) for k, c in statistics(F.col(text)).items()])
+    return df.withColumn("__statistics", made).filter(model.score("__statistics.") >= threshold).drop("__statistics")

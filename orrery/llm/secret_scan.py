@@ -57,12 +57,12 @@ def candidates(df: DataFrame, doc_id: str, text: str, owner: str, repository: Co
     base = F.concat(*[matches(F.col("t"), kind, pattern, group, least, k) for k, (kind, pattern, group, least) in enumerate(BASE)])
     wide = matches(F.col("t"), *WIDE, len(BASE))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), repository.alias("repository"), t.alias("t"))
-    rows = rows.select("doc_id", "owner", "repository", base.alias("base"), wide.alias("wide"))
+    rows = rows.select("doc_id", "owner", "repository", F.xxhash64("t").alias("text_key"), base.alias("base"), wide.alias("wide"))
     free = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     live = lambda w: w["value"].rlike("[0-9]") & w["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(w["value"], ""))) >= LIVE_CHARS)
-    rows = rows.select("doc_id", "owner", "repository", "base", F.filter(free, live).alias("wide"))
+    rows = rows.select("doc_id", "owner", "repository", "text_key", "base", F.filter(free, live).alias("wide"))
     hashed = lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("hash"))
-    return rows.select("doc_id", "owner", "repository", F.transform("base", hashed).alias("base"), F.transform("wide", hashed).alias("wide"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("doc_id", "owner", "repository", "text_key", F.transform("base", hashed).alias("base"), F.transform("wide", hashed).alias("wide"), F.monotonically_increasing_id().alias("row"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -80,6 +80,21 @@ def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: st
     empty string; null ids stay. Repeated rows are reported each, and count once for ownership. An empty table
     gives no rows. Columns of df beside those named aren't read. Without `repository`, owner and language name it.
     """
+    out = _judged(df, doc_id, text, owner, repository, max_owners, max_repositories)
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = _reported()
+    return out.select(
+        "doc_id", *[n(kind) for kind, *_ in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(spans).alias("spans"),
+        F.size("live").cast("long").alias("n_live"), (F.size(spans) - F.size("live")).cast("long").alias("n_example"),
+    )
+
+
+def _reported() -> Column:
+    return F.concat("base", F.filter("live", lambda s: s["kind"] == WIDE[0]))
+
+
+def _judged(df: DataFrame, doc_id: str, text: str, owner: str, repository: Column | None, max_owners: int, max_repositories: int) -> DataFrame:
+    """A row per document: base spans, and those of its candidates that are live."""
     if repository is None:
         repository = F.concat_ws("/", F.col(owner), F.col("lang") if "lang" in df.columns else F.lit(""))
     rows = stored(candidates(df, doc_id, text, owner, repository), "secrets")  # small: no texts, and row numbers stay
@@ -89,9 +104,36 @@ def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: st
     kept = each.join(live, "hash").groupBy("row").agg(F.collect_list("s").alias("live"))
     out = rows.filter(some).join(kept, "row", "left").select(*rows.columns, F.coalesce("live", F.slice("base", 1, 0)).alias("live"))
     out = out.unionByName(rows.filter(~some).withColumn("live", F.col("base")))
-    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    spans = F.concat("base", F.filter("live", lambda s: s["kind"] == WIDE[0]))
-    return out.select(
-        "doc_id", *[n(kind) for kind, *_ in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(spans).alias("spans"),
-        F.size("live").cast("long").alias("n_live"), (F.size(spans) - F.size("live")).cast("long").alias("n_example"),
-    )
+    return out
+
+
+def redact(df: DataFrame, *, text: str = "text", owner: str = "source", max_owners: int = 1, max_repositories: int = 4) -> DataFrame:
+    """df with the reported spans of its texts replaced: `[secret]` for live values, `[example]` for copied ones.
+
+    Spans that touch become one, live if one of them is. All other texts, and all other columns, stay as they are,
+    null texts too; no row goes. A column n_chars is set to the new length where a text changes.
+    """
+    any_of = "|".join(f"(?:{FAST.get(kind, pattern)})" for kind, pattern, *_ in [*BASE, WIDE])
+    suspect = F.coalesce(F.rlike(F.col(text), F.lit(any_of)), F.lit(False))
+    flagged = df.filter(suspect)
+    repository = F.concat_ws("/", F.col(owner), F.col("lang") if "lang" in df.columns else F.lit(""))
+    spans = _judged(flagged, text, text, owner, repository, max_owners, max_repositories).drop("doc_id")
+    live = F.transform("live", lambda s: F.concat_ws(":", s["kind"], s["start"]))
+    marked = F.transform(_reported(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_contains(live, F.concat_ws(":", s["kind"], s["start"])).alias("live")))
+    spans = spans.groupBy("text_key").agg(F.first(F.array_sort(marked)).alias("__spans"))
+    joined = flagged.withColumn("__key", F.xxhash64(text)).join(spans, F.col("__key") == F.col("text_key"), "left")
+
+    def step(acc: Column, s: Column) -> Column:  # out: finished text; at: end of the open span, whose mark is pending
+        apart = s["start"] > acc["at"]
+        closed = F.concat(acc["out"], acc["mark"], F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]))
+        mark = F.when(s["live"] | (~apart & (acc["mark"] == "[secret]")), "[secret]").otherwise("[example]")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart | (acc["mark"] == ""), closed).otherwise(acc["out"]).alias("out"), mark.alias("mark"))
+
+    end = lambda acc: F.concat(acc["out"], acc["mark"], F.substr(F.col(text), acc["at"] + 1, F.length(text)))
+    masked = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit("").alias("mark")), step, end)
+    masked = F.when(F.size("__spans") > 0, masked).otherwise(F.col(text))
+    new = {text: masked}
+    if "n_chars" in df.columns:
+        new["n_chars"] = F.when(F.size("__spans") > 0, F.length(masked)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType)
+    changed = joined.withColumns(new).select(*[F.col(f"`{c}`") for c in df.columns])
+    return changed.unionByName(df.filter(~suspect))
