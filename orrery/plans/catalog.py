@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from orrery.plans import catalogue, verdicts, web
+
+_ALL = [web.R, catalogue.R, verdicts.R]
+QUERIES = {name: f for r in _ALL for name, f in r.queries.items()}
+ORACLE_SQL = {name: sql for r in _ALL for name, sql in r.sql.items()}
+FLAGSHIP = "url_shortlist"
