@@ -131,9 +131,9 @@ def redact(df: DataFrame, *, text: str = "text", owner: str = "source", max_owne
 
     end = lambda acc: F.concat(acc["out"], acc["mark"], F.substr(F.col(text), acc["at"] + 1, F.length(text)))
     masked = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit("").alias("mark")), step, end)
-    masked = F.when(F.size("__spans") > 0, masked).otherwise(F.col(text))
-    new = {text: masked}
+    joined = joined.withColumn("__masked", F.when(F.size("__spans") > 0, masked).otherwise(F.col(text)))
+    new = {text: F.col("__masked")}
     if "n_chars" in df.columns:
-        new["n_chars"] = F.when(F.size("__spans") > 0, F.length(masked)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType)
-    changed = joined.withColumns(new).select(*[F.col(f"`{c}`") for c in df.columns])
+        new["n_chars"] = F.when(F.size("__spans") > 0, F.length("__masked")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType)
+    changed = joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
     return changed.unionByName(df.filter(~suspect))
