@@ -29,8 +29,14 @@ def page_links(pages: DataFrame, *, page: str = "page_id", url: str = "url", htm
 
 
 def outbound(links: DataFrame) -> DataFrame:
-    """Links to other registrable domains than their page's."""
-    return links.filter(F.col("target").rlike("(?i)^https?://") & (urls.registrable(F.col("target_host")) != urls.registrable(urls.host(F.col("base")))))
+    """Links to other hosts than their page's."""
+    return links.filter(F.col("target").rlike("(?i)^https?://") & (F.col("target_host") != urls.host(F.col("base"))))
+
+
+def links_back(links: DataFrame, page: str = "page_id") -> DataFrame:
+    """Per page whether any link leads to its own host."""
+    own = F.col("target_host") == urls.host(F.col("base"))
+    return links.groupBy(page).agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("links_back"))
 
 
 def followups(links: DataFrame, seen: DataFrame, *, page: str = "page_id", key: str = "key", cap: int = 3) -> DataFrame:

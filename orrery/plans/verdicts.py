@@ -121,7 +121,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 CLAUSES = [
     (1, "You may not scrape the website or its data by any means.", "No", "scrape:prohibitive"),
     (2, "The post-harvest season is described on this page.", "Yes", ""),
-    (3, "Our index of courses is open; crawling of public pages is allowed for search engines.", "No", "crawling:prohibitive"),
+    (3, "Our index of courses is open; crawling of public pages is allowed for search engines.", "No", "crawling:prohibitive,index:ambiguous"),
     (4, "No one shall be liable to index anything.", "Maybe", "index:ambiguous"),
     (5, "You must not archive content and must not extract records from the database.", "No", "archive:prohibitive,extract:prohibitive"),
     (6, "You must not archive pages.", "Maybe", "archive:prohibitive"),

@@ -198,9 +198,22 @@ def links_per_page(spark: SparkSession, d: str) -> DataFrame:
     return links.page_links(pages(spark, d)).groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("target").alias("n_targets"), F.countDistinct("target_host").alias("n_hosts"))
 
 
-@R.query(f"WITH {LINKS_SQL} SELECT page_id, pos::INTEGER AS pos, target FROM links WHERE regexp_matches(target, '^https?://') AND regexp_extract(target_host, '([^.]+\\.[^.]+)$', 1) <> regexp_extract(own, '([^.]+\\.[^.]+)$', 1)")
+@R.query(f"WITH {LINKS_SQL} SELECT page_id, coalesce(bool_or(target_host = own), FALSE) AS links_back FROM links GROUP BY page_id")
+def links_back(spark: SparkSession, d: str) -> DataFrame:
+    return links.links_back(links.page_links(pages(spark, d)))
+
+
+LINK_CASES = [
+    (1, "https://www.a.edu/x/y", '<A class="n" HREF="https://b.org/t">T</A><a href="/z">Z</a><a href="//c.net/p?q">C <b>c</b></a><a href="mailto:x@y">m</a><a href="q.html">Q</a>'),
+    (2, "http://a.edu", "<a href='https://www.a.edu/p'>own</a><a href='r'>R</a>"), (3, "http://d.in/", None),
+]
+
+
+@R.query("SELECT * FROM (VALUES (1, 0, 'https://b.org/t', 'T'), (1, 2, 'https://c.net/p?q', 'C c')) v(page_id, pos, target, text)")
 def outbound_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.outbound(links.page_links(pages(spark, d))).select("page_id", "pos", "target")
+    """Over literal pages: the stored ones link to themselves only."""
+    made = spark.createDataFrame(LINK_CASES, "page_id int, url string, html string")
+    return links.outbound(links.page_links(made)).select("page_id", "pos", "target", "text")
 
 
 @R.query(
