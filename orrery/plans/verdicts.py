@@ -69,7 +69,7 @@ def eval_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.report(judged(spark, d), "lang", F.col("verdict") == "Yes")
 
 
-@R.query("SELECT * FROM (VALUES ('a', 2, 2, 1.0), ('b', 1, 3, 0.3333), ('c', 0, 1, 0.0)) v(org, hits, expected, recall)")
+@R.query("SELECT * FROM (VALUES ('a', 2, 2, 1.0::DOUBLE), ('b', 1, 3, 0.3333::DOUBLE), ('c', 0, 1, 0.0::DOUBLE)) v(org, hits, expected, recall)")
 def eval_recall(spark: SparkSession, d: str) -> DataFrame:
     rows = [("a", ["x.edu", "y.edu"], ["https://x.edu/login", "http://y.edu"]), ("b", ["p", "q", "r"], ["https://p.in"]), ("c", ["z"], []), ("d", [], ["u"])]
     out = evaluation.recall(spark.createDataFrame(rows, "org string, expected array<string>, found array<string>"), ["org"], "expected", "found")

@@ -169,7 +169,7 @@ def test_search(spark, monkeypatch, odd, none):
 
     key = lambda w: int(pd.util.hash_array(np.array([w], object), categorize=False).view(np.int64)[0])
     for q in range(0, 300, 20):
-        terms = sorted((w for w in docs[q] if df_[w] > 1), key=lambda w: (-docs[q][w] * idf(w), key(w)))[:6]
+        terms = sorted((w for w in docs[q] if df_[w] > 1), key=lambda w: (-idf(w), -docs[q][w], key(w)))[:6]
         score = {d: sum(idf(w) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in sorted(terms, key=key) if w in c) for d, c in docs.items()}
         want = sorted(((d, round(s, 9)) for d, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))[:5]
         assert [d for d, _ in got[q]] == [d for d, _ in want]
@@ -187,7 +187,7 @@ def test_shard_prunes_exactly():
         for w in asked:
             for d, p in zip(docs[words == w], parts[words == w], strict=True):
                 total[int(d)] += p
-        assert [d for _, d in shard.top(asked, 7)] == [d for d, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:7]]
+        assert [d for _, d in shard.top(np.array(asked), 7)] == [d for d, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:7]]
 
 
 def labelled_rows(good, bad, n=400):
