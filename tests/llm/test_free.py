@@ -153,7 +153,7 @@ def test_viterbi_for_unigram_models():
 
 
 def test_search(spark, monkeypatch, odd, none):
-    monkeypatch.setattr(bm25_search, "DOCS_PER_SHARD", 40)
+    monkeypatch.setattr(bm25_search, "QUERIES", 6)
     monkeypatch.setattr(bm25_search, "BLOCK", 3)
     rnd = random.Random(4)
     rows = [(i, " ".join(f"t{int(rnd.expovariate(0.02))}" for _ in range(rnd.randint(0, 60)))) for i in range(300)]
@@ -182,12 +182,13 @@ def test_shard_prunes_exactly():
     words, docs = np.unique(np.stack([words, docs]), axis=1)
     parts = np.round(rnd.random(len(words)) ** 4, 2)  # with ties
     shard = bm25_search.Shard(words, docs, parts)
+    assert shard.find(np.array([3, 99])).tolist() == [3, -1]
     for asked in ([1], [0, 3, 5], list(range(12))):
         total = defaultdict(float)
         for w in asked:
             for d, p in zip(docs[words == w], parts[words == w], strict=True):
                 total[int(d)] += p
-        assert [d for _, d in shard.top(np.array(asked), 7)] == [d for d, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:7]]
+        assert [d for _, d in shard.top(np.array(asked), np.ones(len(asked)), 7)] == [d for d, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:7]]
 
 
 def labelled_rows(good, bad, n=400):
