@@ -14,6 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +33,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession) -> int:
+    """Deletes what stored() has written in this process, once the results that read it are written; how many tables."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

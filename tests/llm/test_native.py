@@ -186,3 +186,13 @@ def test_index_is_no_shortcut(spark):
     df = spark.createDataFrame([("http://a/b",), ("http://a/bzzb",), ("http://rare/a",), ("http://a/",)], "url string")
     got = {r.url: r.pattern for r in url_filters.filter_urls(df, rules).collect()}
     assert got == {"http://a/b": "^a^b^", "http://a/bzzb": "*zz*", "http://rare/a": "^rare^a^", "http://a/": None}
+
+
+def test_stored_tables_are_discarded(spark):
+    import os
+
+    from orrery.llm import common
+
+    df = common.stored(spark.range(5), "x")
+    at = common._written[-1].removeprefix("file:")
+    assert df.count() == 5 and os.path.isdir(at) and common.discard(spark) >= 1 and not os.path.isdir(at)
