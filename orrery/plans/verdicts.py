@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import evaluation, keyword_context, verdicts
-from orrery.plans.roles import JUDGED, Registry, judged
+from orrery.operators import dedup, evaluation, keyword_context, verdicts
+from orrery.plans.roles import JUDGED, PAGE_PARTS, Registry, judged
 from orrery.sources.tables import parquet
-from orrery.streaming import runs
+from orrery.streaming import discover, runs
 
 R = Registry()
 SEVERE = "CASE verdict WHEN 'No' THEN 3 WHEN 'Maybe' THEN 2 ELSE 1 END"
@@ -112,6 +112,47 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return runs.drained(counts, name, "complete", _scratch(spark, name))
 
 
+@R.query(
+    f"""WITH {PAGE_PARTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY page_id) AS n FROM canon) WHERE n = 1 AND page_id % 10 <> 3)
+    SELECT page_id, dedup_key AS key, CASE WHEN root = 'example.net' THEN 'flag' ELSE '' END AS action FROM f WHERE NOT regexp_matches(host, '(^|\\.)example\\.org$')"""
+)
+def stream_discover(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as a stream of candidates: disputed keys and denied hosts go, flagged ones are marked."""
+    active = spark.createDataFrame([(1, "host", "example.net", "flag"), (2, "host", "example.org", "deny")], "rule_id int, rule_type string, pattern string, action string")
+    table = parquet(spark, d, "pages")
+    disputed = table.filter("page_id % 10 = 3").select(discover.urls.dedup_key(F.col("url")).alias("key"))
+    source = spark.readStream.schema(table.schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    name = f"candidates_{uuid.uuid4().hex}"
+    found = discover.discover(source, active, disputed, table=f"{_scratch(spark, name)}/table", checkpoint=_scratch(spark, f"{name}_log"))
+    return found.select("page_id", "key", "action")
+
+
+@R.query(
+    """WITH s AS (SELECT o_custkey AS org, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey), w AS (SELECT c_custkey AS org FROM customer)
+    SELECT CASE WHEN status IS NULL THEN 'new' WHEN status = 'F' THEN 'skipped' WHEN status = 'P' THEN 'failed' ELSE 'again' END AS work, count(*) AS n FROM w LEFT JOIN s USING (org) GROUP BY 1"""
+)
+def resumed_work(spark: SparkSession, d: str) -> DataFrame:
+    """What a restarted run has to do: organisations by the last status that an earlier run left."""
+    last = dedup.top(parquet(spark, d, "orders"), ["o_custkey"], [F.col("o_orderkey").desc()]).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("status"))
+    work = F.when(F.col("status").isNull(), "new").when(F.col("status") == "F", "skipped").when(F.col("status") == "P", "failed").otherwise("again")
+    return parquet(spark, d, "customer").join(last, "c_custkey", "left").groupBy(work.alias("work")).agg(F.count("*").alias("n"))
+
+
+@R.query("SELECT s_suppkey, s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS miss, CASE WHEN s_suppkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN (SELECT c_acctbal FROM customer WHERE c_custkey = s_suppkey) ELSE -1 END AS value FROM supplier")
+def cache_read_through(spark: SparkSession, d: str) -> DataFrame:
+    """Cached values where there are, and which keys must be fetched; empty results were never cached."""
+    cache = parquet(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("cached"))
+    joined = parquet(spark, d, "supplier").select("s_suppkey").join(cache, "s_suppkey", "left")
+    return joined.select("s_suppkey", F.col("cached").isNull().alias("miss"), F.coalesce("cached", F.lit(-1.0)).alias("value"))
+
+
+@R.query("SELECT o_custkey, substr('[' || string_agg(o_orderkey, ',' ORDER BY o_orderkey) || ']', 1, 60) AS results, count(*) AS n FROM orders GROUP BY o_custkey")
+def search_log(spark: SparkSession, d: str) -> DataFrame:
+    """Results as JSON text of bounded length."""
+    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x)
+    return parquet(spark, d, "orders").groupBy("o_custkey").agg(F.substring(F.to_json(ids), 1, 60).alias("results"), F.count("*").alias("n"))
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A folder for a stream's checkpoint: shared where the cluster names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
