@@ -116,4 +116,5 @@ def keep(df: DataFrame, model: Model, *, text: str = "text", threshold: float =
     """The rows of df, unchanged, whose score is at least the threshold; nulls and repeated rows as in score()."""
     made = F.struct(*[c.alias(k) for k, c in statistics(F.col(text)).items()])
     # exploded, as a filter over a plain column would be pushed below it, and each rule would count anew
-    return df.withColumn("__statistics", F.explode(F.array(made))).filter(model.score("__statistics.") >= threshold).drop("__statistics")
+    counted = df.withColumn("__made", made).withColumn("__statistics", F.explode(F.array("__made")))
+    return counted.filter(model.score("__statistics.") >= threshold).drop("__made", "__statistics")
