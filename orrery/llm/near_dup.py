@@ -9,8 +9,8 @@
    against one pivot; a list whose members have come together in one component is done. Lists of up to SMALL
    members then propose all pairs across components; longer ones propose a second pivot. What is left are long
    lists with several components, of texts that share passages. Their classes post their full sets, each without
-   its longest lists as before, which leaves the rarest fifth; those lists propose some pivots in each of three
-   rounds, then all pairs across components whose overlap can still be large enough, given the place of the rarest
+   its longest lists as before, which leaves the rarest fifth; those lists propose PIVOTS members each, then all
+   pairs across components whose overlap can still be large enough, given the place of the rarest
    shared value. No list is capped or dropped.
 4. Each pair passes the union-sketch estimate, then the exact Jaccard test on full sets.
 5. Components by alternating large-star and small-star steps; nothing is collected to the driver.
@@ -37,7 +37,7 @@ SKETCH = 64  # values for the union-sketch estimate
 MISS = 1e-7  # chance that a linked pair at the threshold shares fewer of LISTED values than asked for
 SMALL = 32  # members of a list that are paired outright
 SLACK = 0.3  # the estimate may fall so far below the threshold: over six standard errors at SKETCH values
-ROUNDS, PIVOTS = 4, 8  # over full sets, the last of which pairs what is left, and pivots of a list in a round
+PIVOTS = 16  # of a list of full sets, before what is left is paired
 SLICE = 2_000_000  # bytes of text taken together in a task
 
 
@@ -202,19 +202,18 @@ def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
     last = stored(_rarest(whole, F.ceil(F.col("n") * percent / 100)), "lists")
     # of both classes, the values that are not rarer than the rarest shared one bound the overlap
     enough = lambda x, y: F.least(x["nth"], y["nth"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
-    for i in range(ROUNDS):
-        last = unsettled(last, components(links))
-        if last.isEmpty():
-            return links
-        if i == ROUNDS - 1:
-            break
-        # the pivots are of the list's largest component if it has as many, and others in each round and list
-        size = F.count("*").over(Window.partitionBy("v", "c"))
-        nth = F.row_number().over(Window.partitionBy("v").orderBy(F.col("size").desc(), F.xxhash64("set_id", "v", F.lit(i))))
-        p = last.withColumn("size", size).withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", F.struct("set_id", "n", "nth", "c").alias("p"))
-        pairs = last.join(p, "v").filter((F.col("c") != F.col("p.c")) & _comparable(F.col("n"), F.col("p.n"), percent) & enough({"nth": F.col("nth"), "n": F.col("n")}, F.col("p")))
-        found = _verified(pairs.select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v")), sets, percent)
-        links = stored(links.unionByName(found), "links")
+    last = unsettled(last, components(links))
+    if last.isEmpty():
+        return links
+    # pivots are of the list's largest component if it has as many, and others in each list
+    size = F.count("*").over(Window.partitionBy("v", "c"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy(F.col("size").desc(), F.xxhash64("set_id", "v")))
+    p = last.withColumn("size", size).withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", F.struct("set_id", "n", "nth", "c").alias("p"))
+    pairs = last.join(p, "v").filter((F.col("c") != F.col("p.c")) & _comparable(F.col("n"), F.col("p.n"), percent) & enough({"nth": F.col("nth"), "n": F.col("n")}, F.col("p")))
+    links = stored(links.unionByName(_verified(pairs.select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v")), sets, percent)), "links")
+    last = unsettled(last, components(links))
+    if last.isEmpty():
+        return links
     a, b = ({k: F.col(f"{x}.{k}") for k in ("n", "nth")} for x in ("a", "b"))
     return links.unionByName(_verified(across(last, enough(a, b)), sets, percent))
 
