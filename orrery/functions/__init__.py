@@ -1 +1 @@
-
+"""Column expressions: each takes and gives columns."""

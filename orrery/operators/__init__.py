@@ -1 +1 @@
-
+"""Operators: each takes and gives DataFrames."""

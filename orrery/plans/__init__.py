@@ -1 +1 @@
-
+"""Queries over the test tables, one for each operator, with their SQL."""

@@ -1 +1 @@
-
+"""Reading and writing tables."""
