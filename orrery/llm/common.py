@@ -46,6 +46,19 @@ def discard(spark: SparkSession) -> int:
     return n
 
 
+BATCH_ROWS = 1_000
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on in this session, unless it has less.
+
+    Rows with whole texts or sets are long, and the default of ten thousand of them is in memory on both sides.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import stored
+from orrery.llm.common import limit_batches, stored
 
 LISTED = 32  # values of a class that enter the inverted lists
 SKETCH = 64  # values for the union-sketch estimate
@@ -249,6 +249,7 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 
 def _grouped(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    limit_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
     kinds = "doc_id long, row_key long, n_shingles long, set_id binary"

@@ -25,8 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import limit_batches
+
 MARK = "▁"
-SLICE = 4_000_000  # bytes of text encoded together
+SLICE = 2_500_000  # bytes of text encoded together
 WIDE = 256  # longer words of BPE models are merged one at a time, from a queue
 CELLS = 2_000_000  # of a matrix of words
 
@@ -238,6 +240,7 @@ def encode(df: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str
                 same = [a == b for a, b in zip(pieces.decode(ids), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
 
+    limit_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids long, round_trip boolean")
 

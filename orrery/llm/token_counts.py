@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import limit_batches
+
 MARK = "▁"  # stands for a space in pieces
 BETWEEN = re.compile("(?<=[^ ]) ")  # the first space of each run but a leading one; the library puts it back as a prefix
 MEMO = 400_000  # pre-tokens whose counts a task keeps
@@ -71,6 +73,7 @@ def count_tokens(df: DataFrame, model_file: str, *, doc_id: str = "doc_id", text
             n = [counts.of(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    limit_batches(df.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
