@@ -6,12 +6,18 @@ answers the queries that have a term in it, and skips blocks whose bounds can't
 lists are merged by score, then id: the result is that of scoring every document. A task hands on the best of all its
 shards, so there are at most k rows for each query and task.
 
-A query is a whole text, represented by the `terms` of its words that fewest documents have, among those that more
-than one has: they tell it best, and their lists are short. Tasks get a bitmap of FILTER_BITS bits of the asked
-words' hashes, of one size whatever the number of queries, and index only words that it lets through.
+A query is a whole text: all its distinct words, weighed by their counts. Tasks get a bitmap of FILTER_BITS bits of
+the asked words' hashes, of one size whatever the number of queries, and index only words that it lets through.
+`terms` is for callers that want short queries.
+
+Bounds of blocks don't tell documents apart for hundreds of words, so whole texts are scored another way: words that
+many queries and documents of a shard share are one product of matrices of 32-bit numbers, all others go through
+their postings. What comes within the rounding error of the k best so far is scored again in 64 bits, word by word
+in one order, so results are exact and copies tie.
 
 A shard is a run of documents of one task and is written as one row, so postings are never shuffled. Queries pass
-over the shards in blocks of QUERIES, which bounds what a task is sent; each block is one pass over the index.
+over the shards in blocks of QUERIES, or of QUERY_WORDS of their words if that is less, which bounds what a task is
+sent; each block is one pass over the index.
 """
 
 from __future__ import annotations
@@ -33,7 +39,9 @@ BLOCK = 64  # documents in a block
 FILTER_BITS = 1 << 24
 SLICE = 2_000_000  # bytes of text taken together in a task
 SHARD_DOCS, SHARD_BYTES = 5_000, 16_000_000  # documents and bytes of text in a shard
-QUERIES = 20_000  # queries sent to the shards together
+QUERIES, QUERY_WORDS = 20_000, 1_500_000  # queries sent to the shards together, and words of queries
+TOGETHER = 256  # queries of a product of matrices
+DENSE = 0.002  # share of a product's cells from which a word is cheaper there than by its postings
 QUERIES_PER_MERGE = 50  # queries whose lists are merged together
 TRIM = ".,;:!?\"'()[]{}|#$%&*<>=/\\-_"
 
@@ -115,9 +123,10 @@ def _index(bits):
         number[order] = np.arange(len(order))
         docs, words = number[np.concatenate(docs)], np.concatenate(words)
         by_word = np.lexsort((docs, words))
-        arrays = [np.concatenate(lengths)[order].astype(np.int32), words[by_word], docs[by_word].astype(np.int32), np.concatenate(tf)[by_word].astype(np.int32)]
+        words, counts = np.unique(words[by_word], return_counts=True)
+        arrays = [np.concatenate(lengths)[order].astype(np.int32), words, counts.astype(np.int32), docs[by_word].astype(np.int32), np.concatenate(tf)[by_word].astype(np.int32)]
         columns = [pa.array([ids.take(pa.array(order)).to_pylist()], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]]
-        return pa.RecordBatch.from_arrays(columns, ["ids", "lengths", "words", "docs", "tf"])
+        return pa.RecordBatch.from_arrays(columns, ["ids", "lengths", "words", "counts", "docs", "tf"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found, size, n = [], [], 0, 0
@@ -192,6 +201,50 @@ class Shard:
             floor, pos, step = (scores[-1] if len(scores) == k else -1.0), pos + step, 2 * step
         return list(zip(scores.tolist(), docs.tolist(), strict=True))
 
+    def best(self, edges: np.ndarray, words: np.ndarray, weights: np.ndarray, floors: np.ndarray, n: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query, documents and scores that hold all of its k best of n documents with a score of its floor or more.
+
+        The words (numbers) and weights of query i are those from edges[i] to edges[i + 1].
+        """
+        postings = self.at[self.starts]  # where each word's begin
+        size, queries = np.diff(postings), len(edges) - 1
+        by_doc = np.argsort(self.docs.astype(np.uint16) if n <= 1 << 16 else self.docs, kind="stable")
+        doc_words, doc_parts = np.repeat(np.arange(len(size)), size)[by_doc], self.parts[by_doc]
+        doc_at = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=n))))
+        frequent = np.flatnonzero(np.bincount(words, minlength=len(size)) * size > DENSE * queries * n)
+        column = np.full(len(size), -1)
+        column[frequent] = np.arange(len(frequent))
+        matrix = np.zeros((len(frequent), n), np.float32)
+        for c, w in enumerate(frequent):
+            matrix[c, self.docs[postings[w] : postings[w + 1]]] = self.parts[postings[w] : postings[w + 1]]
+        error, weight_of = (len(frequent) + 8) * 2.0**-22, np.zeros(len(size))
+        for first in range(0, queries, TOGETHER):
+            some = range(first, min(first + TOGETHER, queries))
+            left = np.zeros((len(some), len(frequent)), np.float32)
+            for i in some:
+                a, b = edges[i], edges[i + 1]
+                at = column[words[a:b]]
+                left[i - first, at[at >= 0]] = weights[a:b][at >= 0]
+            product = left @ matrix
+            for i in some:
+                w, x = words[edges[i] : edges[i + 1]], weights[edges[i] : edges[i + 1]]
+                rare = column[w] < 0
+                at = _ranges(postings[w[rare]], size[w[rare]])
+                near = np.bincount(self.docs[at], np.repeat(x[rare], size[w[rare]]) * self.parts[at], minlength=n) + product[i - first]
+                least = max(np.partition(near, n - k)[n - k] * (1 - 2 * error) if n > k else 0.0, floors[i] * (1 - error))
+                docs = np.flatnonzero((near >= least) & (near > 0))
+                if len(docs):
+                    weight_of[w] = x
+                    length = doc_at[docs + 1] - doc_at[docs]
+                    at = _ranges(doc_at[docs], length)
+                    yield i, docs, np.bincount(np.repeat(np.arange(len(docs)), length), weight_of[doc_words[at]] * doc_parts[at])
+                    weight_of[w] = 0
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
+
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, the last of all
 
@@ -206,25 +259,34 @@ def _best(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[top], d[top], s[top], place[top] + 1
 
 
-def _answer(asked, k: int, mean: float, buckets: int):
+def _answer(asked, k: int, mean: float, buckets: int, whole: bool):
     """The k best of a task's shards for each query, packed by buckets of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, words, idf = asked.value  # by query, then word
-        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, queries, words, number, weights = asked.value  # queries and words by number; by query, then word
+        best, floors = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(len(rows))
         for batch in batches:
             for r in range(batch.num_rows):
-                lengths, w, docs, tf = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("lengths", np.int32), ("words", np.int64), ("docs", np.int32), ("tf", np.int32)))
-                shard = Shard(w, docs.astype(np.int64), tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean)))
-                at = shard.find(words)
+                lengths, w, counts, docs, tf = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("lengths", np.int32), ("words", np.int64), ("counts", np.int32), ("docs", np.int32), ("tf", np.int32)))
+                shard = Shard(np.repeat(w, counts), docs.astype(np.int64), tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean)))
+                at = shard.find(words)[number]
                 hit = np.flatnonzero(at >= 0)
+                if not len(hit):
+                    continue
                 q = queries[hit]
-                edges = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1], [True]))) if len(q) else np.zeros(1, np.int64)
-                found = [(q[a], d, s) for a, b in zip(edges[:-1], edges[1:], strict=True) for s, d in shard.top(at[hit[a:b]], idf[hit[a:b]], k)]
+                edges = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1], [True])))
+                mine = q[edges[:-1]]
+                if whole:
+                    found = [(np.full(len(d), mine[i]), d, s) for i, d, s in shard.best(edges, at[hit], weights[hit], floors[mine], len(lengths), k)]
+                else:
+                    tops = [shard.top(at[hit[a:b]], weights[hit[a:b]], k) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    found = [tuple(np.array(x) for x in zip(*((i, d, s) for s, d in top), strict=True)) for i, top in zip(mine, tops, strict=True) if top]
                 if found:
-                    qs, ds, ss = (np.array(x) for x in zip(*found, strict=True))
+                    qs, ds, ss = (np.concatenate(x) for x in zip(*found, strict=True))
                     ids = pc.fill_null(batch.column("ids")[r].values, NO_ID).to_numpy()[ds]
-                    best = _best(np.concatenate((best[0], qs)), np.concatenate((best[1], ids)), np.concatenate((best[2], ss)), k)[:3]
+                    *best, place = _best(np.concatenate((best[0], qs)), np.concatenate((best[1], ids)), np.concatenate((best[2], ss)), k)
+                    floors[best[0][place == k]] = best[2][place == k]
+        best = rows[best[0]], best[1], best[2]
         bucket = best[0] % buckets
         for b in np.unique(bucket):
             mine = bucket == b
@@ -242,11 +304,12 @@ def _merged(k: int):
     return run
 
 
-def search(df: DataFrame, queries: Column, *, doc_id: str = "doc_id", text: str = "text", k: int = 10, terms: int = 12) -> DataFrame:
+def search(df: DataFrame, queries: Column, *, doc_id: str = "doc_id", text: str = "text", k: int = 10, terms: int | None = None) -> DataFrame:
     """query_id, rank, doc_id and score: for each row of df that `queries` selects, its k best rows of df, itself included.
 
-    Scores are BM25 sums over the query's terms; rows that share no term with a query aren't listed, so it may have
-    fewer than k. Equal scores go by id, null ids last. A null text is empty; an empty text asks for and matches
+    Scores are BM25 sums over all words of the query, a repeated word as often as the query has it; rows that share no
+    word with a query aren't listed, so it may have fewer than k. With `terms`, a query is only its so many words that
+    fewest rows have (of more than one), each once. Equal scores go by id, null ids last. A null text is empty; an empty text asks for and matches
     nothing. Repeated rows are documents, and queries, of their own. An empty table gives no rows. Other columns of
     df aren't read. Words are split at ASCII white space, lower-cased and trimmed of punctuation; they are compared
     by 64-bit hashes.
@@ -261,23 +324,30 @@ def search(df: DataFrame, queries: Column, *, doc_id: str = "doc_id", text: str
     stats = known.filter("w IS NULL").first()
     count, mean = (stats["n"], stats["total"] / stats["n"]) if stats and stats["total"] else (1, 1.0)
     idf = F.log(1 + (count - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    known = known.filter("n > 1").select("w", idf.alias("idf"))
-    rarest = Window.partitionBy("row").orderBy(F.col("idf").desc(), F.col("tf").desc(), "w")
-    asked = asking.join(known, "w").withColumn("nth", F.row_number().over(rarest)).filter(F.col("nth") <= terms)
+    asked = asking.join(known.select("w", "n", idf.alias("idf")), "w")
+    if terms is None:
+        asked = asked.withColumn("weight", F.col("idf") * F.col("tf"))
+    else:
+        rarest = Window.partitionBy("row").orderBy(F.col("idf").desc(), F.col("tf").desc(), "w")
+        asked = asked.filter("n > 1").withColumn("nth", F.row_number().over(rarest)).filter(F.col("nth") <= terms).withColumn("weight", F.col("idf"))
     block = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
-    asked = stored(asked.select(F.col("row").alias("query_row"), F.col("doc_id").alias("query_id"), "w", "idf", block.alias("block")), "asked")
+    asked = stored(asked.select(F.col("row").alias("query_row"), F.col("doc_id").alias("query_id"), "w", "weight", block.alias("block")), "asked")
 
     bits = spark.sparkContext.broadcast(_bits(asked))
-    index = stored(docs.select("doc_id", "text").mapInArrow(_index(bits), "ids array<bigint>, lengths binary, words binary, docs binary, tf binary"), "index")
-    n = asked.select("query_row").distinct().count()
-    local, blocks = None, -(-n // QUERIES)
+    index = stored(docs.select("doc_id", "text").mapInArrow(_index(bits), "ids array<bigint>, lengths binary, words binary, counts binary, docs binary, tf binary"), "index")
+    ids = asked.groupBy("query_row", "query_id").agg(F.count("*").alias("n"))
+    n, total = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    local, blocks = None, max(-(-n // QUERIES), -(-total // QUERY_WORDS))
     for i in range(blocks):  # a pass over the index for each block of queries
-        some = asked.filter(F.col("block") % blocks == i).select("query_row", "w", "idf").toPandas().sort_values(["query_row", "w"])
-        some = spark.sparkContext.broadcast((some["query_row"].to_numpy(), some["w"].to_numpy(), some["idf"].to_numpy()))
-        found = index.mapInArrow(_answer(some, k, float(mean), max(1, n // QUERIES_PER_MERGE)), "bucket long, q array<bigint>, d array<bigint>, s array<double>")
+        some = asked.filter(F.col("block") % blocks == i).select("query_row", "w", "weight").toArrow()
+        row, w, weight = (some.column(c).to_numpy() for c in ("query_row", "w", "weight"))
+        order = np.lexsort((w, row))
+        rows, query = np.unique(row[order], return_inverse=True)
+        words, number = np.unique(w[order], return_inverse=True)
+        some = spark.sparkContext.broadcast((rows, query.astype(np.int32), words, number.astype(np.int32), weight[order]))
+        found = index.mapInArrow(_answer(some, k, float(mean), max(1, n // QUERIES_PER_MERGE), terms is None), "bucket long, q array<bigint>, d array<bigint>, s array<double>")
         local = found if local is None else local.unionByName(found)
     if local is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     best = local.groupBy("bucket").applyInArrow(_merged(k), "query_row long, rank int, doc_id long, score double")
-    ids = asked.select("query_row", "query_id").distinct()
-    return best.join(ids, "query_row").select("query_id", "rank", "doc_id", "score")
+    return best.join(ids.drop("n"), "query_row").select("query_id", "rank", "doc_id", "score")

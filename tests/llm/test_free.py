@@ -176,6 +176,46 @@ def test_search(spark, monkeypatch, odd, none):
     assert bm25_search.search(odd, F.col("doc_id").isNotNull()).filter("rank > 10").count() == 0 and bm25_search.search(none, F.lit(True)).count() == 0
 
 
+def test_search_asks_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(bm25_search, "QUERY_WORDS", 500)
+    monkeypatch.setattr(bm25_search, "SHARD_DOCS", 40)
+    rnd = random.Random(7)
+    rows = [(i, " ".join(f"t{int(rnd.expovariate(0.02))}" for _ in range(rnd.randint(0, 90)))) for i in range(300)]
+    rows += [(300, rows[20][1]), (301, rows[20][1]), (320, "alone with nobody else"), (340, "")]  # copies tie; words of one text only
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = {i: Counter(t.split()) for i, t in rows}
+    n, mean = len(docs), sum(sum(c.values()) for c in docs.values()) / len(docs)
+    having = Counter(w for c in docs.values() for w in c)
+    idf = {w: np.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in having.items()}
+    got = defaultdict(list)
+    for r in bm25_search.search(df, F.col("doc_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.doc_id, round(r.score, 7)))
+    for q in range(0, 341, 20):
+        score = {d: sum(idf[w] * m * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, m in docs[q].items() if w in c) for d, c in docs.items()}
+        assert got[q] == sorted(((d, round(s, 7)) for d, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))[:5]
+    assert [d for d, _ in got[20]][:3] == [20, 300, 301] and [d for d, _ in got[320]] == [320] and got[340] == []
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.002, 2.0])  # all words in the product of matrices, some, none
+def test_shard_scores_whole_texts(monkeypatch, dense):
+    monkeypatch.setattr(bm25_search, "DENSE", dense)
+    monkeypatch.setattr(bm25_search, "TOGETHER", 3)
+    rnd = np.random.default_rng(1)
+    cells = np.where(rnd.random((40, 500)) < rnd.random((40, 1)) ** 3, np.round(rnd.random((40, 500)), 2), 0)
+    cells[:, 7] = cells[:, 300]
+    cells[:, 8] = 0.5  # each word has a document
+    words, docs = np.nonzero(cells)
+    shard = bm25_search.Shard(words, docs, cells[words, docs])
+    asked = [np.flatnonzero(rnd.random(40) < 0.5) for _ in range(10)]
+    edges, flat = np.cumsum([0, *map(len, asked)]), np.concatenate(asked)
+    weights = np.round(1 + 3 * rnd.random(len(flat)), 1)
+    at = shard.find(flat)
+    for i, docs, scores in shard.best(edges, at[at >= 0], weights[at >= 0], np.zeros(10), 500, 6):
+        total = weights[edges[i] : edges[i + 1]] @ cells[asked[i]]
+        want = sorted(range(500), key=lambda d: (-round(total[d], 9), d))[:6]
+        assert [docs[j] for j in np.lexsort((docs, -scores))[:6]] == want and np.allclose(scores, total[docs], rtol=1e-12)
+
+
 def test_shard_prunes_exactly():
     rnd = np.random.default_rng(0)
     words, docs = rnd.integers(0, 12, 6000), rnd.integers(0, 2000, 6000)
