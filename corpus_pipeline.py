@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrery.llm import mixing, near_dup, quality_rules, secret_scan, sentence_pieces
 from orrery.llm.common import stored, table
 
 MODEL = "piece_bpe_32k.model"
+MAX_SOURCES, MAX_TEXTS = 5, 20  # that hold a live secret; distinct texts stand for repositories
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; documents stay."""
-    return secret_scan.redact(docs)
+    """Secrets in texts are masked, copied ones too; documents stay. Values of more texts or sources are examples."""
+    return secret_scan.redact(docs, repository=F.xxhash64("text"), max_owners=MAX_SOURCES, max_repositories=MAX_TEXTS, mask_copied=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,19 +107,21 @@ def _judged(df: DataFrame, doc_id: str, text: str, owner: str, repository: Colum
     return out
 
 
-def redact(df: DataFrame, *, text: str = "text", owner: str = "source", max_owners: int = 1, max_repositories: int = 4) -> DataFrame:
+def redact(df: DataFrame, *, text: str = "text", owner: str = "source", repository: Column | None = None, max_owners: int = 1, max_repositories: int = 4, mask_copied: bool = False) -> DataFrame:
     """df with the reported spans of its texts replaced: `[secret]` for live values, `[example]` for copied ones.
 
+    With `mask_copied`, copied values of the wider pattern, which aren't reported, become `[example]` too.
+
     Spans that touch become one, live if one of them is. All other texts, and all other columns, stay as they are,
     null texts too; no row goes. A column n_chars is set to the new length where a text changes.
     """
     any_of = "|".join(f"(?:{FAST.get(kind, pattern)})" for kind, pattern, *_ in [*BASE, WIDE])
     suspect = F.coalesce(F.rlike(F.col(text), F.lit(any_of)), F.lit(False))
     flagged = df.filter(suspect)
-    repository = F.concat_ws("/", F.col(owner), F.col("lang") if "lang" in df.columns else F.lit(""))
     spans = _judged(flagged, text, text, owner, repository, max_owners, max_repositories).drop("doc_id")
     live = F.transform("live", lambda s: F.concat_ws(":", s["kind"], s["start"]))
-    marked = F.transform(_reported(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_contains(live, F.concat_ws(":", s["kind"], s["start"])).alias("live")))
+    masked_spans = F.concat("base", "wide") if mask_copied else _reported()
+    marked = F.transform(masked_spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_contains(live, F.concat_ws(":", s["kind"], s["start"])).alias("live")))
     spans = spans.groupBy("text_key").agg(F.first(F.array_sort(marked)).alias("__spans"))
     joined = flagged.withColumn("__key", F.xxhash64(text)).join(spans, F.col("__key") == F.col("text_key"), "left")
 

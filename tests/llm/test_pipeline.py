@@ -55,6 +55,14 @@ def test_secrets(chain):
         assert new[d].n_chars == len(new[d].text) and base_spans(new[d].text) == ""
 
 
+def test_secrets_of_many_texts(spark):
+    keys = {"live": "ghp_LIVElive1234567890abc", "twice": "ghp_TWICEtwice1234567890a", "often": "ghp_OFTENoften1234567890a"}
+    held = [("live", "s0"), ("twice", "s0"), ("twice", "s1"), *[("often", "s0")] * 30]  # one source and language hold `often`
+    df = spark.createDataFrame([(i, f"text {i} has {keys[k]} here", "en", s, 1) for i, (k, s) in enumerate(held)], "doc_id int, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, df, "").collect()}
+    assert got == {i: f"text {i} has {'[example]' if k == 'often' else '[secret]'} here" for i, (k, _) in enumerate(held)}
+
+
 def test_mix(chain):
     _, before, after = chain[3]
     want = Counter({r.doc_id: -(-r.taken // r.size) for r in mixing.mix(before).collect() if r.taken})
