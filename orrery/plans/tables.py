@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions import rules, text, urls
-from orrery.operators import dedup, discovery, evaluation, links, updates
-from orrery.plans.discovery import literal
-from orrery.plans.roles import ALL_PORTALS, PORTALS, Registry, all_portals, pages, portals
+from orrery.functions import rules, text
+from orrery.operators import dedup, evaluation, updates
+from orrery.plans.roles import ALL_PORTALS, Registry, all_portals, pages
 from orrery.sources import tables
 from orrery.sources.tables import parquet
 
 R = Registry()
 
 
-def scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='orrery-')}/{uuid.uuid4().hex}"
-
-
-@R.query(f"WITH {PORTALS} SELECT id::VARCHAR AS id, orgid::VARCHAR AS orgid, portal_url, '' AS note FROM portals")
+@R.query(f"WITH {ALL_PORTALS} SELECT id::VARCHAR AS id, orgid::VARCHAR AS orgid, portal_url, '' AS note FROM all_portals")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A sheet written with a fixed order of columns, missing cells empty, and read back as strings."""
-    at = scratch(spark)
-    tables.write_sheet(portals(spark, d).withColumn("note", F.lit(None).cast("string")), at, ["id", "orgid", "portal_url", "note"])
+    at = tables.scratch(spark, "sheet")
+    tables.write_sheet(all_portals(spark, d).withColumn("note", F.lit(None).cast("string")), at, ["id", "orgid", "portal_url", "note"])
     return tables.sheet(spark, at)
 
 
-@R.query("SELECT 'SEG ' || c_mktsegment AS name, NULL::VARCHAR AS city, c_name AS orgid FROM customer WHERE c_custkey % 5 = 0")
+@R.query("SELECT 'SEG ' || c_mktsegment AS name, NULL::VARCHAR AS city, c_name AS orgid FROM customer")
 def conformed(spark: SparkSession, d: str) -> DataFrame:
     """A table of other columns brought to a catalogue's schema."""
-    c = parquet(spark, d, "customer").filter("c_custkey % 5 = 0")
+    c = parquet(spark, d, "customer")
     raw = c.select(F.col("c_name").alias("orgid"), F.concat(F.lit("SEG "), F.col("c_mktsegment")).alias("name"), F.lit(1).alias("extra"))
     return tables.conform(raw, tables.SCHEMAS["universities"]).select("name", "city", "orgid")
 
@@ -103,16 +94,6 @@ def probe_urls(spark: SparkSession, d: str) -> DataFrame:
     return domains.select(F.explode(F.lit(["portal", "lms", "student"])).alias("label"), "domain").select(F.concat(F.lit("https://"), "label", F.lit("."), "domain", F.lit("/")).alias("url")).distinct()
 
 
-NAMES = [(1, "https://www.iitd.ac.in", "iitd"), (2, "https://lms.nsouict.ac.in/x", "nsouict"), (3, "http://ab.edu", "")]
-
-
-@R.query(literal([(i, s) for i, _, s in NAMES], "id, short"))
-def short_names(spark: SparkSession, d: str) -> DataFrame:
-    """The first label of the registrable domain, if it has three letters."""
-    root = F.substring_index(urls.registrable(urls.host(F.col("url"))), ".", 1)
-    return spark.createDataFrame([n[:2] for n in NAMES], "id int, url string").select("id", F.when(F.length(root) >= 3, root).otherwise("").alias("short"))
-
-
 @R.query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 3 = 0 THEN 'b' || page_id WHEN page_id % 2 = 0 THEN 'c' END AS found, CASE WHEN page_id % 4 = 0 THEN 1 WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 2 = 0 THEN 3 ELSE 0 END AS found_step FROM pages")
 def retry_chain(spark: SparkSession, d: str) -> DataFrame:
     """The first of three retries that gives something."""
@@ -122,27 +103,16 @@ def retry_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    """WITH own AS (SELECT c_nationkey AS org, c_mktsegment AS portal FROM customer WHERE c_custkey % 40 = 0), up AS (SELECT DISTINCT org, n_regionkey AS parent FROM own JOIN nation ON org = n_nationkey),
+    """WITH own AS (SELECT c_nationkey AS org, c_mktsegment AS portal FROM customer), up AS (SELECT DISTINCT org, n_regionkey AS parent FROM own JOIN nation ON org = n_nationkey),
     x AS (SELECT org, portal, 'own' AS via FROM own UNION ALL SELECT up.org, o.portal, 'parent' FROM up JOIN own o ON o.org = up.parent) SELECT org, portal, min(via) AS via FROM x GROUP BY ALL"""
 )
 def parent_portals(spark: SparkSession, d: str) -> DataFrame:
     """Portals of an organisation and of its parent, one hop only."""
     c, n = parquet(spark, d, "customer"), parquet(spark, d, "nation")
-    own = c.filter("c_custkey % 40 = 0").join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_nationkey").alias("org"), F.col("c_mktsegment").alias("portal"), F.col("n_regionkey").alias("parent"))
+    own = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_nationkey").alias("org"), F.col("c_mktsegment").alias("portal"), F.col("n_regionkey").alias("parent"))
     return updates.one_hop(own, own, key="org", parent="parent", value="portal")
 
 
-HTML = '<a href="/student/login">Student Login</a><a href="/staff/login">Staff</a><a href="/portal">Student portal</a><a href="/about">About</a>'
-
-
-@R.query(literal([(1, 1, "https://u.edu/student/login", 6), (1, 2, "https://u.edu/portal", 5)], "page_id, nth, target, score"))
-def best_links(spark: SparkSession, d: str) -> DataFrame:
-    """The three best links of a page for students, of two points or more."""
-    found = links.page_links(spark.createDataFrame([(1, "https://u.edu/", HTML), (2, "https://v.edu/", "<p>none</p>")], "page_id int, url string, html string"))
-    scored = found.withColumn("score", discovery.student_anchor_score(F.col("href"), F.col("text"), F.lit(""))).filter("score >= 2")
-    return dedup.top(scored, ["page_id"], [F.col("score").desc(), F.col("pos")], 3, "nth").select("page_id", "nth", "target", "score")
-
-
 @R.query("SELECT event_id, CASE WHEN value > 90 THEN 'conflict' WHEN event_type = 'error' AND length(props) > 8 THEN 'long' WHEN event_type = 'click' THEN 'maybe' ELSE '' END AS reason FROM events")
 def escalation_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The first reason for a second opinion."""
@@ -150,8 +120,8 @@ def escalation_reasons(spark: SparkSession, d: str) -> DataFrame:
     return parquet(spark, d, "events").select("event_id", reason.alias("reason"))
 
 
-@R.query("SELECT doc_id, md5(CASE WHEN strlen(text[1:200]) = 200 THEN text[1:200] END) AS print, count(*) OVER (PARTITION BY text[1:200]) AS n FROM documents WHERE strlen(text[1:200]) = 200")
+@R.query("SELECT doc_id, md5(encode(coalesce(text, ''))[1:200]) AS print, count(*) OVER (PARTITION BY md5(encode(coalesce(text, ''))[1:200])) AS n FROM documents")
 def doc_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """MD5 of the first 200 bytes of documents whose first 200 characters are as many bytes, and how many share it."""
-    docs = parquet(spark, d, "documents").filter(F.octet_length(F.substring("text", 1, 200)) == 200).select("doc_id", text.fingerprint(F.col("text")).alias("print"))
+    """MD5 of the first 200 bytes of each document, and how many documents share it."""
+    docs = parquet(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("print"))
     return docs.join(docs.groupBy("print").agg(F.count("*").alias("n")), "print").select("doc_id", "print", "n")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import dedup, evaluation, keyword_context, verdicts
+from orrery.operators import dedup, evaluation, verdicts
 from orrery.plans.roles import JUDGED, PAGE_PARTS, Registry, judged
-from orrery.sources.tables import parquet
+from orrery.sources.tables import parquet, scratch
 from orrery.streaming import discover, runs
 
 R = Registry()
@@ -31,21 +28,13 @@ def verdict_terms_first(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.terms_first(judged(spark, d), "org", F.col("lang") == "es")
 
 
-VOTES = [("a", "No"), ("a", "Yes"), ("b", "Maybe"), ("b", "Yes"), ("b", "Yes"), ("c", verdicts.NONE_FOUND), ("c", verdicts.NONE_FOUND), ("d", verdicts.NONE_FOUND), ("d", "Maybe"), ("e", "No"), ("e", "Maybe")]
-
-
-@R.query(f"SELECT * FROM (VALUES ('a', 'No'), ('b', 'Yes'), ('c', '{verdicts.NONE_FOUND}'), ('d', 'Maybe'), ('e', 'No')) v(org, verdict)")
-def verdict_ties(spark: SparkSession, d: str) -> DataFrame:
-    return verdicts.majority(spark.createDataFrame(VOTES, "org string, verdict string"), "org")
-
-
 RUNGS = ["exact", "parent", "domain", "vendor"]
-HITS_SQL = "hits AS (SELECT o_custkey AS org, ['domain', 'vendor', 'exact', 'parent', 'none'][o_orderkey % 5 + 1] AS level, 'u' || o_orderkey AS url FROM orders WHERE o_orderkey % 3 = 0)"
+HITS_SQL = "hits AS (SELECT o_custkey AS org, ['domain', 'vendor', 'exact', 'parent', 'none'][o_orderkey % 5 + 1] AS level, 'u' || o_orderkey AS url FROM orders)"
 NTH = "list_position(['exact', 'parent', 'domain', 'vendor'], level)"
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    o = parquet(spark, d, "orders").filter("o_orderkey % 3 = 0")
+    o = parquet(spark, d, "orders")
     level = F.element_at(F.lit(["domain", "vendor", "exact", "parent", "none"]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return o.select(F.col("o_custkey").alias("org"), level.alias("level"), F.concat(F.lit("u"), F.col("o_orderkey")).alias("url"))
 
@@ -69,13 +58,6 @@ def eval_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.report(judged(spark, d), "lang", F.col("verdict") == "Yes")
 
 
-@R.query("SELECT * FROM (VALUES ('a', 2, 2, 1.0::DOUBLE), ('b', 1, 3, 0.3333::DOUBLE), ('c', 0, 1, 0.0::DOUBLE)) v(org, hits, expected, recall)")
-def eval_recall(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", ["x.edu", "y.edu"], ["https://x.edu/login", "http://y.edu"]), ("b", ["p", "q", "r"], ["https://p.in"]), ("c", ["z"], []), ("d", [], ["u"])]
-    out = evaluation.recall(spark.createDataFrame(rows, "org string, expected array<string>, found array<string>"), ["org"], "expected", "found")
-    return out.select("org", F.col("hits").cast("int").alias("hits"), F.col("expected").cast("int").alias("expected"), "recall")
-
-
 @R.query("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS both, count(*) FILTER (b.k IS NULL) AS only_first, count(*) FILTER (a.k IS NULL) AS only_second FROM a FULL JOIN b ON a.k = b.k")
 def shadow_compare(spark: SparkSession, d: str) -> DataFrame:
     o = parquet(spark, d, "orders").withColumnRenamed("o_custkey", "k")
@@ -100,30 +82,27 @@ def spa_runs(spark: SparkSession, d: str) -> DataFrame:
 def stream_runs(spark: SparkSession, d: str) -> DataFrame:
     """The runs again, from a stream that keeps the state of each key."""
     source = spark.readStream.schema(parquet(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"runs_{uuid.uuid4().hex}"
-    return runs.drained(runs.tracked(source, "user_id", "event_type", ["ts", "event_id"]), name, "update", _scratch(spark, name)).groupBy("key").agg(F.max("n_runs").alias("n_runs"))
+    return runs.tracked(source, "user_id", "event_type", ["ts", "event_id"], table=scratch(spark, "runs"), checkpoint=scratch(spark, "runs-log")).select("key", "n_runs")
 
 
 @R.query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(parquet(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"counts_{uuid.uuid4().hex}"
     counts = source.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return runs.drained(counts, name, "complete", _scratch(spark, name))
+    return runs.drained(counts, table=scratch(spark, "counts"), checkpoint=scratch(spark, "counts-log"))
 
 
 @R.query(
-    f"""WITH {PAGE_PARTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY page_id) AS n FROM canon) WHERE n = 1 AND page_id % 10 <> 3)
+    f"""WITH {PAGE_PARTS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY page_id) AS n FROM canon) WHERE n = 1 AND dedup_key NOT IN (SELECT dedup_key FROM canon WHERE contains(path, '/de/1')))
     SELECT page_id, dedup_key AS key, CASE WHEN root = 'example.net' THEN 'flag' ELSE '' END AS action FROM f WHERE NOT regexp_matches(host, '(^|\\.)example\\.org$')"""
 )
 def stream_discover(spark: SparkSession, d: str) -> DataFrame:
     """Pages as a stream of candidates: disputed keys and denied hosts go, flagged ones are marked."""
     active = spark.createDataFrame([(1, "host", "example.net", "flag"), (2, "host", "example.org", "deny")], "rule_id int, rule_type string, pattern string, action string")
     table = parquet(spark, d, "pages")
-    disputed = table.filter("page_id % 10 = 3").select(discover.urls.dedup_key(F.col("url")).alias("key"))
+    disputed = table.filter(F.col("url").contains("/de/1")).select(discover.urls.dedup_key(F.col("url")).alias("key"))
     source = spark.readStream.schema(table.schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    name = f"candidates_{uuid.uuid4().hex}"
-    found = discover.discover(source, active, disputed, table=f"{_scratch(spark, name)}/table", checkpoint=_scratch(spark, f"{name}_log"))
+    found = discover.discover(source, active, disputed, table=scratch(spark, "candidates"), checkpoint=scratch(spark, "candidates-log"))
     return found.select("page_id", "key", "action")
 
 
@@ -151,27 +130,3 @@ def search_log(spark: SparkSession, d: str) -> DataFrame:
     """Results as JSON text of bounded length."""
     ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x)
     return parquet(spark, d, "orders").groupBy("o_custkey").agg(F.substring(F.to_json(ids), 1, 60).alias("results"), F.count("*").alias("n"))
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's checkpoint: shared where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="orrery-")
-
-
-CLAUSES = [
-    (1, "You may not scrape the website or its data by any means.", "No", "scrape:prohibitive"),
-    (2, "The post-harvest season is described on this page.", "Yes", ""),
-    (3, "Our index of courses is open; crawling of public pages is allowed for search engines.", "No", "crawling:prohibitive,index:ambiguous"),
-    (4, "No one shall be liable to index anything.", "Maybe", "index:ambiguous"),
-    (5, "You must not archive content and must not extract records from the database.", "No", "archive:prohibitive,extract:prohibitive"),
-    (6, "You must not archive pages.", "Maybe", "archive:prohibitive"),
-    (7, "", "Yes", ""),
-]
-
-
-@R.query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}', '{m}')" for i, _, v, m in CLAUSES) + ") v(id, verdict, found)")
-def keyword_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(i, t) for i, t, *_ in CLAUSES], "id int, text string")
-    out = keyword_context.judge(df, keyword_context.EXAMPLE, key="id", text="text")
-    return out.select("id", "verdict", F.array_join(F.transform("found", lambda m: F.concat_ws(":", m["term"], m["context"])), ",").alias("found"))
