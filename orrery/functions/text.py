@@ -61,6 +61,19 @@ def visible_text(html: Column) -> Column:
     return one_line(F.regexp_replace(bare, r"<[^>]+>", " "))
 
 
+def main_text(html: Column, least: int = 100) -> Column:
+    """The visible text of a page's main part: of its <main> or <article> if that is long enough, else of all but its chrome.
+
+    Chrome are scripts, styles, navigation, headers, footers and asides.
+    """
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|nav|header|footer|aside)[^>]*>.*?</\1>", " ")
+    parts = [visible_text(F.regexp_extract(bare, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)) for tag in ("main", "article")]
+    out = visible_text(bare)
+    for p in reversed(parts):
+        out = F.when(F.length(p) >= least, p).otherwise(out)
+    return out
+
+
 def anchors(html: Column) -> Column:
     """The links of a page in order: array of href and text."""
     pattern = r"""(?is)<a\s[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""

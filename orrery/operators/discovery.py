@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import rules, urls
 from orrery.operators.dedup import top
+from orrery.operators.links import footer_links
 
 # Words that tell a student's login from others, and paths and labels of logins.
 STUDENT_PHRASES = ["student login", "student portal", "student access"]
@@ -22,7 +19,7 @@ LOGIN_PATHS = ["login", "signin", "sign-in", "logon", "/sso", "/auth", "acesso",
 PORTAL_LABELS = ["portal", "portais", "campus", "campusvirtual", "aulavirtual", "moodle", "autogestion", "guarani", "siu", "alumno", "alumnos", "aluno", "estudiante", "estudiantes", "student", "students", "sso", "id", "auth"]
 ERROR_PATHS = ["error", "/404", "/403", "/500", "notfound", "not-found", "page-not-found", "unavailable", "maintenance", "/oops"]
 LMS_HOSTS = ["moodle", "lms", "elearning", "learning", "vle", "lcms", "elearn"]
-LMS_ROOTS = ["cognibot.in", "talentlms.com", "blackboard.com", "canvaslms.com", "instructure.com", "moodlecloud.com"]
+LMS_ROOTS = ["cognibot.in", "talentlms.com", "classplusapp.com", "edmingle.com", "schoolyard.in", "blackboard.com", "canvaslms.com", "instructure.com", "brightspace.com", "moodlecloud.com"]
 
 
 def student_anchor_score(href: Column, text: Column, parent: Column) -> Column:
@@ -93,15 +90,21 @@ def verdict_block(text: Column) -> dict[str, Column]:
     return {"verdict": verdict, "clause": F.trim(F.regexp_replace(line("CLAUSE"), '^"+|"+$', "")), "reason": line("REASON")}
 
 
-def matched_by_place(df: DataFrame, places: DataFrame, *, place: str, name: str, keys: list[str], words: int = 3) -> DataFrame:
+def matched_by_place(df: DataFrame, places: DataFrame, *, place: str, name: str, keys: list[str]) -> DataFrame:
     """Rows with the rules whose alias stands in their place as whole words and whose word lists allow their name.
 
-    Runs of up to `words` words of the place meet the aliases by an equi join: an alias inside a word never matches.
-    places: rule, alias, need (array: some must be in the name, if any), bar (array: none may be).
+    Places and aliases are taken apart alike, at all but a-z and 0-9, so `U.P.` is `u p`. Runs of words of the place,
+    as long as the longest alias, meet the aliases by an equi join: an alias inside a word never matches. Null places
+    and aliases without words match nothing. places: rule, alias, need (array: some must be in the name, if any),
+    bar (array: none may be).
     """
-    w = F.filter(F.split(F.lower(F.col(place)), "[^a-z0-9]+"), lambda x: x != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    hits = df.select(*keys, F.lower(F.col(name)).alias("__name"), F.explode(F.array_distinct(runs)).alias("alias")).join(places, "alias")
+    split = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    rules_ = places.withColumn("__alias", split(F.col("alias"))).filter(F.size("__alias") > 0)
+    longest = rules_.agg(F.coalesce(F.max(F.size("__alias")), F.lit(0))).first()[0]
+    w = split(F.col(place))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, longest))), lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    said = df.select(*keys, F.lower(F.col(name)).alias("__name"), F.explode(F.array_distinct(runs)).alias("__alias"))
+    hits = said.join(rules_.withColumn("__alias", F.array_join("__alias", " ")), "__alias")
     ok = (F.size("need") == 0) | F.exists("need", lambda t: F.contains(F.col("__name"), t))
     return hits.filter(ok & ~F.exists("bar", lambda t: F.contains(F.col("__name"), t))).select(*keys, "rule").distinct()
 
@@ -155,13 +158,35 @@ def vendors(df: DataFrame, signatures: DataFrame, *, keys: list[str], text: Colu
     return df.crossJoin(F.broadcast(small)).select(*keys, found["vendor"].alias("vendor")).filter("vendor IS NOT NULL")  # one row of settings
 
 
-def similar(df: DataFrame, left: str, right: str, into: str = "ratio", most: int = 4096) -> DataFrame:
-    """df with the share of matching blocks (difflib's ratio) of the first characters of two texts."""
+def linked_makers(df: DataFrame, blocked: list[str], *, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Rows with the first domain that their footer links to and that isn't their own or blocked."""
+    found = footer_links(df, page=page, url=url, html=html).withColumn("vendor", urls.registrable(F.col("target_host")))
+    away = (F.col("vendor") != "") & (F.col("vendor") != urls.registrable(urls.host(F.col("base")))) & ~F.col("vendor").isin(blocked)
+    return top(found.filter(away), [page], [F.col("pos")]).select(page, "vendor")
+
+
+def with_metrics(df: DataFrame, known: DataFrame, *, host: str, domain: str, into: str) -> DataFrame:
+    """df with the score of its host, else of its domain, else 0. known: name (unique), score."""
+    by = lambda c, to: known.select(F.col("name").alias(c), F.col("score").alias(to))
+    joined = df.join(by(host, "__own"), host, "left").join(by(domain, "__up"), domain, "left")
+    return joined.withColumn(into, F.coalesce("__own", "__up", F.lit(0))).drop("__own", "__up")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)
-            ratios = [difflib.SequenceMatcher(None, (a or "")[:most], (b or "")[:most]).ratio() for a, b in pairs]
-            yield batch.append_column(into, pa.array(ratios, pa.float64()))
+def state_and_city(name: Column) -> dict[str, Column]:
+    """State and city of a name that ends in both in brackets; empty without them."""
+    part = lambda i: F.trim(F.regexp_extract(name, r"\(([^,()]*),([^()]*)\)\s*$", i))
+    return {"state": part(1), "city": part(2)}
 
-    return df.mapInArrow(run, df.withColumn(into, F.lit(0.0)).schema)
+
+def similar(df: DataFrame, left: str, right: str, into: str = "ratio") -> DataFrame:
+    """df with the share of words, counted as often as they occur, that two texts have in common; two without words: 1.
+
+    Words are runs of letters and digits, lower case. Null texts are empty.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # sorted words, each with how many like it went before: multisets become sets
+    numbered = lambda c: F.transform(F.col(c), lambda w, i: F.concat(w, F.lit(":"), (i - F.array_position(F.col(c), w)).cast("string")))
+    made = df.withColumns({"__a": F.array_sort(words(left)), "__b": F.array_sort(words(right))})
+    n = F.size("__a") + F.size("__b")
+    ratio = F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(numbered("__a"), numbered("__b"))) / n)
+    return made.withColumn(into, ratio).drop("__a", "__b")

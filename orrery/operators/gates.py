@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import rules, urls
+from orrery.functions.sites import challenge_page
 from orrery.functions.text import anchors
 from orrery.operators.dedup import top
 from orrery.operators.discovery import label_tokens, login_shape
@@ -78,6 +79,13 @@ def login_gate(url: Column, html: Column, shared: list[str]) -> Column:
     return rules.first_of([(urls.under(urls.host(url), shared), "shared platform"), (strict_form(html, url), "form"), (home & login_link(html).isNotNull(), "link"), (shape == "host", "host"), (shape == "path", "path")], "")
 
 
+def validated(*, status: Column, host: Column, body: Column, audience: Column, bare: list[str], foreign: list[str], others: list[str], allowed: tuple[int, ...] = (200, 401, 403)) -> Column:
+    """The first reason to reject an observed candidate, or `kept`: its status, a bare or foreign platform, an empty or challenged body, its audience."""
+    return rules.first_of([
+        (~status.isin(*allowed) | status.isNull(), "status"), (host.isin(bare), "bare platform"), (urls.under(host, foreign), "foreign"), (challenge_page(body), "body"), (rules.contains_any(audience, others), "audience"),
+    ], "kept")
+
+
 def membership(df: DataFrame, *, host: str, owned: str, names: str, platforms: list[str], foreign: list[str], shared: list[str], into: str = "reason") -> DataFrame:
     """df with why a host belongs to an organisation (`owned`: its domains, `names`: its short names), or why not.
 

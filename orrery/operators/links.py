@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions import urls
+from orrery.functions import sites, urls
 from orrery.functions.text import anchors
 from orrery.operators.dedup import not_in, top
 
@@ -44,3 +44,27 @@ def followups(links: DataFrame, seen: DataFrame, *, page: str = "page_id", key:
     keyed = links.filter(F.col("target").rlike("(?i)^https?://")).withColumn(key, urls.dedup_key(F.col("target")))
     fresh = top(not_in(keyed, seen, [key]), [page, key], [F.col("pos")])
     return top(fresh, [page], [F.col("pos")], cap)
+
+
+def footer_links(pages: DataFrame, *, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_links() of the footers alone."""
+    return page_links(pages.withColumn(html, sites.footer(F.col(html))), page=page, url=url, html=html)
+
+
+def two_levels(links: DataFrame, stored: DataFrame, *, page: str = "page_id", key: str = "key") -> DataFrame:
+    """page, key and level of the distinct targets of each page (1), and of the stored pages that it links to (2).
+
+    stored: page and key. Links of a page to itself lead nowhere; of two levels the first counts.
+    """
+    out = links.filter(F.col("target").rlike("(?i)^https?://")).select(page, urls.dedup_key(F.col("target")).alias(key)).distinct()
+    via = out.join(stored.select(F.col(page).alias("__via"), key), key).filter(F.col("__via") != F.col(page)).select(page, "__via").distinct()
+    second = via.join(out.select(F.col(page).alias("__via"), key), "__via").select(page, key)
+    both = out.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
+    return both.groupBy(page, key).agg(F.min("level").alias("level"))
+
+
+def legal_set(df: DataFrame, *, host: str, category: str, path: str, strong: str, order: list[Column], cap: int = 4) -> DataFrame:
+    """Per host one row of each category (of none: of each path), at most `cap`; a host without any strong row has none."""
+    one = top(df.withColumn("__key", F.coalesce(category, path)), [host, "__key"], order).drop("__key")
+    good = one.groupBy(host).agg(F.bool_or(strong).alias("__strong")).filter("__strong").select(host)
+    return top(one.join(good, host, "left_semi"), [host], order, cap)

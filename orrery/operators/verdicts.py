@@ -49,3 +49,40 @@ def waterfall(won: DataFrame, keys: list[str], rungs: list[str], rung: str = "le
     nth = F.array_position(F.lit(rungs), F.col(rung))
     cells = won.groupBy(*keys).agg(F.min(nth).alias("nth"), F.array_join(F.array_sort(F.collect_set(value)), "\n").alias("cell"))
     return cells.select(*keys, *[F.when(F.col("nth") > i, "n/a").when(F.col("nth") == i, F.col("cell")).otherwise("").alias(r) for i, r in enumerate(rungs, 1)])
+
+
+def cascade(df: DataFrame, caches: list[tuple[str, DataFrame, list[str]]], *, scored: Column, verdict: str = "verdict") -> DataFrame:
+    """df with the verdict of the first cache that has its keys, else a score, and `via`, the name of what gave it.
+
+    caches: name, table of unique keys and verdict, keys. Tables meet by equi joins, so none needs to be small.
+    """
+    via, value = F.lit("scored"), scored
+    for i, (_, table, keys) in enumerate(caches):
+        df = df.join(table.select(*keys, F.col(verdict).alias(f"__{i}")), keys, "left")
+    for i in range(len(caches), 0, -1):
+        via, value = F.when(F.col(f"__{i - 1}").isNotNull(), caches[i - 1][0]).otherwise(via), F.coalesce(f"__{i - 1}", value)
+    return df.withColumns({verdict: value, "via": via}).drop(*[f"__{i}" for i in range(len(caches))])
+
+
+def through(df: DataFrame, tables: list[tuple[str, DataFrame]], keys: list[str], *, default: str, verdict: str = "verdict") -> DataFrame:
+    """df with the verdict of the first table that has its keys and where it came from; the default and `none` if none has."""
+    out = cascade(df, [(name, table, keys) for name, table in tables], scored=F.lit(default), verdict=verdict)
+    return out.withColumn("via", F.when(F.col("via") == "scored", "none").otherwise(F.col("via")))
+
+
+def escalated(df: DataFrame, second: DataFrame, keys: list[str], *, when: Column, verdict: str = "verdict") -> DataFrame:
+    """df where rows that satisfy `when` take the verdict of `second` (keys, second), if it has one; via says which."""
+    joined = df.withColumn("__up", F.coalesce(when, F.lit(False))).join(second, keys, "left")
+    use = F.col("__up") & F.col("second").isNotNull()
+    return joined.withColumns({verdict: F.when(use, F.col("second")).otherwise(F.col(verdict)), "via": F.when(use, "second").otherwise("keyword")}).drop("__up", "second")
+
+
+def per_org(orgs: DataFrame, findings: DataFrame, judged: DataFrame, *, org: str, url: str) -> DataFrame:
+    """A row for each organisation: its finding's level, verdict and confidence; a default row where nothing was found.
+
+    A finding that nobody judged counts as unclear.
+    """
+    joined = orgs.join(findings, org, "left").join(judged, url, "left")
+    verdict = F.when(F.col(url).isNull(), NONE_FOUND).otherwise(F.coalesce("verdict", F.lit("Maybe")))
+    confidence = F.when(F.col(url).isNull(), 0.6).otherwise(F.coalesce("confidence", F.lit(0.0)))
+    return joined.select(org, url, F.coalesce("level", F.lit("none")).alias("level"), verdict.alias("verdict"), confidence.alias("confidence"))

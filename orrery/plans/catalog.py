@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import catalogue, discovery, gates, tables, verdicts, web
+from orrery.plans import catalogue, discovery, gates, observed, tables, verdicts, web
 
-_ALL = [web.R, catalogue.R, discovery.R, gates.R, tables.R, verdicts.R]
+_ALL = [web.R, catalogue.R, discovery.R, gates.R, observed.R, tables.R, verdicts.R]
 QUERIES = {name: f for r in _ALL for name, f in r.queries.items()}
 ORACLE_SQL = {name: sql for r in _ALL for name, sql in r.sql.items()}
 FLAGSHIP = "url_shortlist"

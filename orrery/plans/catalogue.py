@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import urls
 from orrery.operators import catalog, cells, dedup, feedback
-from orrery.plans.roles import ALL_PORTALS, FEEDBACK, ORGS, PORTALS, Registry, all_portals, orgs, portals
+from orrery.plans.roles import ALL_PORTALS, FEEDBACK, ORGS, Registry, all_portals, orgs
 from orrery.plans.roles import feedback as log
 from orrery.sources.tables import parquet
 
@@ -15,28 +15,29 @@ R = Registry()
 
 
 @R.query(
-    f"""WITH {PORTALS}, n AS (SELECT orgid, count(*) AS n_portals, string_agg(portal_url, chr(10) ORDER BY category, portal_url) AS portals FROM portals GROUP BY orgid)
+    f"""WITH {ALL_PORTALS}, n AS (SELECT orgid, count(*) AS n_portals, string_agg(portal_url, chr(10) ORDER BY category, portal_url) AS portals FROM all_portals GROUP BY orgid)
     SELECT o.orgid, o.name, o.country, coalesce(n_portals, 0) AS n_portals, coalesce(n.portals, '') AS portals FROM orgs o LEFT JOIN n USING (orgid) ORDER BY n_portals DESC, name, orgid LIMIT 40"""
 )
 def browse_orgs(spark: SparkSession, d: str) -> DataFrame:
     """The first page of organisations, most portals first, with their portals in a cell."""
-    o, p = orgs(spark, d), portals(spark, d)
+    o, p = orgs(spark, d), all_portals(spark, d)
     first = catalog.page(catalog.with_portal_counts(o, p), [F.col("n_portals").desc(), F.col("name"), F.col("orgid")], limit=40)
     return catalog.with_portal_list(first, p).select("orgid", "name", "country", "n_portals", "portals")
 
 
-@R.query(f"WITH {PORTALS} SELECT orgid, name FROM orgs WHERE orgid NOT IN (SELECT orgid FROM portals)")
+@R.query(f"WITH {ALL_PORTALS} SELECT orgid, name FROM orgs WHERE orgid NOT IN (SELECT orgid FROM all_portals WHERE status = 'P' AND category = '1-URGENT')")
 def browse_missing(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.without_portals(orgs(spark, d), portals(spark, d)).select("orgid", "name")
+    """Organisations without a portal that is urgent and pending."""
+    return catalog.without_portals(orgs(spark, d), all_portals(spark, d).filter("status = 'P' AND category = '1-URGENT'")).select("orgid", "name")
 
 
 @R.query(
-    f"""WITH {PORTALS}, hits AS (SELECT * FROM portals WHERE lower(university) LIKE '%customer#0000_1%' OR lower(portal_url) LIKE '%org77.%'),
+    f"""WITH {ALL_PORTALS}, hits AS (SELECT * FROM all_portals WHERE lower(university) LIKE '%customer#0000_1%' OR lower(portal_url) LIKE '%org77.%'),
     g AS (SELECT DISTINCT university, orgid FROM hits ORDER BY university, orgid LIMIT 20) SELECT h.orgid, h.university AS name, h.portal_url FROM hits h JOIN g USING (university, orgid)"""
 )
 def search_groups(spark: SparkSession, d: str) -> DataFrame:
     """Wildcards in the text are live; the limit counts organisations."""
-    p = portals(spark, d)
+    p = all_portals(spark, d)
     hits = p.filter(catalog.like_any("customer#0000_1", F.col("university")) | catalog.like_any("org77.", F.col("portal_url"))).withColumnRenamed("university", "name")
     return dedup.top_groups(hits, ["name", "orgid"], 20).select("orgid", "name", "portal_url")
 
@@ -55,28 +56,28 @@ def state_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    f"""WITH {PORTALS}, a AS (SELECT country, count(*) AS n_orgs FROM orgs GROUP BY country), b AS (SELECT country, count(*) AS n_portals, count(DISTINCT orgid) AS n_covered FROM portals GROUP BY country)
+    f"""WITH {ALL_PORTALS}, a AS (SELECT country, count(*) AS n_orgs FROM orgs GROUP BY country), b AS (SELECT country, count(*) AS n_portals, count(DISTINCT orgid) AS n_covered FROM all_portals GROUP BY country)
     SELECT country, coalesce(n_orgs, 0) AS n_orgs, coalesce(n_portals, 0) AS n_portals, coalesce(n_covered, 0) AS n_covered FROM a FULL JOIN b USING (country)"""
 )
 def country_counts(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.country_counts(orgs(spark, d), portals(spark, d))
+    return catalog.country_counts(orgs(spark, d), all_portals(spark, d))
 
 
 @R.query(
-    f"""WITH {PORTALS}, o AS (SELECT count(*) AS n_orgs FROM orgs), p AS (SELECT count(*) AS n_portals, count(DISTINCT orgid) AS n_covered FROM portals),
+    f"""WITH {ALL_PORTALS}, o AS (SELECT count(*) AS n_orgs FROM orgs), p AS (SELECT count(*) AS n_portals, count(DISTINCT orgid) AS n_covered FROM all_portals),
     v AS (SELECT count(*) AS n_verified FROM orgs WHERE orgid IN (SELECT l_suppkey FROM lineitem)) SELECT n_orgs, n_portals, n_covered, n_verified, round(100.0 * n_covered / n_orgs, 1) AS coverage_pct, round(n_portals / n_covered, 1) AS per_covered FROM o, p, v"""
 )
 def insights_totals(spark: SparkSession, d: str) -> DataFrame:
     verified = parquet(spark, d, "lineitem").select(F.col("l_suppkey").alias("orgid"))
-    return catalog.insights(orgs(spark, d), portals(spark, d), verified)
+    return catalog.insights(orgs(spark, d), all_portals(spark, d), verified)
 
 
 @R.query(
-    f"""WITH {PORTALS}, b AS (SELECT orgid, count(*) AS n FROM portals GROUP BY orgid) SELECT country, count(*) AS n_orgs, count(n) AS n_covered, round(100.0 * count(n) / count(*), 1) AS coverage_pct
+    f"""WITH {ALL_PORTALS}, b AS (SELECT orgid, count(*) AS n FROM all_portals GROUP BY orgid) SELECT country, count(*) AS n_orgs, count(n) AS n_covered, round(100.0 * count(n) / count(*), 1) AS coverage_pct
     FROM orgs LEFT JOIN b USING (orgid) GROUP BY country"""
 )
 def insights_country(spark: SparkSession, d: str) -> DataFrame:
-    x = catalog.with_portal_counts(orgs(spark, d), portals(spark, d))
+    x = catalog.with_portal_counts(orgs(spark, d), all_portals(spark, d))
     out = x.groupBy("country").agg(F.count("*").alias("n_orgs"), F.count_if(F.col("n_portals") > 0).alias("n_covered"))
     return out.withColumn("coverage_pct", F.round(100.0 * F.col("n_covered") / F.col("n_orgs"), 1))
 
@@ -91,15 +92,15 @@ def category_dist(spark: SparkSession, d: str) -> DataFrame:
     return all_portals(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("orgid").alias("n_orgs"), F.count_if(F.col("status") == "F").alias("n_final"))
 
 
-@R.query(f"WITH {PORTALS} SELECT country, state, name, portal_url, category FROM portals JOIN orgs USING (orgid, country) WHERE category <> ''")
+@R.query(f"WITH {ALL_PORTALS} SELECT country, state, name, portal_url, category FROM all_portals JOIN orgs USING (orgid, country) WHERE category <> ''")
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
-    p = portals(spark, d).join(orgs(spark, d).select("orgid", "state", "name"), "orgid")
+    p = all_portals(spark, d).join(orgs(spark, d).select("orgid", "state", "name"), "orgid")
     return p.select("country", "state", "name", "portal_url", "category").orderBy("country", "state", "name", "portal_url")
 
 
-@R.query(f"WITH {PORTALS} SELECT id, portal_url FROM portals WHERE portal_url LIKE 'https://p1.%' OR orgid = 7")
+@R.query(f"WITH {ALL_PORTALS} SELECT id, portal_url FROM all_portals WHERE portal_url LIKE 'https://p1.%' OR orgid = 7")
 def lookup_domain(spark: SparkSession, d: str) -> DataFrame:
-    p = portals(spark, d)
+    p = all_portals(spark, d)
     return p.filter(urls.host(F.col("portal_url")).startswith("p1.") | (F.col("orgid") == 7)).select("id", "portal_url")
 
 
@@ -110,25 +111,25 @@ def recent_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    f"""WITH {PORTALS}, s AS (SELECT s_suppkey AS orgid, s_name AS name, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0)
+    f"""WITH {ALL_PORTALS}, s AS (SELECT s_suppkey AS orgid, s_name AS name, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0)
     SELECT coalesce(s.orgid, p.orgid) AS orgid, coalesce(s.name, p.name) AS name, coalesce(s.country, p.country) AS country, coalesce(n, 0) AS n_portals
-    FROM s FULL JOIN (SELECT orgid, max(university) AS name, max(country) AS country, count(*) AS n FROM portals GROUP BY orgid) p ON s.orgid = p.orgid"""
+    FROM s FULL JOIN (SELECT orgid, max(university) AS name, max(country) AS country, count(*) AS n FROM all_portals GROUP BY orgid) p ON s.orgid = p.orgid"""
 )
 def org_profiles(spark: SparkSession, d: str) -> DataFrame:
     s, n = parquet(spark, d, "supplier"), parquet(spark, d, "nation")
-    known = s.filter("s_suppkey % 2 = 0").join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("orgid"), F.col("s_name").alias("name"), F.col("n_name").alias("country"))
-    return catalog.profile(known, portals(spark, d))
+    known = s.filter("s_acctbal > 0").join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("orgid"), F.col("s_name").alias("name"), F.col("n_name").alias("country"))
+    return catalog.profile(known, all_portals(spark, d))
 
 
-@R.query(f"WITH {PORTALS} SELECT orgid, max(university) AS name, max(country) AS country FROM portals WHERE orgid NOT IN (SELECT s_suppkey FROM supplier) GROUP BY orgid")
+@R.query(f"WITH {ALL_PORTALS} SELECT orgid, max(university) AS name, max(country) AS country FROM all_portals WHERE orgid NOT IN (SELECT s_suppkey FROM supplier) GROUP BY orgid")
 def backfill_anti(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.backfill(parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("orgid")), portals(spark, d))
+    return catalog.backfill(parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("orgid")), all_portals(spark, d))
 
 
-@R.query(f"WITH {PORTALS} SELECT id, orgid IN (SELECT s_suppkey FROM supplier) AS org_verified, id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS url_live FROM portals")
+@R.query(f"WITH {ALL_PORTALS} SELECT id, orgid IN (SELECT s_suppkey FROM supplier) AS org_verified, id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS url_live FROM all_portals")
 def verified_flags(spark: SparkSession, d: str) -> DataFrame:
     """Verification is by id, and exact by url, never by host."""
-    p, s, li = portals(spark, d), parquet(spark, d, "supplier"), parquet(spark, d, "lineitem")
+    p, s, li = all_portals(spark, d), parquet(spark, d, "supplier"), parquet(spark, d, "lineitem")
     vetted = s.select(F.col("s_suppkey").alias("orgid"), F.lit(True).alias("v"))
     live = li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct().withColumn("x", F.lit(True))
     return p.join(vetted, "orgid", "left").join(live, "id", "left").select("id", F.coalesce("v", F.lit(False)).alias("org_verified"), F.coalesce("x", F.lit(False)).alias("url_live"))
@@ -206,21 +207,21 @@ def confirmed_state(spark: SparkSession, d: str) -> DataFrame:
     return feedback.standing(log(spark, d), ["host"], "id")
 
 
-@R.query(f"WITH {PORTALS} SELECT orgid, count(*) AS n FROM portals WHERE orgid <> 7 GROUP BY orgid")
+@R.query(f"WITH {ALL_PORTALS} SELECT orgid, count(*) AS n FROM all_portals WHERE orgid <> 7 GROUP BY orgid")
 def purged_org(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.without(portals(spark, d).withColumn("orgid", F.col("orgid").cast("string")), orgid="7").groupBy(F.col("orgid").cast("long").alias("orgid")).agg(F.count("*").alias("n"))
+    return feedback.without(all_portals(spark, d).withColumn("orgid", F.col("orgid").cast("string")), orgid="7").groupBy(F.col("orgid").cast("long").alias("orgid")).agg(F.count("*").alias("n"))
 
 
-@R.query(f"WITH {PORTALS}, f AS (SELECT DISTINCT orgid, portal_url FROM all_portals WHERE status = 'F'), o AS (SELECT DISTINCT orgid, portal_url FROM all_portals WHERE category = '1-URGENT') SELECT orgid, portal_url, 'left' AS side FROM (FROM f EXCEPT FROM o) UNION ALL SELECT orgid, portal_url, 'right' FROM (FROM o EXCEPT FROM f)")
+@R.query(f"WITH {ALL_PORTALS}, f AS (SELECT DISTINCT orgid, portal_url FROM all_portals WHERE status = 'F'), o AS (SELECT DISTINCT orgid, portal_url FROM all_portals WHERE category = '1-URGENT') SELECT orgid, portal_url, 'left' AS side FROM (FROM f EXCEPT FROM o) UNION ALL SELECT orgid, portal_url, 'right' FROM (FROM o EXCEPT FROM f)")
 def reconcile_sets(spark: SparkSession, d: str) -> DataFrame:
     p = all_portals(spark, d)
     return cells.differences(p.filter("status = 'F'"), p.filter("category = '1-URGENT'"), ["orgid", "portal_url"])
 
 
-@R.query(f"WITH {ALL_PORTALS}, hit AS (SELECT DISTINCT orgid, category FROM all_portals WHERE id % 97 = 0) SELECT id, orgid, category FROM all_portals WHERE (orgid, category) IN (SELECT orgid, category FROM hit)")
+@R.query(f"WITH {ALL_PORTALS}, hit AS (SELECT DISTINCT orgid, category FROM all_portals WHERE status = 'P') SELECT id, orgid, category FROM all_portals WHERE (orgid, category) IN (SELECT orgid, category FROM hit)")
 def activation_block(spark: SparkSession, d: str) -> DataFrame:
     p = all_portals(spark, d)
-    return cells.block_of(p, p.filter("id % 97 = 0"), ["id"], ["orgid", "category"]).select("id", "orgid", "category")
+    return cells.block_of(p, p.filter("status = 'P'"), ["id"], ["orgid", "category"]).select("id", "orgid", "category")
 
 
 @R.query(
@@ -236,26 +237,20 @@ def cross_product_missing(spark: SparkSession, d: str) -> DataFrame:
     return cells.missing_pairs(logins, terms, have, "orgid", "login", "terms")
 
 
-@R.query(f"WITH {PORTALS} SELECT orgid, university AS name, string_agg(portal_url, chr(10) ORDER BY category, portal_url) AS portal_cell, count(*) AS n FROM portals GROUP BY ALL")
+@R.query(f"WITH {ALL_PORTALS} SELECT orgid, university AS name, string_agg(portal_url, chr(10) ORDER BY category, portal_url) AS portal_cell, count(*) AS n FROM all_portals GROUP BY ALL")
 def sheet_row(spark: SparkSession, d: str) -> DataFrame:
-    p = portals(spark, d)
+    p = all_portals(spark, d)
     rows = p.select("orgid", F.col("university").alias("name")).distinct()
     return catalog.with_portal_counts(catalog.with_portal_list(rows, p), p).select("orgid", "name", F.col("portals").alias("portal_cell"), F.col("n_portals").alias("n"))
 
 
-@R.query(f"WITH {PORTALS}, c AS (SELECT orgid, portal_url FROM portals) SELECT orgid, portal_url AS url FROM c")
+@R.query(f"WITH {ALL_PORTALS}, c AS (SELECT orgid, portal_url FROM all_portals) SELECT orgid, portal_url AS url FROM c")
 def cell_explode(spark: SparkSession, d: str) -> DataFrame:
     """Cells of many urls taken apart again."""
-    listed = catalog.with_portal_list(portals(spark, d).select("orgid").distinct(), portals(spark, d))
+    listed = catalog.with_portal_list(all_portals(spark, d).select("orgid").distinct(), all_portals(spark, d))
     return cells.exploded(listed, "portals", "url").select("orgid", "url")
 
 
-@R.query("SELECT * FROM (VALUES (1, 0, 'a', 'x'), (1, 1, 'b', 'y'), (2, 0, 'c', 'N/A'), (2, 1, 'd', 'N/A')) v(org, pos, portal, terms)")
-def cell_zip(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(1, "a\nb", "x\ny"), (2, "c\n d", "z"), (3, "", "q")], "org int, portal string, terms string")
-    return cells.zipped(df, "portal", "terms", ["org"])
-
-
 @R.query("SELECT DISTINCT p_partkey, v FROM (SELECT p_partkey, unnest([p_brand, p_type, p_name]) AS v FROM part) WHERE v LIKE '%1%'")
 def unpivot_distinct(spark: SparkSession, d: str) -> DataFrame:
     return cells.unpivoted(parquet(spark, d, "part"), ["p_partkey"], ["p_brand", "p_type", "p_name"], "v", F.col("v").contains("1"))

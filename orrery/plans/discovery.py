@@ -1,4 +1,4 @@
-"""Queries over candidates: scores, gates and matching. Where the tables hold no such words, rows are literal."""
+"""Queries over candidates: matching, choice and repair."""
 
 from __future__ import annotations
 
@@ -7,121 +7,18 @@ from pyspark.sql import functions as F
 
 from orrery.functions import rules, urls
 from orrery.operators import dedup, discovery
-from orrery.plans.roles import ORGS, PAGE_PARTS, PORTALS, Registry, orgs, pages, portals
+from orrery.plans.roles import ALL_PORTALS, ORGS, PAGE_PARTS, Registry, all_portals, orgs, pages
 from orrery.sources.tables import parquet
 
 R = Registry()
 
 
-def literal(rows: list[tuple], names: str) -> str:
-    """Expected rows as SQL."""
-    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({names})"
-
-
-ANCHORS = [
-    (1, "/student/login", "Student Login", "", 6), (2, "/ums", "UMS", "For students", 2), (3, "/staff/login", "Staff", "", -1), (4, "/alumni/student", "Alumni", "", -1), (5, "/about", "About us", "student", 0), (6, "/portal", "Portal", None, 0),
-]
-
-
-@R.query(literal([(a[0], a[4]) for a in ANCHORS], "id, score"))
-def anchor_scores(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([a[:4] for a in ANCHORS], "id int, href string, text string, parent string")
-    return df.select("id", discovery.student_anchor_score(F.col("href"), F.col("text"), F.col("parent")).alias("score"))
-
-
-SHAPES = [("https://portal.yonsei.ac.kr/error.html", ""), ("https://campusvirtual.u.edu/x", "host"), ("https://www.u.edu/Login.aspx", "path"), ("https://u.edu/about", ""), ("https://idp.u.edu/", "host"), ("https://x.u.edu/sso/a", "path")]
-
-
-@R.query(literal(SHAPES, "url, shape"))
-def login_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(u,) for u, _ in SHAPES], "url string").select("url", discovery.login_shape(F.col("url")).alias("shape"))
-
-
-LMS = [("https://lms.u.edu/login/index.php", None, 4), ("https://u.talentlms.com/", "", 3), ("https://u.edu/x", "Powered by Moodle", 2), ("https://u.edu/moodle/y", None, 2), ("https://u.edu/", "plain", 0)]
-
-
-@R.query(literal([(u, n) for u, _, n in LMS], "url, score"))
-def lms_scores(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(u, b) for u, b, _ in LMS], "url string, body string")
-    return df.select("url", discovery.lms_score(F.col("url"), F.col("body")).alias("score"))
-
-
-CANDIDATES = [("https://u.edu/student/login", True, 12), ("https://u.edu/staff/login", True, -3), ("https://x.u.edu/a/b/c", False, 0), ("https://www.u.edu/auth", False, 5)]
-
-
-@R.query(literal([(u, n) for u, _, n in CANDIDATES], "url, score"))
-def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(u, p) for u, p, _ in CANDIDATES], "url string, password boolean")
-    return df.select("url", discovery.candidate_score(F.col("url"), F.col("password"), F.lit("u.edu")).alias("score"))
-
-
-FORMS = [(1, '<form action=x><input name="UserName"><INPUT type="password" id="p"></form>', 1, 2, 1, True), (2, "<p>no form</p>", 0, 0, 0, False), (3, None, 0, 0, 0, False), (4, "<form><input type='search'></form><form >", 2, 1, 0, False)]
-
-
-@R.query(literal([(i, a, b, c, str(u)) for i, _, a, b, c, u in FORMS], "id, n_forms, n_inputs, n_passwords, has_user"))
-def form_signals(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([f[:2] for f in FORMS], "id int, html string")
-    s = discovery.form_signals(F.col("html"))
-    return df.select("id", s["n_forms"].alias("n_forms"), s["n_inputs"].alias("n_inputs"), s["n_passwords"].alias("n_passwords"), F.initcap(s["has_user"].cast("string")).alias("has_user"))
-
-
-@R.query(literal([("AdminLogin$UserName", "admin login user name"), ("roll-no_field", "roll no field"), ("txtPRN", "txt prn")], "name, words"))
-def label_words(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([("AdminLogin$UserName",), ("roll-no_field",), ("txtPRN",)], "name string")
-    return df.select("name", F.array_join(discovery.label_tokens(F.col("name")), " ").alias("words"))
-
-
-TITLES = [("Disclaimer - DU", "yes"), ("Home - Delhi University", "no"), ("Terms of Use | X - Y", "yes"), ("Welcome | Disclaimer", "no")]
-
-
-@R.query(literal(TITLES, "title, strong"))
-def strong_titles(spark: SparkSession, d: str) -> DataFrame:
-    strong = discovery.strong_title(F.col("title"), ["disclaimer", "terms of use", "privacy policy"])
-    return spark.createDataFrame([(t,) for t, _ in TITLES], "title string").select("title", F.when(strong, "yes").otherwise("no").alias("strong"))
-
-
-BLOCKS = [("x\nVERDICT: Prohibited\nCLAUSE: \"no bots\"\nREASON: says so", "No", "no bots", "says so"), ("verdict: ALLOWED", "Yes", "", ""), ("nothing", None, "", "")]
-
-
-@R.query(literal([(i, *b[1:]) for i, b in enumerate(BLOCKS)], "id, verdict, clause, reason"))
-def verdict_blocks(spark: SparkSession, d: str) -> DataFrame:
-    parts = discovery.verdict_block(F.col("text"))
-    return spark.createDataFrame([(i, b[0]) for i, b in enumerate(BLOCKS)], "id int, text string").select("id", *[c.alias(k) for k, c in parts.items()])
-
-
-@R.query(literal([(1, "b"), (2, None)], "id, second"))
-def json_in_text(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(1, 'Sure: ["a",\n "b"] done'), (2, "none")], "id int, text string")
-    return df.select("id", F.try_element_at(discovery.first_json(F.col("text"), "array<string>"), F.lit(2)).alias("second"))
-
-
-PLACES = [("hapur", "Meerut", [], ["engineering"]), ("thiruvananthapuram", "Kerala", [], []), ("western up", "Meerut", [], []), ("kerala", "KTU", ["engineering"], [])]
-COLLEGES = [(1, "Thiruvananthapuram, Kerala", "Arts College"), (2, "Hapur (Western UP)", "College of Engineering"), (3, "Hapur", "Arts"), (4, "kerala", "Engineering"), (5, None, "x")]
-
-
-@R.query(literal([(1, "Kerala"), (2, "Meerut"), (3, "Meerut"), (4, "KTU")], "id, rule"))
-def affiliation_match(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame(COLLEGES, "id int, place string, name string")
-    places = spark.createDataFrame(PLACES, "alias string, rule string, need array<string>, bar array<string>")
-    return discovery.matched_by_place(df, places, place="place", name="name", keys=["id"])
-
-
-@R.query(f"WITH {ORGS} SELECT orgid, country AS rule FROM orgs WHERE country IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) AND contains(name, '1') AND NOT contains(name, '7')")
+@R.query(f"WITH {ORGS} SELECT orgid, country AS rule FROM orgs WHERE country IN (SELECT n_name FROM nation WHERE n_regionkey < 3) AND contains(name, '1') AND NOT contains(name, '7')")
 def affiliation_tables(spark: SparkSession, d: str) -> DataFrame:
-    places = parquet(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("rule"), F.translate(F.lower("n_name"), "_", " ").alias("alias"), F.array(F.lit("1")).alias("need"), F.array(F.lit("7")).alias("bar"))
+    places = parquet(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_name").alias("rule"), F.translate(F.lower("n_name"), "_", " ").alias("alias"), F.array(F.lit("1")).alias("need"), F.array(F.lit("7")).alias("bar"))
     return discovery.matched_by_place(orgs(spark, d), places, place="country", name="name", keys=["orgid"])
 
 
-TENANTS = [(1, "s.edu", "du"), (2, "s.edu", "durec"), (3, "s.edu", "jnurec"), (4, "s.ac", "durec"), (5, "s.edu", "rec"), (6, "s.edu", "duadmission")]
-
-
-@R.query(literal([(1, "du"), (3, "jnurec"), (4, "durec"), (5, "rec")], "id, tenant"))
-def tenant_peers(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame(TENANTS, "id int, root string, tenant string")
-    return discovery.without_admin_peers(df, root="root", tenant="tenant", suffixes=["rec", "admission"]).select("id", "tenant")
-
-
 @R.query(
     f"""WITH {PAGE_PARTS}, p AS (SELECT split_part(host, '.', 1) AS label, root, page_id FROM hosts WHERE root <> 'example.com'), n AS (SELECT label, root, count(*) AS n, min(page_id) AS pos FROM p GROUP BY ALL),
     s AS (SELECT label, arg_max(root, struct_pack(a := ends_with(root, '.org'), n := n, p := -pos)) AS seen FROM n GROUP BY label), all_labels AS (SELECT DISTINCT split_part(host, '.', 1) AS label FROM hosts)
@@ -172,21 +69,13 @@ def vendor_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    f"""WITH {PORTALS}, t AS (SELECT orgid, portal_url, id, CASE category || (id % 4) WHEN '1-URGENT0' THEN 4 WHEN '1-URGENT1' THEN 4 WHEN '1-URGENT2' THEN 2 ELSE 1 END AS authority FROM portals)
+    f"""WITH {ALL_PORTALS}, t AS (SELECT orgid, portal_url, id, CASE WHEN id % 4 < 2 THEN 4 WHEN id % 4 = 2 THEN 2 ELSE 1 END AS authority FROM all_portals)
     SELECT orgid, portal_url, authority FROM (SELECT *, row_number() OVER (PARTITION BY orgid ORDER BY authority DESC, id) AS n FROM t) WHERE n = 1"""
 )
 def best_authority(spark: SparkSession, d: str) -> DataFrame:
     """Per organisation the finding of most authority; of equals the one found first."""
     authority = F.when(F.col("id") % 4 < 2, 4).when(F.col("id") % 4 == 2, 2).otherwise(1)
-    return dedup.top(portals(spark, d).withColumn("authority", authority), ["orgid"], [F.col("authority").desc(), F.col("id")]).select("orgid", "portal_url", "authority")
-
-
-RATIOS = [("a", "abcd", "bcde", 0.75), ("b", "same", "same", 1.0), ("c", "", None, 1.0), ("d", "x", "y", 0.0)]
-
-
-@R.query(literal([(k, r) for k, *_, r in RATIOS], "key, ratio").replace("0.75)", "0.75::DOUBLE)"))
-def text_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.similar(spark.createDataFrame([r[:3] for r in RATIOS], "key string, x string, y string"), "x", "y").select("key", "ratio")
+    return dedup.top(all_portals(spark, d).withColumn("authority", authority), ["orgid"], [F.col("authority").desc(), F.col("id")]).select("orgid", "portal_url", "authority")
 
 
 @R.query("SELECT n_nationkey, CASE WHEN n_name LIKE '%NEG%' THEN 'none' WHEN n_name LIKE '%A' THEN 'phrase' WHEN n_name LIKE '%IN%' THEN 'city' ELSE 'none' END AS region FROM nation")
@@ -220,13 +109,6 @@ def bucket_order(spark: SparkSession, d: str) -> DataFrame:
     return parquet(spark, d, "orders").select("o_orderkey", bucket.alias("bucket")).orderBy("bucket", "o_orderkey").limit(500)
 
 
-@R.query(literal([("DAV (Punjab, Jalandhar)", "Punjab", "Jalandhar"), ("IIT Delhi", "", "")], "name, state, city"))
-def state_city(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([("DAV (Punjab, Jalandhar)",), ("IIT Delhi",)], "name string")
-    part = lambda i: F.trim(F.regexp_extract("name", r"\(([^,()]*),([^()]*)\)\s*$", i))
-    return df.select("name", part(1).alias("state"), part(2).alias("city"))
-
-
 @R.query("WITH c AS (SELECT l_orderkey, list(DISTINCT l_shipdate::DATE::VARCHAR) AS days FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey FROM c WHERE list_has_any(days, ['1995-01-01', '1996-02-02', '1997-03-03', '1995-06-17', '1996-12-12', '1994-07-07'])")
 def any_cell_matches(spark: SparkSession, d: str) -> DataFrame:
     """Rows of which any of several cells is in a list."""

