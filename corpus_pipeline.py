@@ -8,13 +8,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orrery.llm import mixing, near_dup, quality_rules, secret_scan, sentence_pieces
-from orrery.llm.common import stored, table
+from orrery.llm.common import discard, n_stored, stored, table
 
 MODEL = "piece_bpe_32k.model"
-MAX_SOURCES, MAX_TEXTS = 5, 20  # that hold a live secret; distinct texts stand for repositories
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +28,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked, copied ones too; documents stay. Values of more texts or sources are examples."""
-    return secret_scan.redact(docs, repository=F.xxhash64("text"), max_owners=MAX_SOURCES, max_repositories=MAX_TEXTS, mask_copied=True)
+    return secret_scan.redact(docs, mask_copied=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in a row. What a stage wrote for itself, and its input, are deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), n_stored(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        discard(spark, since=before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,13 +14,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dirs: dict[str, str] = {}
-_written: list[str] = []
+_written: dict[str, list[str]] = {}  # by application: tables that stored() wrote and nobody discarded
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine serves if the session is local; a cluster without it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="orrery-")
@@ -33,17 +38,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    _written.append(at)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def discard(spark: SparkSession) -> int:
-    """Deletes what stored() has written in this process, once the results that read it are written; how many tables."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that stored() wrote for this application, once the results that read them are written.
+
+    The first `since` and the last `keep` of them stay. Returns how many tables went.
+    """
+    jvm, conf, written = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _written.get(spark.sparkContext.applicationId, [])
+    gone = written[since : len(written) - keep]
+    for at in gone:
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    written[since : len(written) - keep] = []
+    return len(gone)
+
+
+def n_stored(spark: SparkSession) -> int:
+    """How many tables of this application are there."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
 
 
 BATCH_ROWS = 1_000
