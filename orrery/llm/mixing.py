@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets the exponential key -ln(u) / w, where u is a hash of its id and w its quality weight; ascending
+Each document gets the exponential key -ln(u) / w, where u is a hash of its id and text and w its quality weight; ascending
 keys are a weighted order without replacement. Within a source that order is prefix-summed to the source's token
 budget. Complete epochs of a source come before the fractional selection.
 
@@ -71,14 +71,15 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
     taken counts words: the epochs of its source times the size, plus what the fractional selection takes; the
     document at the edge of the budget gives only the words that are still missing, so a source's sum is its
     rounded target. A null or empty text has size 0 and takes 0; a null source is a source of its own, the last;
-    a null id hashes as empty. Repeated rows have equal keys and stand side by side in the order: which of two
-    rows that are equal in all columns gives the words doesn't change the result. An empty table gives no rows.
+    a null id hashes as empty. Keys are of id and text, so rows that share an id are spread like others. Repeated rows
+    have equal keys and stand side by side in the order: which of two rows that are equal in all columns gives the
+    words doesn't change the result. An empty table gives no rows.
     Other columns of df aren't read. Reruns agree: the keys depend on ids, texts and `seed` only.
     """
     carry, size = carry or {}, n_words(F.col(text))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.col(text).alias("text"), *[c.alias(f"__{k}") for k, c in carry.items()])
     docs = docs.withColumn("quality", quality_weight(F.col("text"), F.col("size")))
-    docs = docs.withColumn("key", -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / F.col("quality")).drop("text")
+    docs = docs.withColumn("key", -F.log(unit_hash(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))) / F.col("quality")).drop("text")
     docs = stored(docs, "mixing")
     targets = source_targets(docs, weights, share, cap)
     d = docs.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left").drop(F.col("s.source"))
@@ -101,7 +102,7 @@ def take(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: s
     A source so exceeds its target by less than one document. Rows equal in id, text and source stand for one
     another. Documents without words go.
     """
-    key = F.xxhash64(F.col(doc_id), F.col(text), F.col(source))
+    key = F.md5(F.to_json(F.struct(F.col(doc_id).cast("string").alias("a"), F.col(source).cast("string").alias("b"), F.md5(F.col(text)).alias("c"))).cast("binary"))
     mixed = mix(df, doc_id=doc_id, text=text, source=source, carry={"__key": key}, **how)
     times = mixed.filter("taken > 0").groupBy("__key").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
     kept = df.withColumn("__key", key).join(times, "__key").dropDuplicates(["__key"])

@@ -19,11 +19,11 @@ SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = compo
 """,
     "op5_mixing": r"""
 WITH words AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          len(regexp_extract_all(coalesce(text, ''), '[#$%&*|!]')) AS noise
   FROM documents),
 keyed AS (
-  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)
+  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)
             / (CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE size::DOUBLE / (size + 4 * noise)::DOUBLE END) AS key
   FROM words),
 per AS (
@@ -49,13 +49,13 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """,
     "op3_secret_scan": r"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
 kinds(ord, kind, pattern, least_len) AS (VALUES
   (0, 'assign', '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
   (1, 'access', '(AKIA[A-Z0-9]+)', 20), (2, 'hex', '([0-9a-f]{24,})', 24),
   (3, 'owned', '((?:gh[pousr]_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|[A-Za-z0-9+/_-]{32,}))', 1)),
 parts AS (
-  SELECT rid, doc_id, owner, repository, ord, kind, least_len,
+  SELECT rid, doc_id, owner, t, ord, kind, least_len,
          unnest(list_transform(string_split_regex(t, pattern), lambda x: length(x))) AS gap,
          unnest(regexp_extract_all(t, pattern, 0)) AS whole, unnest(regexp_extract_all(t, pattern, 1)) AS value,
          unnest(range(len(string_split_regex(t, pattern)))) AS i
@@ -63,23 +63,23 @@ parts AS (
 placed AS (
   SELECT *, sum(gap + coalesce(length(whole), 0)) OVER (PARTITION BY rid, ord ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM parts),
 found AS (
-  SELECT rid, doc_id, owner, repository, ord, kind, value, stop - length(whole) AS start, stop
+  SELECT rid, doc_id, owner, t, ord, kind, value, stop - length(whole) AS start, stop
   FROM placed WHERE whole IS NOT NULL AND length(value) >= least_len),
 spans AS (
   SELECT * FROM found WHERE ord < 3 UNION ALL
   SELECT * FROM found w WHERE ord = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     AND len(list_distinct(string_split(value, ''))) >= 8
     AND NOT EXISTS (SELECT 1 FROM found b WHERE b.rid = w.rid AND b.ord < 3 AND b.start < w.stop AND w.start < b.stop)),
-live AS (SELECT value FROM spans GROUP BY value HAVING count(DISTINCT owner) <= 1 AND count(DISTINCT (owner, repository)) <= 4),
-marked AS (SELECT s.*, l.value IS NOT NULL AS is_live FROM spans s LEFT JOIN live l ON s.value = l.value),
+held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, t)) AS texts FROM spans GROUP BY value),
+marked AS (SELECT s.*, owners <= 5 AND texts <= 20 AS is_live, owners || '/' || texts AS holders FROM spans s JOIN held h ON s.value = h.value),
 per AS (
   SELECT rid, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3), '') AS base,
          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3 OR is_live), '') AS spans,
-         count(*) FILTER (is_live) AS n_live, count(*) FILTER (ord < 3 AND NOT is_live) AS n_example
+         coalesce(string_agg(holders, ',' ORDER BY start, ord) FILTER (ord < 3 OR is_live), '') AS ownership, count(*) FILTER (is_live) AS n_live, count(*) FILTER (ord < 3 AND NOT is_live) AS n_example
   FROM marked GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(ownership, '') AS ownership
 FROM docs LEFT JOIN per USING (rid)
 """,
     "op10_url_filters": r"""
