@@ -205,10 +205,11 @@ def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int)
     last = unsettled(last, components(links))
     if last.isEmpty():
         return links
-    # pivots are of the list's largest component if it has as many, and others in each list
-    size = F.count("*").over(Window.partitionBy("v", "c"))
-    nth = F.row_number().over(Window.partitionBy("v").orderBy(F.col("size").desc(), F.xxhash64("set_id", "v")))
-    p = last.withColumn("size", size).withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", F.struct("set_id", "n", "nth", "c").alias("p"))
+    # pivots are of the list's largest component if it has as many, and others in each list; a task hands on at most
+    # PIVOTS rows of each list to the one that ranks them
+    sizes = last.groupBy("v", "c").agg(F.count("*").alias("size")).groupBy("v").agg(F.max_by("c", F.struct("size", "c")).alias("largest"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy(F.col("c") != F.col("largest"), F.xxhash64("set_id", "v")))
+    p = last.join(sizes, "v").withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", F.struct("set_id", "n", "nth", "c").alias("p"))
     pairs = last.join(p, "v").filter((F.col("c") != F.col("p.c")) & _comparable(F.col("n"), F.col("p.n"), percent) & enough({"nth": F.col("nth"), "n": F.col("n")}, F.col("p")))
     links = stored(links.unionByName(_verified(pairs.select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v")), sets, percent)), "links")
     last = unsettled(last, components(links))
@@ -245,14 +246,15 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wo
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+    """128 bits that stand for an id and a text."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
 
 
 def _grouped(df: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     limit_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
-    kinds = "doc_id long, row_key long, n_shingles long, set_id binary"
+    kinds = "doc_id long, row_key string, n_shingles long, set_id binary"
     rows = stored(docs.mapInArrow(_sketcher(words, False), f"{kinds}, least array<bigint>"), "sketches")
 
     # a set of up to 3 (at 80 %: of less than 4) members has no other set that is alike enough
