@@ -113,10 +113,16 @@ def test_token_counts(spark):
     assert got[-1].n_tokens == got[-1].n_bytes == 0
 
 
-def test_token_counts_forget(monkeypatch):
-    monkeypatch.setattr(token_counts, "MEMO", 5)
-    counts, model = token_counts.Counts(token_counts.load(MODEL)), token_counts.load(MODEL)
-    assert [counts.of(t) for t in texts()] == [len(model.encode(t)) for t in texts()]
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_token_counts_join(spark, monkeypatch, odd, none, hot):
+    """Whatever is broadcast, and however often tasks hand on what they hold, counts are the library's."""
+    monkeypatch.setattr(token_counts, "FLUSH", 7)
+    model, rows = token_counts.load(MODEL), [*enumerate(texts()), (5, "same id"), (5, "same id")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, MODEL, hot=hot).collect())
+    assert got == Counter((i, len(model.encode(t))) for i, t in rows)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.count_tokens(odd, MODEL, hot=hot).collect()) == sorted((r.doc_id or 0, len(model.encode(r.text or ""))) for r in odd.collect())
+    assert token_counts.count_tokens(none, MODEL, hot=hot).count() == 0
 
 
 def test_pieces_are_the_librarys(spark, odd, none):
