@@ -13,7 +13,10 @@
    pairs across components whose overlap can still be large enough, given the place of the rarest
    shared value. No list is capped or dropped.
 4. Each pair passes the union-sketch estimate, then the exact Jaccard test on full sets.
-5. Components by alternating large-star and small-star steps; nothing is collected to the driver.
+5. Components by alternating large-star and small-star steps, and later links on the graph of components so far;
+   nothing is collected to the driver.
+
+All joined tables grow with the corpus, so each join is asked to merge: none is collected for a broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -133,7 +136,7 @@ def _rarest(posted: DataFrame, needed: Column) -> DataFrame:
     """
     shared = posted.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
     nth = F.row_number().over(Window.partitionBy("set_id").orderBy(F.col("m").desc(), "v"))
-    return posted.join(shared, "v").withColumn("nth", nth).filter(F.col("nth") >= needed).drop("m")
+    return posted.join(shared.hint("merge"), "v").withColumn("nth", nth).filter(F.col("nth") >= needed).drop("m")
 
 
 def _comparable(a: Column, b: Column, percent: int) -> Column:
@@ -145,78 +148,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     x = sets.select(F.col("set_id").alias("u"), F.col("members").alias("x"))
     y = sets.select(F.col("set_id").alias("v"), F.col("members").alias("y"))
-    return stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verifier(percent), "u binary, v binary"), "links")
+    return stored(pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select("u", "v", "x", "y").mapInArrow(_verifier(percent), "u binary, v binary"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for the nodes of undirected edges (u, v)."""
-    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = lambda x: x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    now = mark(e)
+
+    def written(x: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e = stored(x.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")), "edges")
+        return e, (seen.get["n"], seen.get["mark"])
+
+    e, now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     while now[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e, before = stored(small.distinct(), "edges"), now
-        now = mark(e)
+        small = large.join(down.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        before = now
+        e, now = written(small.distinct())
         if now == before:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between classes that connect whatever links connect. lists: v (value), set_id, n, nth; sketches: set_id, least."""
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component) after more edges (u, v): only the graph of components is worked on."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_is")).hint("merge")
+    between = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_is", "u").alias("u"), F.coalesce("v_is", "v").alias("v")).filter("u <> v")
+    new = stored(components(between), "components")
+    moved = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = labels.join(moved.hint("merge"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return stored(old.unionByName(new.join(labels.select("node").hint("merge"), "node", "left_anti")), "components")
+
+
+def _linked(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and component of the classes that links connect. lists: v (value), set_id, n, nth; sketches: set_id, least."""
 
     def star(x: DataFrame, rank: Column) -> DataFrame:
         """Each member of a list and its pivot, the first by rank."""
         p = x.groupBy("v").agg(F.min(F.struct(rank.alias("rank"), "set_id", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
-        out = x.join(p, "v").filter(F.col("set_id") != F.col("p.set_id"))
+        out = x.join(p.hint("merge"), "v").filter(F.col("set_id") != F.col("p.set_id"))
         return out.filter(_comparable(F.col("n"), F.col("p.n"), percent)).select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v"))
 
     def unsettled(x: DataFrame, labels: DataFrame) -> DataFrame:
-        x = x.join(labels, x["set_id"] == labels["node"], "left").select("v", "set_id", "n", "nth", F.coalesce("component", "set_id").alias("c"))
+        x = x.join(labels.hint("merge"), x["set_id"] == labels["node"], "left").select("v", "set_id", "n", "nth", F.coalesce("component", "set_id").alias("c"))
         lists = x.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("v", "m")
-        return stored(x.join(lists, "v"), "lists")
+        return stored(x.join(lists.hint("merge"), "v"), "lists")
 
     def across(x: DataFrame, alike) -> DataFrame:
         """Pairs of different components that share a value; each once, at the rarest value they share."""
         own = x.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("nth", "v")), asc=False)["v"].alias("own"))
-        x = stored(x.join(own, "set_id"), "postings")
+        x = stored(x.join(own.hint("merge"), "set_id"), "postings")
         a, b = x.alias("a"), x.alias("b")
         on = (F.col("a.v") == F.col("b.v")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.c") != F.col("b.c")) & _comparable(F.col("a.n"), F.col("b.n"), percent)
         on = on & alike & (F.array_intersect("a.own", "b.own")[0] == F.col("a.v"))
-        return a.join(b, on).select(F.col("a.set_id").alias("u"), F.col("b.set_id").alias("v"))
+        return a.join(b.hint("merge"), on).select(F.col("a.set_id").alias("u"), F.col("b.set_id").alias("v"))
 
-    links = _verified(star(lists, F.col("set_id")), sets, percent)
-    rest = unsettled(lists, components(links))
+    labels = stored(components(_verified(star(lists, F.col("set_id")), sets, percent)), "components")
+    rest = unsettled(lists, labels)
     long = rest.filter(F.col("m") > SMALL)
     shared = F.size(F.array_intersect("a.least", "b.least")) >= F.least(_needed(F.col("a.n"), percent), _needed(F.col("b.n"), percent))
-    pairs = across(rest.filter(F.col("m") <= SMALL).join(sketches, "set_id"), shared).unionByName(star(long, F.xxhash64("set_id")))
-    links = stored(links.unionByName(_verified(pairs, sets, percent)), "links")
+    pairs = across(rest.filter(F.col("m") <= SMALL).join(sketches.hint("merge"), "set_id"), shared).unionByName(star(long, F.xxhash64("set_id")))
+    labels = joined_components(labels, _verified(pairs, sets, percent))
     if long.isEmpty():
-        return links
-    left = unsettled(long.select("v", "set_id", "n", "nth"), components(links)).select("set_id", "n").distinct()
-    whole = stored(left.join(sets, "set_id").select("set_id", "n", F.explode("members").alias("v")), "whole")
+        return labels
+    left = unsettled(long.select("v", "set_id", "n", "nth"), labels).select("set_id", "n").distinct()
+    whole = stored(left.hint("merge").join(sets, "set_id").select("set_id", "n", F.explode("members").alias("v")), "whole")
     last = stored(_rarest(whole, F.ceil(F.col("n") * percent / 100)), "lists")
     # of both classes, the values that are not rarer than the rarest shared one bound the overlap
     enough = lambda x, y: F.least(x["nth"], y["nth"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
-    last = unsettled(last, components(links))
+    last = unsettled(last, labels)
     if last.isEmpty():
-        return links
+        return labels
     # pivots are of the list's largest component if it has as many, and others in each list; a task hands on at most
     # PIVOTS rows of each list to the one that ranks them
     sizes = last.groupBy("v", "c").agg(F.count("*").alias("size")).groupBy("v").agg(F.max_by("c", F.struct("size", "c")).alias("largest"))
     nth = F.row_number().over(Window.partitionBy("v").orderBy(F.col("c") != F.col("largest"), F.xxhash64("set_id", "v")))
-    p = last.join(sizes, "v").withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", F.struct("set_id", "n", "nth", "c").alias("p"))
-    pairs = last.join(p, "v").filter((F.col("c") != F.col("p.c")) & _comparable(F.col("n"), F.col("p.n"), percent) & enough({"nth": F.col("nth"), "n": F.col("n")}, F.col("p")))
-    links = stored(links.unionByName(_verified(pairs.select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v")), sets, percent)), "links")
-    last = unsettled(last, components(links))
+    p = last.join(sizes.hint("merge"), "v").withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", F.struct("set_id", "n", "nth", "c").alias("p"))
+    pairs = last.join(p.hint("merge"), "v").filter((F.col("c") != F.col("p.c")) & _comparable(F.col("n"), F.col("p.n"), percent) & enough({"nth": F.col("nth"), "n": F.col("n")}, F.col("p")))
+    labels = joined_components(labels, _verified(pairs.select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v")), sets, percent))
+    last = unsettled(last, labels)
     if last.isEmpty():
-        return links
+        return labels
     a, b = ({k: F.col(f"{x}.{k}") for k in ("n", "nth")} for x in ("a", "b"))
-    return links.unionByName(_verified(across(last, enough(a, b)), sets, percent))
+    return joined_components(labels, _verified(across(last, enough(a, b)), sets, percent))
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -242,7 +259,7 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wo
     least = found.filter("n_shingles > 0").groupBy("component").agg(F.min("row_key").alias("__row_key")).select("__row_key")
     least = least.unionByName(found.filter("n_shingles = 0").select(F.col("row_key").alias("__row_key")).distinct())
     keyed = df.withColumn("__row_key", _row_key(F.col(doc_id), F.col(text)))
-    return keyed.join(least, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
+    return keyed.join(least.hint("merge"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -263,18 +280,18 @@ def _grouped(df: DataFrame, doc_id: str, text: str, words: int, percent: int) ->
     lists = stored(_rarest(posted, _needed(F.col("n"), percent)), "lists")
     able = stored(lists.select("set_id", "row_key").distinct(), "candidates")
     lists = lists.select("v", "set_id", "n", "nth")
-    sketches = stored(classes.join(able.select("set_id"), "set_id", "left_semi").select("set_id", "least"), "sketches")
-    texts = docs.select("row_key", "text").join(able.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    sketches = stored(classes.join(able.select("set_id").hint("merge"), "set_id", "left_semi").select("set_id", "least"), "sketches")
+    texts = docs.select("row_key", "text").join(able.select("row_key").hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
     sets = stored(texts.select("text").mapInArrow(_sketcher(words, True), "set_id binary, members array<bigint>"), "sets")
 
-    labels = components(_links(lists, sketches, sets, percent))
+    labels = _linked(lists, sketches, sets, percent)
     of_class = rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
-    of_class = of_class.join(labels, of_class["set_id"] == labels["node"], "left").select("set_id", "least_id", "component")
+    of_class = of_class.join(labels.hint("merge"), of_class["set_id"] == labels["node"], "left").select("set_id", "least_id", "component")
     joined = of_class.filter("component IS NOT NULL")
     of_component = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    joined = joined.join(of_component, "component").select("set_id", "component", "component_id")
+    joined = joined.join(of_component.hint("merge"), "component").select("set_id", "component", "component_id")
     of_class = joined.unionByName(of_class.filter("component IS NULL").select("set_id", F.col("set_id").alias("component"), F.col("least_id").alias("component_id")))
     columns = ["doc_id", "row_key", "n_shingles", "component", "component_id"]
-    out = rows.filter("n_shingles > 0").select("doc_id", "row_key", "n_shingles", "set_id").join(of_class, "set_id").select(*columns)
+    out = rows.filter("n_shingles > 0").select("doc_id", "row_key", "n_shingles", "set_id").join(of_class.hint("merge"), "set_id").select(*columns)
     out = out.unionByName(rows.filter("n_shingles = 0").withColumns({"component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")}).select(*columns))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
