@@ -4,8 +4,9 @@ A rule is a regular expression over host + path with the literal tokens (runs of
 every URL it fits must hold as whole tokens. The index keeps each rule under that one of its tokens that is
 rarest among the URLs at hand; a URL's tokens fetch the candidate rules, and only those run their expression.
 
-Rules are settings that travel inside the plan, so the caller's list bounds them. All URL work is local to a row:
-one narrow projection, no shuffle, no Python.
+Up to MAX_INLINE rules travel inside the plan, and all URL work is local to a row: one narrow projection, no shuffle,
+no Python. Longer lists are tables (rule_table reads lines of a published syntax): their index meets the tokens of
+the distinct URLs by an equi join, and whatever fits is carried back to the rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ascii_lower
+from orrery.llm.common import ascii_lower, stored
 
 TOKEN = "[A-Za-z0-9]+"
 ENTRY = "struct<token:string,regex:string,rank:int,name:string,verdict:string,kind:string>"
@@ -117,3 +118,63 @@ def filter_urls(df: DataFrame, rules: list[Rule], *, url: str = "url", default:
 HOST_RULES = [host_path_rule("net/", "block"), host_path_rule("example.net/en/", "allow"), host_path_rule("example.com/de/", "block"), host_path_rule("org/fr/", "allow")]
 #: What the method adds where no rule fits: link farms and shops that spam names in a host or path.
 SPAM_GLOBS = [glob_rule(g, "block") for g in ("^cheap-pills^", "^spam-farm^", "^casino^", "^free-money^", "^xxx^")]
+
+
+MAX_INLINE = 2_000
+BOUNDARY = "(?:^|$|[^A-Za-z0-9_.%-])"
+
+
+def rule_table(lines: DataFrame, *, line: str = "line") -> DataFrame:
+    """name, verdict, rank, regex and tokens of the rules in lines of a filter list, as ad blockers and hosts files have them.
+
+    `||host^` and `||host/path` stand for a host, its subdomains and paths that start so; `*` for any run, `^` for an
+    end or anything but a letter, digit or one of `_.%-`; `|` at the start or end for the URL's; `@@` allows. Lines
+    such as `0.0.0.0 host` block the host. Options after `$` are left off. Comments, headers, empty and null lines
+    and repeated rules go. Longer rules win, and of equally long ones the last by name; an allowing rule wins over
+    any that blocks.
+    """
+    text = F.trim(F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\s+#.*$|\$[^/$]*$", ""))
+    host = F.regexp_extract(text, r"^(?:0\.0\.0\.0|127\.0\.0\.1)\s+(\S+)$", 1)
+    rows = lines.select(F.when(host != "", F.concat(F.lit("||"), host, F.lit("^"))).otherwise(text).alias("name"))
+    rows = rows.filter((F.col("name") != "") & ~F.col("name").rlike(r"^[!#\[]") & ~F.col("name").rlike(r"\s")).distinct()
+    allow = F.col("name").startswith("@@")
+    body = F.when(allow, F.expr("substring(name, 3)")).otherwise(F.col("name"))
+    rows = rows.select("name", F.when(allow, "allow").otherwise("block").alias("verdict"), (F.length("name") + F.when(allow, 1 << 20).otherwise(0)).alias("rank"), body.alias("body"))
+    # the whole tokens: none at an open end or beside a star
+    closed = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"^(?![|])", "*"), r"(?<![\^|])$", "*"), r"^\|+", ".")
+    tokens = F.array_distinct(F.regexp_extract_all(closed, F.lit(r"(?<![A-Za-z0-9*])[A-Za-z0-9]+(?![A-Za-z0-9*])"), F.lit(0)))
+    escaped = F.regexp_replace("body", r"([.+?{}()\[\]\\$])", r"\\$1")
+    regex = F.regexp_replace(F.regexp_replace(escaped, r"\*", ".*"), r"(?<!^)\^|^\^", BOUNDARY.replace("$", r"\$"))
+    regex = F.regexp_replace(F.regexp_replace(F.regexp_replace(regex, r"^\|\|", r"^(?:[^/]*\\.)?"), r"^\|", "^"), r"\|$", r"\$")
+    return rows.select("name", "verdict", "rank", regex.alias("regex"), tokens.alias("tokens"))
+
+
+def filter_by_table(df: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow", most_loose: int = MAX_INLINE) -> DataFrame:
+    """df's rows with host, path, pattern (the deciding rule's name, or null) and verdict, by a rule_table().
+
+    Each rule stands in the index under that one of its tokens that fewest distinct URLs have. Rules without a token
+    are asked of every URL; more than `most_loose` of them are an error. A null URL or one without `://` has empty
+    host and path. Repeated rows are judged alike; columns named like a result are replaced. Empty tables of rows or
+    rules give no rows, or the default for all.
+    """
+    host, path = split_url(F.col(url))
+    urls = stored(df.select(F.concat(host, path).alias("subject")).distinct(), "urls")
+    tokens = urls.select("subject", F.explode(F.array_distinct(F.regexp_extract_all("subject", F.lit(TOKEN), F.lit(0)))).alias("token"))
+    wanted = rules.select("name", F.explode("tokens").alias("token"))
+    counts = tokens.join(wanted.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    index = rules.join(rarest, "name").select("token", "name", "verdict", "rank", "regex")
+    loose = rules.filter(F.size("tokens") == 0).select("name", "verdict", "rank", "regex")
+    alone = loose.limit(most_loose + 1).collect()
+    if len(alone) > most_loose:
+        raise ValueError(f"more than {most_loose} rules have no token")
+    candidates = tokens.join(index, "token").select("subject", "name", "verdict", "rank", "regex")
+    if alone:
+        given = F.from_json(F.lit(json.dumps([x.asDict() for x in alone])), "array<struct<name:string,verdict:string,rank:int,regex:string>>")
+        candidates = candidates.unionByName(urls.select("subject", F.inline(given)))
+    fits = candidates.filter(F.rlike("subject", F.col("regex")))
+    best = fits.groupBy("subject").agg(F.max(F.struct("rank", "name", "verdict")).alias("__best"))
+    rest = [c for c in df.columns if c not in ("host", "path", "pattern", "verdict")]
+    keyed = df.select(*[F.col(f"`{c}`") for c in rest], host.alias("host"), path.alias("path"), F.concat(host, path).alias("__subject"))
+    out = keyed.join(best.withColumnRenamed("subject", "__subject"), "__subject", "left")
+    return out.select(*[F.col(f"`{c}`") for c in rest], "host", "path", F.col("__best.name").alias("pattern"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))

@@ -1,6 +1,7 @@
 """Secrets, mixing, fingerprints and URL filters against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -233,3 +234,41 @@ def test_mixing_spreads_rows_that_share_an_id(spark):
     assert len(got) == 2100 and abs(sum(r.taken for r in got) - round(sum(r.size for r in got) / 2)) <= 1
     keys = spark.read.parquet(common._written[spark.sparkContext.applicationId][-1]).filter("source = 'a'")
     assert keys.select("key").distinct().count() == 2000
+
+
+def plain_rule(name):
+    """A filter rule as a Python pattern over host and path."""
+    body, ahead = name.removeprefix("@@"), ""
+    if body.startswith("||"):
+        body, ahead = body[2:], r"^(?:[^/]*\.)?"
+    elif body.startswith("|"):
+        body, ahead = body[1:], "^"
+    end = "$" if body.endswith("|") else ""
+    body = body.removesuffix("|")
+    return re.compile(ahead + "".join({"*": ".*", "^": "(?:^|$|[^A-Za-z0-9_.%-])"}.get(c, re.escape(c)) for c in body) + end)
+
+
+def test_long_rule_lists(spark, none):
+    """Thousands of rules of a published syntax against each URL by itself."""
+    rnd = random.Random(4)
+    hosts = [f"{a}{b}.example.{c}" for a in ("ads", "blog.x", "shop") for b in range(40) for c in ("com", "org")]
+    paths = ["", "/", "/a/banner.gif", "/en/index.html", "/track?x=1", "/deep/a/b/c.js", "/x-y_z/100%25"]
+    urls = [f"https://{rnd.choice(hosts)}{rnd.choice(paths)}" for _ in range(600)] + ["HTTP://ADS1.example.COM/A/banner.gif", "no scheme", "", None, "https://"]
+    names = {f"||{h}^" for h in hosts[::3]} | {f"@@||{h}/en/" for h in hosts[::5]} | {f"/{w}^" for w in ("banner.gif", "track", "en")} | {"*/deep/*/c.js|", "|blog.x7", "/b/*", "ad*banner", "^index.html|", "@@/x-y_z/", "||nowhere$x^"} | {f"||unseen{i}.net/p{i}" for i in range(3000)}
+    lines = ["! comment", "[Adblock Plus 2.0]", "", None, "0.0.0.0 shop3.example.org", "127.0.0.1 ads4.example.com # hosts", "||shop9.example.com^$third-party", *sorted(names), "/track^"]
+    table = url_filters.rule_table(spark.createDataFrame([(x,) for x in lines], "line string"))
+    names = [n for n in names if "$" not in n] + ["||shop3.example.org^", "||ads4.example.com^", "||shop9.example.com^", "||nowhere"]
+    assert sorted(r.name for r in table.collect()) == sorted(set(names))
+    rules, got = [(n, plain_rule(n)) for n in set(names)], url_filters.filter_by_table(spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "id int, url string, verdict string"), table).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        m = re.search(r"://([^/?#]*)([^?#]*)", r.url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [((len(n) + (1 << 20) * n.startswith("@@")), n) for n, p in rules if p.search(host + path)]
+        want = max(fits, default=(0, None))[1]
+        assert (r.host, r.path, r.pattern, r.verdict) == (host, path, want, "block" if want and not want.startswith("@@") else "allow"), r
+    empty = spark.createDataFrame([], "id int, url string")
+    assert url_filters.filter_by_table(empty, table).count() == 0
+    assert {r.verdict for r in url_filters.filter_by_table(spark.createDataFrame([(1, "https://a.b/")], "id int, url string"), table.limit(0)).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filters.filter_by_table(empty, url_filters.rule_table(spark.createDataFrame([("*a*",), ("*b*",)], "line string")), most_loose=1)
