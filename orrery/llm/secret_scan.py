@@ -25,8 +25,9 @@ BASE = [
 ]
 #: What the method adds: prefixes of token issuers, signed web tokens and long mixed strings.
 WIDE = ("owned", r"(?:gh[pousr]_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|[A-Za-z0-9+/_-]{32,})", 0, 1)
-#: As BASE, but without matches that are dropped anyway: a run of one class has no shorter match inside.
-FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+#: As BASE and WIDE, but without matches that are dropped anyway, and long runs are only tried where they begin: at a
+#: character that follows none of its class, or at the end of the last match.
+FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}", "owned": WIDE[1].replace("|[A-Za-z0-9+/_-]{32,}", r"|(?:(?<![A-Za-z0-9+/_-])|\G)[A-Za-z0-9+/_-]{32,}")}
 MAX_OWNERS, MAX_REPOSITORIES = 5, 20  # that hold a live value
 SALTS = 16  # tasks that share the rows of one value
 LIVE_CHARS = 8  # a live value has at least so many different characters, a digit and a letter

@@ -272,3 +272,15 @@ def test_long_rule_lists(spark, none):
     assert {r.verdict for r in url_filters.filter_by_table(spark.createDataFrame([(1, "https://a.b/")], "id int, url string"), table.limit(0)).collect()} == {"allow"}
     with pytest.raises(ValueError):
         url_filters.filter_by_table(empty, url_filters.rule_table(spark.createDataFrame([("*a*",), ("*b*",)], "line string")), most_loose=1)
+
+
+def test_long_runs_are_found_as_by_the_plain_patterns(spark):
+    """Spans of random texts of the patterns' own characters, by Python's matches of the patterns as they are stated."""
+    rnd, pieces = random.Random(11), ["ghp_", "xoxb-", "eyJ", "sk_live_", "AKIA", "token=", "a1b2c3d4", "A9", "-", ".", "+/", " ", "é", "f" * 9, "Z" * 7, "0123456789abcdef", "_"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for k, (kind, pattern, group, least) in enumerate([*secret_scan.BASE, secret_scan.WIDE]):
+        found = df.select("id", secret_scan.matches(F.col("t"), kind, pattern, group, least, k).alias("s")).collect()
+        got = {r.id: [(s.start, s.end, s.value) for s in r.s] for r in found}
+        for i, t in enumerate(texts):
+            assert got[i] == [(*m.span(), m[group]) for m in re.finditer(pattern, t) if len(m[group]) >= least], (kind, t)
