@@ -39,9 +39,10 @@ BLOCK = 64  # documents in a block
 FILTER_BITS = 1 << 24
 SLICE = 2_000_000  # bytes of text taken together in a task
 SHARD_DOCS, SHARD_BYTES = 5_000, 16_000_000  # documents and bytes of text in a shard
+SHARDS_PER_TASK = 8
 QUERIES, QUERY_WORDS = 20_000, 1_500_000  # queries sent to the shards together, and words of queries
 TOGETHER = 256  # queries of a product of matrices
-DENSE = 0.002  # share of a product's cells from which a word is cheaper there than by its postings
+DENSE = 0.001  # share of a product's cells from which a word is cheaper there than by its postings
 QUERIES_PER_MERGE = 50  # queries whose lists are merged together
 TRIM = ".,;:!?\"'()[]{}|#$%&*<>=/\\-_"
 
@@ -209,7 +210,7 @@ class Shard:
         postings = self.at[self.starts]  # where each word's begin
         size, queries = np.diff(postings), len(edges) - 1
         by_doc = np.argsort(self.docs.astype(np.uint16) if n <= 1 << 16 else self.docs, kind="stable")
-        doc_words, doc_parts = np.repeat(np.arange(len(size)), size)[by_doc], self.parts[by_doc]
+        doc_words, doc_parts = np.repeat(np.arange(len(size), dtype=np.int32), size)[by_doc], self.parts[by_doc]
         doc_at = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=n))))
         frequent = np.flatnonzero(np.bincount(words, minlength=len(size)) * size > DENSE * queries * n)
         column = np.full(len(size), -1)
@@ -311,8 +312,8 @@ def search(df: DataFrame, queries: Column, *, doc_id: str = "doc_id", text: str
     word with a query aren't listed, so it may have fewer than k. With `terms`, a query is only its so many words that
     fewest rows have (of more than one), each once. Equal scores go by id, null ids last. A null text is empty; an empty text asks for and matches
     nothing. Repeated rows are documents, and queries, of their own. An empty table gives no rows. Other columns of
-    df aren't read. Words are split at ASCII white space, lower-cased and trimmed of punctuation; they are compared
-    by 64-bit hashes.
+    df aren't read. Ids are whole numbers, or text that holds them. Words are split at ASCII white space, lower-cased and
+    trimmed of punctuation; they are compared by 64-bit hashes.
     """
     spark = df.sparkSession
     limit_batches(spark)
@@ -337,6 +338,8 @@ def search(df: DataFrame, queries: Column, *, doc_id: str = "doc_id", text: str
     index = stored(docs.select("doc_id", "text").mapInArrow(_index(bits), "ids array<bigint>, lengths binary, words binary, counts binary, docs binary, tf binary"), "index")
     ids = asked.groupBy("query_row", "query_id").agg(F.count("*").alias("n"))
     n, total = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = index.count()  # a task that has seen several shards knows what a query's k best must beat
+    index = index.coalesce(max(1, -(-shards // SHARDS_PER_TASK), min(shards, spark.sparkContext.defaultParallelism)))
     local, blocks = None, max(-(-n // QUERIES), -(-total // QUERY_WORDS))
     for i in range(blocks):  # a pass over the index for each block of queries
         some = asked.filter(F.col("block") % blocks == i).select("query_row", "w", "weight").toArrow()
