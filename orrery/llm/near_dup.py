@@ -243,8 +243,8 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     words (of all words, if fewer). Two documents are linked if 100 * intersection >= percent * union of their sets.
     component_id is the least id that links reach, null ids apart; kept marks doc_id = component_id, and rows of
     null id in a component that has no id. A null or empty text, or one of white space, has the empty set and is
-    linked with nothing. Repeated rows are all returned, and kept alike. An empty table gives no rows. Other columns
-    of df aren't read.
+    linked with nothing. Repeated rows are all returned, and kept alike. An empty table gives no rows. Ids are whole
+    numbers, or text that holds them. Other columns of df aren't read.
     """
     return _grouped(df, doc_id, text, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
 

@@ -54,6 +54,7 @@ def mine(rows: DataFrame) -> tuple[list[str], list[str]]:
     each = rows.select(F.monotonically_increasing_id().alias("row"), "y", F.explode(terms(F.col("text"))).alias("t")).groupBy("row", "y", "t").agg(F.count("*").alias("k"))
     toxic, again = F.col("y") == 1, F.col("k") > 1
     found = each.groupBy("t").agg(F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"), F.count_if(toxic & again).alias("aa"), F.count_if(~toxic & again).alias("bb"))
+    found = stored(found.filter("a + b > 1"), "terms")  # evidence asks for several texts
     na, nb = float(n[1]), float(n[0])
 
     def g(a: Column, b: Column) -> Column:
@@ -170,17 +171,18 @@ class LabelModel:
         return self._shares(self._expect(self._codes(votes)))[:, self.SIDES == 1].sum(1)
 
 
-def score(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
+def score(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 3, held_out: int = 1, threshold: float = 0.7, most: int = MAX_LABELLED, taught: int = MAX_TAUGHT) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) for each row of df.
 
-    Labels outside the held-out fold choose terms and anchor the mixture; the classifier learns posteriors.
+    Labels outside the held-out fold choose terms, in at most `most` texts of each class, and anchor the mixture; the
+    classifier learns the posteriors of at most about `taught` documents, drawn by a hash of the id.
     Without labelled rows of both classes the general lexicon and phrases vote alone. If no voter fires anywhere,
     every score is the share of toxic labels, 0.01 without any. A null text is empty; no voter fires on an empty
     one. Null ids are outside the held-out fold. Repeated rows are scored alike. An empty table gives no rows.
     Other columns of df aren't read.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = labelled(docs, labels, label, mod=mod, held_out=held_out, most=MAX_LABELLED, each_class=True)
+    known = labelled(docs, labels, label, mod=mod, held_out=held_out, most=most, each_class=True)
     patterns = voters(*mine(known))
     n, ones = labels.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), mod) != held_out)).agg(F.count(label), F.coalesce(F.sum(label), F.lit(0))).first()
     prior = min(0.5, max(0.01, ones / n)) if n else 0.01
@@ -202,10 +204,10 @@ def score(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         model = LabelModel(len(patterns)).fit(table, counts, known_votes)
         teach = dict(zip((r["p"] for r in seen), model.posterior(table).tolist(), strict=True))
         spark = df.sparkSession
-        taught = spark.createDataFrame(list(teach.items()), "p string, post double")
+        posteriors = spark.createDataFrame(list(teach.items()), "p string, post double")
         total = float(counts.sum())
         u = F.pmod(F.xxhash64("doc_id", "words"), F.lit(1 << 30)) / float(1 << 30)
-        sample = votes.filter(u < min(1.0, MAX_TAUGHT / total)).withColumn("p", pattern).join(F.broadcast(taught), "p")
+        sample = votes.filter(u < min(1.0, taught / total)).withColumn("p", pattern).join(F.broadcast(posteriors), "p")
         made = _features(names, [least for _, least in patterns])
         features = [f"f{i}" for i in range(len(made))]
         sides = sample.withColumn("y", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("w", F.when(F.col("y") == 1, F.col("post")).otherwise(1 - F.col("post")))

@@ -278,3 +278,74 @@ def test_toxicity(spark, odd, none):
     assert [r.score for r in toxicity.score(df, flipped).orderBy("doc_id").collect()] == pytest.approx([r.score for r in toxicity.score(df, y).orderBy("doc_id").collect()])
     untaught = toxicity.score(spark.createDataFrame([(1, "you are an idiot and a moron"), (2, "a fine day")], "doc_id int, text string"), y.limit(0)).collect()
     assert len(untaught) == 2
+
+
+def test_quality_scores_by_hand(spark, odd):
+    """Statistics, rules and the logistic sum recomputed in plain Python."""
+    import math
+    import re
+
+    rows, labels = labelled_rows(prose, lambda r: " ".join(w + r.choice(["###", "| ", "!"]) for w in prose(r).split()))
+    df, y = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id int, quality int")
+    model = quality_rules.train(df, y)
+
+    def by_hand(text):
+        t = text or ""
+        words, chars = max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t))), max(1, len(t))
+        x = {"size": math.log1p(len(re.findall(r"[^\x20\x09-\x0D]+", t))), "word_length": len(t) / words}
+        for name, (pattern, per) in quality_rules.COUNTS.items():
+            x[name] = len(re.findall(pattern, t, re.ASCII)) / (words if per == "words" else chars)
+        total = model.intercept + sum(w for rule, w in model.weights if all((x[n] > b) if above else (x[n] <= b) for n, above, b in rule.conditions))
+        return 1 / (1 + math.exp(-total))
+
+    for table in (df, odd.select("doc_id", "text")):
+        for r in quality_rules.score(table, model).join(table, ["doc_id"], "inner").collect():
+            same_id = [by_hand(t.text) for t in table.filter(F.col("doc_id").eqNullSafe(F.lit(r.doc_id))).collect()] if table is not df else [by_hand(r.text)]
+            assert min(abs(r.score - s) for s in same_id) < 1e-9
+    assert model.weights and all(len(rule.conditions) <= quality_rules.DEPTH for rule, _ in model.weights)
+
+
+def test_label_model_is_plain_em():
+    """Posteriors against expectation and maximisation written out loop by loop, with blocks of one voter."""
+    rnd = np.random.default_rng(3)
+    toxic = rnd.random(4000) < 0.2
+    rates = np.array([[0.02, 0.7], [0.05, 0.5], [0.1, 0.6], [0.01, 0.3]])
+    votes_of = np.stack([rnd.random(4000) < np.where(toxic, a, c) for c, a in rates], 1).astype(np.int8)
+    votes, which = np.unique(votes_of, axis=0, return_inverse=True)
+    counts = np.bincount(which).astype(float)
+    known = np.stack([np.bincount(which[:400][~toxic[:400]], minlength=len(votes)), np.bincount(which[:400][toxic[:400]], minlength=len(votes))]).astype(float)
+    model = toxicity.LabelModel(4)
+    start = np.full((len(votes), len(model.SIDES)), 1.0 / len(model.SIDES)) + rnd.random((len(votes), len(model.SIDES))) * 0.1
+    start /= start.sum(1, keepdims=True)
+    got = model._em(votes, counts, known, start.copy(), 5)
+    shares = start.copy()
+    for _ in range(5):
+        w = [[counts[p] * shares[p][k] for k in range(6)] for p in range(len(votes))]
+        for y in (0, 1):
+            for p in range(len(votes)):
+                within = [shares[p][k] + 1e-12 if model.SIDES[k] == y else 0.0 for k in range(6)]
+                for k in range(6):
+                    w[p][k] += known[y][p] * within[k] / sum(within)
+        total = sum(map(sum, w))
+        prior = [(sum(row[k] for row in w) + 1e-3) / (total + 6e-3) for k in range(6)]
+        new = []
+        for p in range(len(votes)):
+            joint = []
+            for k in range(6):
+                mass = prior[k]
+                for v in range(4):
+                    fires = sum(w[q][k] for q in range(len(votes)) if votes[q][v] == votes[p][v]) + 0.25
+                    mass *= fires / (sum(w[q][k] for q in range(len(votes))) + 0.5)
+                joint.append(mass)
+            new.append([j / sum(joint) for j in joint])
+        shares = np.array(new)
+    assert np.allclose(got, shares, atol=1e-9)
+    fitted = toxicity.LabelModel(4).fit(votes, counts, known).posterior(votes)[which]
+    assert ((fitted > 0.5) == toxic).mean() > 0.9 and fitted[toxic].mean() > 3 * fitted[~toxic].mean()
+
+
+def test_sample_bounds_are_parameters(spark):
+    rows, labels = labelled_rows(prose, lambda r: prose(r) + " zarga zargut zargel", 800)
+    df, y = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(i, 1 - q) for i, q in labels], "doc_id int, toxic int")
+    got = toxicity.score(df, y, most=60, taught=100).join(y, "doc_id").filter("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
