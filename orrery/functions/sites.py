@@ -72,6 +72,11 @@ def academic_host(host: Column, suffixes: list[str] = ACADEMIC_SUFFIXES) -> Colu
     return host.contains(".ac.") | F.exists(F.lit(suffixes), lambda s: F.endswith(host, s))
 
 
+def own_site(host: Column, title: Column, words: str = "(?i)university|college|institute") -> Column:
+    """Whether a site is an organisation's own: by an academic host, or by its title."""
+    return academic_host(host) | F.coalesce(title, F.lit("")).rlike(words)
+
+
 def challenge_page(html: Column, marks: list[str] = CHALLENGES) -> Column:
     """An empty body or one of a bot challenge."""
     low = F.lower(F.coalesce(html, F.lit("")))

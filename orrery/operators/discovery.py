@@ -22,6 +22,9 @@ LMS_HOSTS = ["moodle", "lms", "elearning", "learning", "vle", "lcms", "elearn"]
 LMS_ROOTS = ["cognibot.in", "talentlms.com", "classplusapp.com", "edmingle.com", "schoolyard.in", "blackboard.com", "canvaslms.com", "instructure.com", "brightspace.com", "moodlecloud.com"]
 
 
+MAX_SIGNATURES = 5_000
+
+
 def student_anchor_score(href: Column, text: Column, parent: Column) -> Column:
     """How likely a link leads students to their portal: points for and against, all added."""
     both = F.lower(F.concat_ws(" ", href, F.trim(text)))
@@ -152,7 +155,14 @@ def collapsed(df: DataFrame, key: str, working: Column, pos: str) -> DataFrame:
 
 
 def vendors(df: DataFrame, signatures: DataFrame, *, keys: list[str], text: Column) -> DataFrame:
-    """Rows with the first vendor, by rank, of whom a signature is in their text. signatures: vendor, rank, words (array)."""
+    """Rows with the first vendor, by rank, of whom a signature is in their text. signatures: vendor, rank, words (array).
+
+    Each text is looked through for each signature, so more than MAX_SIGNATURES of them are an error; longer lists are
+    rules on hosts (suffix.suffix_matches) or on tokens (feedback.apply_rules), which are joined.
+    """
+    n = signatures.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    if n > MAX_SIGNATURES:
+        raise ValueError(f"{n} signatures, but at most {MAX_SIGNATURES} can be looked for in each text")
     small = signatures.select(F.struct("rank", "vendor", "words").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("all"))
     found = F.try_element_at(F.filter("all", lambda s: F.exists(s["words"], lambda w: F.contains(F.lower(text), w))), F.lit(1))
     return df.crossJoin(F.broadcast(small)).select(*keys, found["vendor"].alias("vendor")).filter("vendor IS NOT NULL")  # one row of settings

@@ -26,6 +26,7 @@ from orrery.plans.roles import (
     sql_under,
     turn,
 )
+from orrery.sources import tables
 from orrery.sources.tables import parquet
 
 R = Registry()
@@ -611,3 +612,63 @@ def verdict_cascade(spark: SparkSession, d: str) -> DataFrame:
     vendor = parquet(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("vendor"), F.concat(F.lit("V"), "s_nationkey").alias("verdict"))
     url = parquet(spark, d, "customer").filter("c_acctbal > 2000").select(F.col("c_custkey").alias("url"), F.concat(F.lit("U"), "c_nationkey").alias("verdict"))
     return verdicts.cascade(q, [("vendor", vendor, ["vendor"]), ("url", url, ["url"])], scored=F.concat(F.lit("S"), F.col("url") % 3)).select("id", "verdict", "via")
+
+
+# ------------------------------------------------------------------ ids, sheets, anchors and wrapped links
+
+
+@R.query("SELECT c_custkey, c_custkey || CASE WHEN c_custkey % 3 = 1 THEN '.5' ELSE '' END AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS first FROM customer")
+def id_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Ids as sheets show them, and the first filled one of several cells."""
+    key = F.col("c_custkey")
+    shown = F.concat(F.lit(" "), key, F.when(key % 3 == 1, ".5").otherwise(".0"))
+    return parquet(spark, d, "customer").select("c_custkey", text.id_text(shown).alias("id"), text.first_filled(F.when(key % 2 == 0, F.concat(F.lit(" "), "c_name")), F.lit("  "), F.col("c_mktsegment")).alias("first"))
+
+
+@R.query("SELECT s_suppkey AS id, NULL::VARCHAR AS email, 'sup' AS orgid, NULL::INTEGER AS result_count FROM supplier UNION ALL SELECT n_nationkey, n_name, 'nat', n_regionkey::INTEGER FROM nation")
+def appended_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two shapes appended to one table of a catalogue's schema."""
+    at, schema = tables.scratch(spark, "log"), tables.SCHEMAS["search_log"]
+    tables.append(parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("sup").alias("orgid")), at, schema)
+    tables.append(parquet(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("email"), F.lit("nat").alias("orgid"), F.col("n_regionkey").alias("result_count")), at, schema)
+    return spark.read.schema(schema).parquet(at).select("id", "email", "orgid", "result_count")
+
+
+@R.query(
+    f"""WITH {ALL_PORTALS}, h AS (SELECT *, regexp_extract(portal_url, '://([^/]*)', 1) AS host FROM all_portals), a AS (SELECT orgid, list(portal_url) FILTER (status = 'F') AS u, list(host) FILTER (status = 'F') AS h, list(portal_url) FILTER (status = 'O') AS tu, list(host) FILTER (status = 'O') AS th FROM h GROUP BY orgid)
+    SELECT orgid, coalesce(list_has_any(u, tu), FALSE) OR coalesce(list_has_any(h, th), FALSE) AS matched FROM a"""
+)
+def truth_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any found url, or else any found host, of an organisation is a true one."""
+    url, h = F.col("portal_url"), urls.host(F.col("portal_url"))
+    lists = lambda s: [F.collect_list(F.when(F.col("status") == s, x)) for x in (url, h)]
+    (u, hosts), (tu, th) = lists("F"), lists("O")
+    out = all_portals(spark, d).groupBy("orgid").agg(u.alias("u"), hosts.alias("h"), tu.alias("tu"), th.alias("th"))
+    return out.select("orgid", evaluation.matches(F.col("u"), F.col("tu"), F.col("h"), F.col("th")).alias("matched"))
+
+
+@R.query(rf"""WITH {LINKS}, k AS (SELECT page_id, pos, href, trim(regexp_replace(trim(lower(text)), '[.,;:!?_>»→•·-]+$', '')) AS key FROM linked) SELECT page_id, pos, key, key IN ({', '.join(repr(x) for x in sites.PORTAL_TEXTS)}) OR (key = 'portal' AND regexp_matches(href, '(?i)/login|/portal')) AS portal FROM k""")
+def portal_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Which links of a page are named like a portal."""
+    found = links.page_links(candidates(spark, d))
+    return found.select("page_id", "pos", sites.anchor_key(F.col("text")).alias("key"), sites.portal_anchor(F.col("text"), F.col("href")).alias("portal"))
+
+
+@R.query(f"WITH {CANDIDATES} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '/l/?x=' || page_id END AS target FROM candidates")
+def unwrapped_links(spark: SparkSession, d: str) -> DataFrame:
+    """The targets of redirect links; other links stay."""
+    link = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/l/?uddg="), F.url_encode("url"), F.lit("&r=1"))).otherwise(F.concat(F.lit("/l/?x="), "page_id"))
+    return candidates(spark, d).select("page_id", urls.unwrapped(link).alias("target"))
+
+
+@R.query(f"WITH {ALL_PORTALS} SELECT id, orgid FROM all_portals WHERE orgid NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 3000)")
+def active_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose organisation is in no list of inactive ones."""
+    inactive = parquet(spark, d, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").alias("orgid"))
+    return dedup.not_in(all_portals(spark, d), inactive, ["orgid"]).select("id", "orgid")
+
+
+@R.query(rf"""WITH {CANDIDATES} SELECT page_id, contains(host, '.ac.') OR {' OR '.join(f"ends_with(host, '{s}')" for s in sites.ACADEMIC_SUFFIXES)} OR regexp_matches(title, '(?i)university|college|on') AS academic FROM candidates""")
+def vendor_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Sites that look like an organisation's own and not like a vendor's: by host, or by the words of their title."""
+    return candidates(spark, d).select("page_id", sites.own_site(urls.host(F.col("url")), F.col("title"), "(?i)university|college|on").alias("academic"))
