@@ -65,19 +65,24 @@ class Model:
         return logistic(self.intercept, [(w, rule.column(within)) for rule, w in self.weights])
 
 
-def tree_rules(described: str) -> set[Rule]:
-    """The paths of a forest, from its description; of conditions on one statistic the tightest stay."""
-    rules, path = set(), []
+def tree_rules(described: str, nodes: int) -> set[Rule]:
+    """The paths of a forest, from its description; of conditions on one statistic the tightest stay.
+
+    Each node but a root is one condition of the description; any other number of them is an error.
+    """
+    rules, path, seen = set(), [], 0
     for line in described.splitlines():
         m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) (-?[0-9.Ee+-]+)\)", line)
         if not m:
             continue
-        depth = len(m[1])
+        depth, seen = len(m[1]), seen + 1
         path = [p for p in path if p[0] < depth] + [(depth, STATISTICS[int(m[2])], m[3] == ">", float(m[4]))]
         tight: dict[tuple[str, bool], float] = {}
         for _, name, above, bound in path:
             tight[name, above] = (max if above else min)(bound, tight.get((name, above), bound))
         rules.add(Rule(tuple((name, above, bound) for (name, above), bound in sorted(tight.items()))))
+    if seen != nodes:
+        raise ValueError(f"{seen} conditions in the description of a forest of {nodes} nodes below its roots")
     return rules
 
 
@@ -95,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: in
         return Model(log((ones + 1) / (n - ones + 1)), ())
     grow = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=TREES, maxDepth=DEPTH, maxBins=64, featureSubsetStrategy="onethird", seed=seed)
     forest = grow.fit(VectorAssembler(inputCols=STATISTICS, outputCol="x").transform(rows))
-    rules = sorted(tree_rules(forest.toDebugString), key=lambda r: r.conditions)
+    rules = sorted(tree_rules(forest.toDebugString, forest.totalNumNodes - forest.getNumTrees), key=lambda r: r.conditions)
     marked = stored(rows.select("y", *[r.column().alias(f"r{i}") for i, r in enumerate(rules)]), "rules")
     intercept, weights = logistic_columns(marked, [f"r{i}" for i in range(len(rules))], label="y", l1=L1)
     return Model(intercept, tuple((r, w) for r, w in zip(rules, weights, strict=True) if w))
