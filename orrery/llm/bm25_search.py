@@ -17,7 +17,7 @@ in one order, so results are exact and copies tie.
 
 A shard is a run of documents of one task and is written as one row, so postings are never shuffled. Queries pass
 over the shards in blocks of QUERIES, or of QUERY_WORDS of their words if that is less, which bounds what a task is
-sent; each block is one pass over the index.
+sent; each block is one pass over the index, and its lists are written before the next block goes.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import limit_batches, stored
+from orrery.llm.common import limit_batches, new_path, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 64  # documents in a block
@@ -43,7 +43,6 @@ SHARDS_PER_TASK = 8
 QUERIES, QUERY_WORDS = 20_000, 1_500_000  # queries sent to the shards together, and words of queries
 TOGETHER = 256  # queries of a product of matrices
 DENSE = 0.001  # share of a product's cells from which a word is cheaper there than by its postings
-QUERIES_PER_MERGE = 50  # queries whose lists are merged together
 TRIM = ".,;:!?\"'()[]{}|#$%&*<>=/\\-_"
 
 
@@ -247,6 +246,7 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
 
 
+FOUND = "query_row long, doc_id long, score double"
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, the last of all
 
 
@@ -260,8 +260,8 @@ def _best(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[top], d[top], s[top], place[top] + 1
 
 
-def _answer(asked, k: int, mean: float, buckets: int, whole: bool):
-    """The k best of a task's shards for each query, packed by buckets of queries."""
+def _answer(asked, k: int, mean: float, whole: bool):
+    """The k best of a task's shards for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, queries, words, number, weights = asked.value  # queries and words by number; by query, then word
@@ -287,20 +287,7 @@ def _answer(asked, k: int, mean: float, buckets: int, whole: bool):
                     ids = pc.fill_null(batch.column("ids")[r].values, NO_ID).to_numpy()[ds]
                     *best, place = _best(np.concatenate((best[0], qs)), np.concatenate((best[1], ids)), np.concatenate((best[2], ss)), k)
                     floors[best[0][place == k]] = best[2][place == k]
-        best = rows[best[0]], best[1], best[2]
-        bucket = best[0] % buckets
-        for b in np.unique(bucket):
-            mine = bucket == b
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *[pa.array([x[mine]], pa.list_(t)) for x, t in zip(best, (pa.int64(), pa.int64(), pa.float64()), strict=True)]], ["bucket", "q", "d", "s"])
-
-    return run
-
-
-def _merged(k: int):
-    def run(lists: pa.Table) -> pa.Table:
-        flat = [pc.list_flatten(lists.column(c)).to_numpy() for c in ("q", "d", "s")]
-        q, d, s, place = _best(*flat, k)
-        return pa.table({"query_row": pa.array(q), "rank": pa.array(place.astype(np.int32)), "doc_id": pa.array(d, mask=d == NO_ID), "score": pa.array(s)})
+        yield pa.RecordBatch.from_arrays([pa.array(rows[best[0]]), pa.array(best[1], mask=best[1] == NO_ID), pa.array(best[2])], ["query_row", "doc_id", "score"])
 
     return run
 
@@ -340,17 +327,19 @@ def search(df: DataFrame, queries: Column, *, doc_id: str = "doc_id", text: str
     n, total = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = index.count()  # a task that has seen several shards knows what a query's k best must beat
     index = index.coalesce(max(1, -(-shards // SHARDS_PER_TASK), min(shards, spark.sparkContext.defaultParallelism)))
-    local, blocks = None, max(-(-n // QUERIES), -(-total // QUERY_WORDS))
-    for i in range(blocks):  # a pass over the index for each block of queries
+    blocks, at = max(-(-n // QUERIES), -(-total // QUERY_WORDS)), new_path(spark, "found")
+    for i in range(blocks):  # a pass over the index for each block of queries, written before the next is sent
         some = asked.filter(F.col("block") % blocks == i).select("query_row", "w", "weight").toArrow()
         row, w, weight = (some.column(c).to_numpy() for c in ("query_row", "w", "weight"))
         order = np.lexsort((w, row))
         rows, query = np.unique(row[order], return_inverse=True)
         words, number = np.unique(w[order], return_inverse=True)
         some = spark.sparkContext.broadcast((rows, query.astype(np.int32), words, number.astype(np.int32), weight[order]))
-        found = index.mapInArrow(_answer(some, k, float(mean), max(1, n // QUERIES_PER_MERGE), terms is None), "bucket long, q array<bigint>, d array<bigint>, s array<double>")
-        local = found if local is None else local.unionByName(found)
-    if local is None:
+        index.mapInArrow(_answer(some, k, float(mean), terms is None), FOUND).write.parquet(f"{at}/{i}")
+        some.destroy()
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    best = local.groupBy("bucket").applyInArrow(_merged(k), "query_row long, rank int, doc_id long, score double")
+    found = spark.read.schema(FOUND).option("recursiveFileLookup", True).parquet(at)
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+    best = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return best.join(ids.drop("n"), "query_row").select("query_id", "rank", "doc_id", "score")

@@ -33,12 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that discard() deletes."""
+    at = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return at
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut and any executor can be lost."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
+    at = new_path(spark, name)
     df.write.parquet(at)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
