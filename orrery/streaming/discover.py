@@ -1,7 +1,9 @@
 """Candidates as a stream: each micro-batch is cleaned with the batch operators and appended to a table.
 
-Seen keys are looked up in the table itself, so a restart continues where the last finished batch ended. A batch
-that runs again after a failure overwrites its own folder, so nothing is appended twice.
+Seen keys are looked up in the table itself, so a restart continues where the last finished batch ended. The table is
+dealt by a hash of the key, and a batch reads only the parts that its own keys fall into, so a small batch costs the
+same however long the history is. A batch that runs again after a failure overwrites its own folder, so nothing is
+appended twice.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from orrery.functions import urls
 from orrery.operators import dedup, feedback
 
-KEPT = "page_id long, key string, host string, action string, pattern string, batch long"
+KEPT = "page_id long, key string, host string, action string, pattern string, batch long, part int"
+PARTS = 64
 
 
 def cleaned(batch: DataFrame, rules: DataFrame, disputed: DataFrame) -> DataFrame:
@@ -27,9 +30,15 @@ def discover(stream: DataFrame, rules: DataFrame, disputed: DataFrame, *, table:
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        earlier = spark.read.schema(KEPT).parquet(table).filter(F.col("batch") != epoch) if epoch else spark.createDataFrame([], KEPT)
-        fresh = dedup.not_in(cleaned(batch, rules, disputed), earlier, ["key"])
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={epoch}")
+        kept = cleaned(batch, rules, disputed).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).persist()
+        if epoch:
+            parts = [r["part"] for r in kept.select("part").distinct().collect()]  # at most PARTS numbers
+            earlier = spark.read.schema(KEPT).parquet(table).filter(F.col("part").isin(parts) & (F.col("batch") != epoch))
+            fresh = dedup.not_in(kept, earlier, ["key"])
+        else:
+            fresh = kept
+        fresh.write.partitionBy("part").mode("overwrite").parquet(f"{table}/batch={epoch}")
+        kept.unpersist()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(KEPT).parquet(table)

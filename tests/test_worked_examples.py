@@ -249,3 +249,21 @@ def test_run_states(spark):
         for a, b in zip(cuts, cuts[1:]):
             state = runs.folded(state, spark.createDataFrame(rows[a:b], "key string, v int, pos int"), "key", "v", ["pos"], 3)
         assert {r.key: r.n_runs for r in state.collect()} == want
+
+
+def test_stream_of_candidates_over_batches(spark, tmp_path):
+    """Keys that an earlier batch kept don't come again, whatever the batches; a batch reads only its keys' parts."""
+    from orrery.streaming import discover
+
+    pages = [(i, f"https://h{i % 7}.org/p{i % 11}") for i in range(60)] + [(100, "https://bad.org/x"), (101, "https://h1.org/disputed")]
+    for k in range(3):
+        spark.createDataFrame(pages[k::3], "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    rules_ = spark.createDataFrame([(1, "host", "bad.org", "deny"), (2, "host", "h2.org", "flag")], "rule_id int, rule_type string, pattern string, action string")
+    disputed = spark.createDataFrame([("https://h1.org/disputed",)], "key string")
+    source = spark.readStream.schema("page_id long, url string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    where = {"table": str(tmp_path / "table"), "checkpoint": str(tmp_path / "log")}
+    got = discover.discover(source, rules_, disputed, **where).collect()
+    assert len({r.batch for r in got}) == 3 and sorted(r.key for r in got) == sorted({u for i, u in pages if i < 100})
+    assert {r.action for r in got if r.host == "h2.org"} == {"flag"} and all(0 <= r.part < discover.PARTS for r in got)
+    again = discover.discover(source, rules_, disputed, **where)  # a restart with nothing new
+    assert again.count() == len(got)
