@@ -40,6 +40,7 @@ SKETCH = 64  # values for the union-sketch estimate
 MISS = 1e-7  # chance that a linked pair at the threshold shares fewer of LISTED values than asked for
 SMALL = 32  # members of a list that are paired outright
 SLACK = 0.3  # the estimate may fall so far below the threshold: over six standard errors at SKETCH values
+PART = 512  # members of a list that are worked on in one task
 PIVOTS = 16  # of a list of full sets, before what is left is paired
 SLICE = 2_000_000  # bytes of text taken together in a task
 
@@ -133,10 +134,19 @@ def _rarest(posted: DataFrame, needed: Column) -> DataFrame:
 
     Whoever shares `needed` values shares one that is not among the needed - 1 longest lists of either class. nth is
     a value's place from the longest list on, so it also says how many values of the class are not rarer.
+
+    A list of more than PART members is dealt to parts (`part` of `parts`), which tasks work on apart.
     """
     shared = posted.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
     nth = F.row_number().over(Window.partitionBy("set_id").orderBy(F.col("m").desc(), "v"))
-    return posted.join(shared.hint("merge"), "v").withColumn("nth", nth).filter(F.col("nth") >= needed).drop("m")
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    dealt = posted.join(shared.hint("merge"), "v").withColumns({"nth": nth, "parts": parts, "part": F.pmod(F.xxhash64("set_id"), parts).cast("int")})
+    return dealt.filter(F.col("nth") >= needed).drop("m")
+
+
+def _to_parts(lists: DataFrame) -> DataFrame:
+    """A row per list (v, parts, ...) for each of its parts."""
+    return lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def _comparable(a: Column, b: Column, percent: int) -> Column:
@@ -184,18 +194,23 @@ def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _linked(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node and component of the classes that links connect. lists: v (value), set_id, n, nth; sketches: set_id, least."""
+    """node and component of the classes that links connect. lists: v (value), part, parts, set_id, n, nth; sketches: set_id, least."""
+    columns = ["v", "part", "parts", "set_id", "n", "nth"]
 
     def star(x: DataFrame, rank: Column) -> DataFrame:
-        """Each member of a list and its pivot, the first by rank."""
-        p = x.groupBy("v").agg(F.min(F.struct(rank.alias("rank"), "set_id", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
-        out = x.join(p.hint("merge"), "v").filter(F.col("set_id") != F.col("p.set_id"))
+        """Each member of a part of a list and its pivot, the first by rank; and each part's pivot and the list's."""
+        p = x.groupBy("v", "part").agg(F.min(F.struct(rank.alias("rank"), "set_id", "n")).alias("p"), F.count("*").alias("m"), F.max("parts").alias("parts"))
+        out = x.drop("parts").join(p.filter("m > 1").hint("merge"), ["v", "part"]).select("set_id", "n", "p")
+        heads = p.filter("parts > 1").select("v", "p")
+        tops = heads.groupBy("v").agg(F.min("p").alias("top"))
+        heads = heads.join(tops.hint("merge"), "v").select(F.col("p.set_id").alias("set_id"), F.col("p.n").alias("n"), F.col("top").alias("p"))
+        out = out.unionByName(heads).filter(F.col("set_id") != F.col("p.set_id"))
         return out.filter(_comparable(F.col("n"), F.col("p.n"), percent)).select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v"))
 
     def unsettled(x: DataFrame, labels: DataFrame) -> DataFrame:
-        x = x.join(labels.hint("merge"), x["set_id"] == labels["node"], "left").select("v", "set_id", "n", "nth", F.coalesce("component", "set_id").alias("c"))
-        lists = x.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("v", "m")
-        return stored(x.join(lists.hint("merge"), "v"), "lists")
+        x = x.join(labels.hint("merge"), x["set_id"] == labels["node"], "left").select(*columns, F.coalesce("component", "set_id").alias("c"))
+        lists = x.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("parts").alias("parts")).filter("low < high")
+        return stored(x.join(_to_parts(lists.select("v", "m", "parts")).hint("merge"), ["v", "part"]), "lists")
 
     def across(x: DataFrame, alike) -> DataFrame:
         """Pairs of different components that share a value; each once, at the rarest value they share."""
@@ -214,7 +229,7 @@ def _linked(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     labels = joined_components(labels, _verified(pairs, sets, percent))
     if long.isEmpty():
         return labels
-    left = unsettled(long.select("v", "set_id", "n", "nth"), labels).select("set_id", "n").distinct()
+    left = unsettled(long.select(*columns), labels).select("set_id", "n").distinct()
     whole = stored(left.hint("merge").join(sets, "set_id").select("set_id", "n", F.explode("members").alias("v")), "whole")
     last = stored(_rarest(whole, F.ceil(F.col("n") * percent / 100)), "lists")
     # of both classes, the values that are not rarer than the rarest shared one bound the overlap
@@ -224,10 +239,10 @@ def _linked(lists: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
         return labels
     # pivots are of the list's largest component if it has as many, and others in each list; a task hands on at most
     # PIVOTS rows of each list to the one that ranks them
-    sizes = last.groupBy("v", "c").agg(F.count("*").alias("size")).groupBy("v").agg(F.max_by("c", F.struct("size", "c")).alias("largest"))
+    sizes = last.groupBy("v", "c").agg(F.count("*").alias("size"), F.max("parts").alias("parts")).groupBy("v").agg(F.max_by("c", F.struct("size", "c")).alias("largest"), F.max("parts").alias("parts"))
     nth = F.row_number().over(Window.partitionBy("v").orderBy(F.col("c") != F.col("largest"), F.xxhash64("set_id", "v")))
-    p = last.join(sizes.hint("merge"), "v").withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", F.struct("set_id", "n", "nth", "c").alias("p"))
-    pairs = last.join(p.hint("merge"), "v").filter((F.col("c") != F.col("p.c")) & _comparable(F.col("n"), F.col("p.n"), percent) & enough({"nth": F.col("nth"), "n": F.col("n")}, F.col("p")))
+    p = last.join(_to_parts(sizes).hint("merge"), ["v", "part"]).withColumn("place", nth).filter(F.col("place") <= PIVOTS).select("v", "parts", F.struct("set_id", "n", "nth", "c").alias("p"))
+    pairs = last.drop("parts").join(_to_parts(p).hint("merge"), ["v", "part"]).filter((F.col("c") != F.col("p.c")) & _comparable(F.col("n"), F.col("p.n"), percent) & enough({"nth": F.col("nth"), "n": F.col("n")}, F.col("p")))
     labels = joined_components(labels, _verified(pairs.select(F.col("p.set_id").alias("u"), F.col("set_id").alias("v")), sets, percent))
     last = unsettled(last, labels)
     if last.isEmpty():
@@ -279,7 +294,7 @@ def _grouped(df: DataFrame, doc_id: str, text: str, words: int, percent: int) ->
     posted = classes.select("set_id", "row_key", "n", F.explode("least").alias("v"))
     lists = stored(_rarest(posted, _needed(F.col("n"), percent)), "lists")
     able = stored(lists.select("set_id", "row_key").distinct(), "candidates")
-    lists = lists.select("v", "set_id", "n", "nth")
+    lists = lists.select("v", "part", "parts", "set_id", "n", "nth")
     sketches = stored(classes.join(able.select("set_id").hint("merge"), "set_id", "left_semi").select("set_id", "least"), "sketches")
     texts = docs.select("row_key", "text").join(able.select("row_key").hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
     sets = stored(texts.select("text").mapInArrow(_sketcher(words, True), "set_id binary, members array<bigint>"), "sets")
