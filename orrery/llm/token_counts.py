@@ -5,8 +5,8 @@ never do: a text's tokens are those of its pre-tokens, taken apart before each r
 
 1. Tasks count how many texts hold each pre-token; the counts, summed over the corpus, leave each pre-token once.
 2. The pieces of each distinct pre-token are counted once.
-3. The table of pre-tokens meets the documents' frequencies and the products are summed. Its HOT most frequent
-   pre-tokens, a table of bounded size, are broadcast and met within the tasks that read the texts, so no hot key is
+3. The table of pre-tokens meets the documents' frequencies and the products are summed. Its most frequent
+   pre-tokens, at most HOT, are broadcast and met within the tasks that read the texts, so no hot key is
    ever shuffled; only the frequencies of the others go through a join.
 
 Pre-tokens of more than LONG characters would be most of what is shuffled and are hardly ever met twice; they are
@@ -96,6 +96,19 @@ def _summed(model_file: str, hot):
     return run
 
 
+def _frequent(pieces: DataFrame, most: int) -> DataFrame:
+    """The pre-tokens of the highest counts, at most `most`: down to the step of counts, of two percent each, that still fits."""
+    step = F.floor(F.log(F.col("n").cast("double")) * 50)
+    sizes = {r["step"]: r["size"] for r in pieces.groupBy(step.alias("step")).agg(F.count("*").alias("size")).collect()}  # some hundred rows
+    least, total = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        least = k
+    return pieces.filter(step >= least)
+
+
 def count_tokens(df: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = 4096, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for each row of df.
 
@@ -110,7 +123,7 @@ def count_tokens(df: DataFrame, model_file: str, *, doc_id: str = "doc_id", text
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
     distinct = docs.select("text").mapInArrow(_distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     pieces = stored(distinct.mapInArrow(_pieces(model_file), "token string, n long, pieces int"), "pieces")
-    top = pieces.orderBy(F.col("n").desc(), "token").limit(hot).select("token", "pieces").toArrow()  # at most `hot` rows of LONG characters
+    top = _frequent(pieces, hot).select("token", "pieces").toArrow()  # at most `hot` rows of LONG characters
     known = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), top.column("pieces").to_pylist(), strict=True)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     summed = stored(docs.mapInArrow(_summed(model_file, known), f"row long, doc_id {kind}, n_bytes long, known long, tokens array<string>, counts array<int>"), "frequencies")

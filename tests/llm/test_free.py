@@ -63,9 +63,10 @@ def near_rows():
     return [(1000 - 3 * i, t) for i, t in enumerate(rows)] + [(2000 + i, "a b c d e"[: 2 * i + 1]) for i in range(5)] + [(3000, "A b  c\nd e"), (3001, None), (3002, ""), (3003, " ")]
 
 
-@pytest.mark.parametrize(("words", "small"), [(4, 32), (5, 4)])
-def test_near_duplicates(spark, monkeypatch, words, small):
+@pytest.mark.parametrize(("words", "small", "part"), [(4, 32, 512), (5, 4, 5)])
+def test_near_duplicates(spark, monkeypatch, words, small, part):
     monkeypatch.setattr(near_dup, "SMALL", small)  # so that long lists occur
+    monkeypatch.setattr(near_dup, "PART", part)
     rows = near_rows()
     want, sets = groups(rows, words)
     got = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), words=words).collect()}
