@@ -10,9 +10,7 @@ from orrery.operators import catalog, cells, dedup, discovery, evaluation, gates
 from orrery.plans.roles import (
     ALL_PORTALS,
     CANDIDATES,
-    LABELS,
     ORGS,
-    ROOTS,
     Registry,
     all_portals,
     candidates,
