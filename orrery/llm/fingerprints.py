@@ -159,7 +159,7 @@ def fingerprint_documents(df: DataFrame, *, doc_id: str = "doc_id", text: str =
     A null text is empty: an empty fingerprint, alike (1) to another empty one and unlike (0) to any other. Texts
     of fewer words than a shingle have one shingle, the whole. Repeated rows follow one another and are all
     returned. Null ids come last; ids may be of any type that has an order. An empty table gives no rows. Other
-    columns of df aren't read.
+    columns of df aren't read. df is read twice, and must give the same rows in the same partitions, as a table does.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "tie", "nth")
