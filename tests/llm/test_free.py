@@ -335,8 +335,12 @@ def test_label_model_is_plain_em():
             for k in range(6):
                 mass = prior[k]
                 for v in range(4):
-                    fires = sum(w[q][k] for q in range(len(votes)) if votes[q][v] == votes[p][v]) + 0.25
-                    mass *= fires / (sum(w[q][k] for q in range(len(votes))) + 0.5)
+                    same = [q for q in range(len(votes)) if votes[q][v] == votes[p][v]]
+                    fires, every = sum(w[q][k] for q in same) + 0.25, sum(w[q][k] for q in range(len(votes))) + 0.5
+                    if k < 2:  # clean kinds lean on both together
+                        pooled = (sum(w[q][j] for q in same for j in (0, 1)) + 0.5) / (sum(w[q][j] for q in range(len(votes)) for j in (0, 1)) + 1.0)
+                        fires, every = fires + 0.02 * total * pooled, every + 0.02 * total
+                    mass *= fires / every
                 joint.append(mass)
             new.append([j / sum(joint) for j in joint])
         shares = np.array(new)
