@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.common import limit_batches, new_path, stored
+from orrery.llm.common import batches_of, limit_batches, new_path, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 64  # documents in a block
@@ -335,7 +335,8 @@ def search(df: DataFrame, queries: Column, *, doc_id: str = "doc_id", text: str
         rows, query = np.unique(row[order], return_inverse=True)
         words, number = np.unique(w[order], return_inverse=True)
         some = spark.sparkContext.broadcast((rows, query.astype(np.int32), words, number.astype(np.int32), weight[order]))
-        index.mapInArrow(_answer(some, k, float(mean), terms is None), FOUND).write.parquet(f"{at}/{i}")
+        with batches_of(spark, 1):  # a row is a shard
+            index.mapInArrow(_answer(some, k, float(mean), terms is None), FOUND).write.parquet(f"{at}/{i}")
         some.destroy()
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
