@@ -174,7 +174,7 @@ class LabelModel:
         return self
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return self._shares(self._expect(self._codes(votes)))[:, self.SIDES == 1].sum(1)
+        return np.clip(self._shares(self._expect(self._codes(votes)))[:, self.SIDES == 1].sum(1), 0, 1)  # sums may round above 1
 
 
 def score(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 3, held_out: int = 1, threshold: float = 0.7, most: int = MAX_LABELLED, taught: int = MAX_TAUGHT) -> DataFrame:

@@ -346,6 +346,7 @@ def test_label_model_is_plain_em():
         shares = np.array(new)
     assert np.allclose(got, shares, atol=1e-9)
     fitted = toxicity.LabelModel(4).fit(votes, counts, known).posterior(votes)[which]
+    assert (fitted >= 0).all() and (fitted <= 1).all()
     assert ((fitted > 0.5) == toxic).mean() > 0.9 and fitted[toxic].mean() > 3 * fitted[~toxic].mean()
 
 
