@@ -202,7 +202,7 @@ class Shard:
         return list(zip(scores.tolist(), docs.tolist(), strict=True))
 
     def best(self, edges: np.ndarray, words: np.ndarray, weights: np.ndarray, floors: np.ndarray, n: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query, documents and scores that hold all of its k best of n documents with a score of its floor or more.
+        """For each query, its k best of n documents with a score of its floor or more, and their scores.
 
         The words (numbers) and weights of query i are those from edges[i] to edges[i + 1].
         """
@@ -237,7 +237,9 @@ class Shard:
                     weight_of[w] = x
                     length = doc_at[docs + 1] - doc_at[docs]
                     at = _ranges(doc_at[docs], length)
-                    yield i, docs, np.bincount(np.repeat(np.arange(len(docs)), length), weight_of[doc_words[at]] * doc_parts[at])
+                    scores = np.bincount(np.repeat(np.arange(len(docs)), length), weight_of[doc_words[at]] * doc_parts[at])
+                    top = np.lexsort((docs, -scores))[:k]  # any number of copies may tie
+                    yield i, docs[top], scores[top]
                     weight_of[w] = 0
 
 
