@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bm25_search, fingerprints, mixing, near_dup, oracles, quality_rules, secret_scan, sentence_pieces, token_counts, toxicity, url_filters
+from orrery.llm import alignment, bm25_search, fingerprints, mixing, near_dup, oracles, quality_rules, secret_scan, sentence_pieces, token_counts, toxicity, url_filters
 from orrery.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, url_filters.HOST_RULES + url_filters.SPAM_GLOBS).drop("url")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -65,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_search": op8_bm25_search,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filters": op10_url_filters,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL = oracles.SQL
