@@ -105,5 +105,39 @@ SELECT page_id, host, path, by_host AS "rule",
             WHEN by_host IS NOT NULL THEN 'allow'
             WHEN by_glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
+""",
+    "op11_prefix_trie": r"""
+WITH crc(code) AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END))),
+ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS head, count(*) AS n,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+             lambda c, b: xor(c // 256, (any_value(code))[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 6 AS h
+  FROM ordered, crc GROUP BY conv_id),
+heads AS (SELECT c.conv_id, c.h, c.head, coalesce(b.n, 0) AS n_head FROM convs c LEFT JOIN convs b ON b.conv_id = c.head),
+rebuilt AS (
+  SELECT h.conv_id, o.i AS d, o.role, o.text FROM heads h JOIN ordered o ON o.conv_id = h.head AND o.i <= h.h
+  UNION ALL
+  SELECT h.conv_id, o.i - h.h + least(h.h, h.n_head) AS d, o.role, o.text FROM heads h JOIN ordered o ON o.conv_id = h.conv_id AND o.i > h.h),
+paths AS (
+  SELECT conv_id, d, length(text) AS size, count(*) OVER (PARTITION BY conv_id) AS turns,
+         md5(string_agg(md5(length(role) || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS node,
+         coalesce(md5(string_agg(md5(length(role) || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 'root') AS parent
+  FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, (SELECT count(*) FROM rebuilt r WHERE r.conv_id = convs.conv_id), 'root', NULL FROM convs),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(size) AS size,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = d), '') AS ends
+  FROM paths GROUP BY node),
+families AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.parent = n.node) AS n_children FROM nodes n LEFT JOIN nodes p ON p.node = n.parent),
+sums AS (
+  SELECT p.node, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.size)::BIGINT AS saved_tokens
+  FROM families f JOIN paths p ON p.conv_id = f.conv_id AND p.d <= f.depth GROUP BY p.node)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM families JOIN sums USING (node)
 """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import alignment, bm25_search, fingerprints, mixing, near_dup, oracles, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, toxicity, url_filters
+from orrery.llm import alignment, bm25_search, fingerprints, mixing, near_dup, oracles, prefix_trie, quality_rules, secret_scan, sentence_pieces, simhash, token_counts, toxicity, url_filters
 from orrery.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, url_filters.HOST_RULES + url_filters.SPAM_GLOBS).drop("url")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25_search": op8_bm25_search,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_url_filters": op10_url_filters,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_simhash": op12_simhash,
     "op13_alignment": op13_alignment,
 }
