@@ -218,7 +218,7 @@ def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sequences(df: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = 100) -> DataFrame:
     """block, conv_id and turns (array of turn, role, digest, size, in order) of each conversation of df, dealt by block.
 
-    A block is named by its first of `block` ids. Rows without conv_id are no conversation.
+    A block is named by its first of `block` ids (by the remainder that SQL gives, so of negative ids by the last). Rows without conv_id are no conversation.
     """
     who, said = F.coalesce(F.col(role).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.md5(F.concat(F.char_length(who).cast("string"), F.lit(":"), who, said).cast("binary")))
