@@ -1,4 +1,4 @@
-"""Predicates over the urls and bodies of stored pages. Every list is a parameter; the defaults are fixed values."""
+"""Predicates over the urls and bodies of stored pages. Lists are parameters or constants of this module; all are fixed values."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ LOGIN_HINT = r"(?i)login|sign-?in|signon|/sso|/cas|shibboleth|adfs|oauth|/auth|s
 ACADEMIC_SUFFIXES = [".ac.in", ".edu.in", ".edu", ".gov.in", ".res.in", ".nic.in", ".ac.uk", ".edu.au", ".edu.pk", ".edu.np"]
 CHALLENGES = ["just a moment", "cf-browser-verification", "cf-challenge", "_cf_chl_", "attention required", "checking your browser", "enable javascript and cookies", "ddos protection by", "captcha-delivery", "px-captcha"]
 BLOCKS = ["you have been blocked", "attention required! | cloudflare", "unable to access", "access denied", "error 1020", "ray id:", "this website is using a security service to protect itself"]
+INTERSTITIALS = ["just a moment", "checking your browser", "performing security verification", "verify you are human", "verifying you are human", "cf_chl", "cf-challenge", "needs to review the security of your connection"]
 LOGIN_MARKS = ["forgot password", "remember me", "sign in", "log in", "login"]
 LEGAL_TEXTS = ["privacy policy", "terms of use", "terms and conditions", "terms of service", "terms & conditions", "legal", "disclaimer"]
 LEGAL_PATHS = ["/disclaimer", "/terms", "/privacy", "/legal", "/policy"]
@@ -83,10 +84,10 @@ def challenge_page(html: Column, marks: list[str] = CHALLENGES) -> Column:
     return (F.length(low) < 200) | rules.contains_any(low, marks)
 
 
-def block_page(html: Column, marks: list[str] = BLOCKS) -> Column:
-    """A final refusal: two marks or more, and no challenge that would pass."""
+def block_page(html: Column, marks: list[str] = BLOCKS, passing: list[str] = INTERSTITIALS, most: int = 6000) -> Column:
+    """A final refusal: two marks or more, on a page that isn't a short one of a challenge that passes by itself."""
     low = F.lower(F.coalesce(html, F.lit("")))
-    return ~rules.contains_any(low, CHALLENGES) & (F.size(rules.contained(low, marks)) >= 2)
+    return ~((F.length(low) <= most) & rules.contains_any(low, passing)) & (F.size(rules.contained(low, marks)) >= 2)
 
 
 def login_page(body: Column, marks: list[str] = LOGIN_MARKS, most: int = 2500) -> Column:
@@ -189,12 +190,16 @@ def footer(html: Column) -> Column:
     return F.coalesce(F.nullif(by_tag, F.lit("")), F.nullif(by_name, F.lit("")), F.lit(""))
 
 
-def attribution(html: Column) -> Column:
-    """Who made a site, as its footer says; empty if it doesn't."""
-    said = text.visible_text(F.coalesce(F.nullif(footer(html), F.lit("")), html))
+def maker(said: Column) -> Column:
+    """Who made a site, as a text of it says; empty if it doesn't."""
     return F.trim(F.regexp_extract(said, r"(?i)(?:powered|designed|developed|maintained|crafted)\s*(?:&|and|\s)*\s*(?:by|with)\s*[:\-]?\s*([A-Za-z][\w .&'-]{2,40})", 1))
 
 
+def attribution(html: Column) -> Column:
+    """Who made a site, as its footer says, or the page where it has none."""
+    return maker(text.visible_text(F.coalesce(F.nullif(footer(html), F.lit("")), html)))
+
+
 def column_letter(n: Column) -> Column:
     """The letters of a sheet's column: 1 is A, 27 is AA."""
     a = lambda k: F.char(F.lit(65) + k)

@@ -68,8 +68,8 @@ def form_signals(html: Column) -> dict[str, Column]:
 
 
 def label_tokens(name: Column) -> Column:
-    """The words of a control's name: apart at `_`, `$`, `-` and between lower and upper case; lower case."""
-    return F.filter(F.transform(F.split(name, r"[_$\-]|(?<=[a-z0-9])(?=[A-Z])"), F.lower), lambda w: w != "")
+    """The words of a control's name: apart at `_`, `$`, `-`, between lower and upper case, and before a word's capital; lower case."""
+    return F.filter(F.transform(F.split(name, r"[_$\-]|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"), F.lower), lambda w: w != "")
 
 
 def strong_title(title: Column, phrases: list[str]) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions import sites, urls
+from orrery.functions import urls
 from orrery.functions.text import anchors
+from orrery.operators import structure
 from orrery.operators.dedup import not_in, top
 
 
@@ -47,8 +48,10 @@ def followups(links: DataFrame, seen: DataFrame, *, page: str = "page_id", key:
 
 
 def footer_links(pages: DataFrame, *, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_links() of the footers alone."""
-    return page_links(pages.withColumn(html, sites.footer(F.col(html))), page=page, url=url, html=html)
+    """As page_links(), of the links inside each page's footer."""
+    found = structure.links_in_context(structure.structured(pages, html=html, keep=(page, url)), within=structure.footer)
+    found = found.select(page, "pos", F.col(url).alias("base"), "href", "text", absolute(F.col("href"), F.col(url)).alias("target"))
+    return found.withColumn("target_host", urls.host(F.col("target")))
 
 
 def two_levels(links: DataFrame, stored: DataFrame, *, page: str = "page_id", key: str = "key") -> DataFrame:

@@ -111,19 +111,6 @@ def form_signals(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("page_id", *[s[k].cast("long").alias(k) for k in ("n_forms", "n_inputs", "n_passwords")], s["has_user"].alias("has_user"))
 
 
-FIELDS = ["AdminLogin$UserName", "roll-no_field", "txtPRN", "studentEmail", "", "userID2Name"]
-
-
-@R.query(
-    rf"""WITH f AS (SELECT page_id, {sql_turn(FIELDS)} || page_id || 'Box' AS name FROM pages), s AS (SELECT page_id, name, regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g') AS x FROM f)
-    SELECT page_id, name, lower(array_to_string(list_filter(regexp_split_to_array(regexp_replace(x, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[_$-]'), lambda w: w <> ''), ' ')) AS words FROM s"""
-)
-def label_words(spark: SparkSession, d: str) -> DataFrame:
-    """Names of controls taken apart into words."""
-    name = F.concat(turn(FIELDS), F.col("page_id").cast("string"), F.lit("Box"))
-    return parquet(spark, d, "pages").select("page_id", name.alias("name")).select("page_id", "name", F.array_join(discovery.label_tokens(F.col("name")), " ").alias("words"))
-
-
 PHRASES, BETWEEN = ["Disclaimer", "Home", "Terms of Use", "Welcome", " Privacy Policy ", "disclaimer page"], [" - ", " | ", " :: ", " : ", " — "]
 
 
@@ -178,19 +165,16 @@ def host_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(
     rf"""WITH {CANDIDATES}, a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS t FROM candidates),
-    dead AS (SELECT DISTINCT page_id FROM a WHERE {sql_any("lower(t)", sites.LEGAL_TEXTS)} AND ends_with(href, '#')), f AS (SELECT page_id, regexp_extract(html, '(?is)<footer[^>]*>.*?</footer>', 0) AS f FROM candidates)
-    SELECT page_id, length(low) < 200 OR {sql_any('low', sites.CHALLENGES)} AS challenge, len(list_filter({sql_list(sites.BLOCKS)}, lambda m: contains(low, m))) >= 2 AND NOT {sql_any('low', sites.CHALLENGES)} AS blocked,
-    contains(low, 'password') AND {sql_any('low', sites.LOGIN_MARKS)} AND length(low) < 2500 AS login_page, page_id IN (SELECT page_id FROM dead) AS dead_link, md5(f) AS footer_md5,
-    trim(regexp_extract(trim(regexp_replace(regexp_replace(f, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '(?i)developed by ([A-Za-z][A-Za-z0-9_ .&''-]{{2,40}})', 1)) AS maker,
-    length(low) >= 500 AND len(list_filter({sql_list(sites.PDF_PHRASES)}, lambda m: contains(low, m))) >= 2 AS legal_text FROM candidates JOIN f USING (page_id)"""
+    dead AS (SELECT DISTINCT page_id FROM a WHERE {sql_any("lower(t)", sites.LEGAL_TEXTS)} AND ends_with(href, '#'))
+    SELECT page_id, length(low) < 200 OR {sql_any('low', sites.CHALLENGES)} AS challenge, len(list_filter({sql_list(sites.BLOCKS)}, lambda m: contains(low, m))) >= 2 AND NOT (length(low) <= 6000 AND {sql_any('low', sites.INTERSTITIALS)}) AS blocked,
+    contains(low, 'password') AND {sql_any('low', sites.LOGIN_MARKS)} AND length(low) < 2500 AS login_page, page_id IN (SELECT page_id FROM dead) AS dead_link,
+    length(low) >= 500 AND len(list_filter({sql_list(sites.PDF_PHRASES)}, lambda m: contains(low, m))) >= 2 AS legal_text FROM candidates"""
 )
 def body_flags(spark: SparkSession, d: str) -> DataFrame:
-    """What a candidate's body says, its footer and who made the site."""
+    """What a candidate's body says."""
     b = F.col("html")
-    made = F.when(sites.footer(b) != "", sites.attribution(b)).otherwise("")
     return candidates(spark, d).select(
-        "page_id", sites.challenge_page(b).alias("challenge"), sites.block_page(b).alias("blocked"), sites.login_page(b).alias("login_page"), sites.dead_legal_link(b).alias("dead_link"), F.md5(sites.footer(b)).alias("footer_md5"),
-        made.alias("maker"), sites.legal_text(b).alias("legal_text"),
+        "page_id", sites.challenge_page(b).alias("challenge"), sites.block_page(b).alias("blocked"), sites.login_page(b).alias("login_page"), sites.dead_legal_link(b).alias("dead_link"), sites.legal_text(b).alias("legal_text"),
     )
 
 
@@ -242,18 +226,6 @@ def shell_scores(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).select("page_id", gates.shell_score(F.col("url"), F.col("html")).alias("score"))
 
 
-HEADINGS = ["Staff Login", "Login", "Student Login", "Welcome", "", "Student and Faculty", "Learner area"]
-
-
-@R.query(
-    f"""WITH x AS (SELECT page_id, lower({sql_turn(HEADINGS)}) AS head, {sql_turn(FIELDS)} AS f FROM pages), w AS (SELECT page_id, head, string_split(lower(regexp_replace(regexp_replace(f, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[$-]', '_', 'g')), '_') AS words FROM x)
-    SELECT page_id, {sql_first([(f"{sql_any('head', ['staff', 'faculty', 'admin'])} OR list_has_any(words, ['admin', 'staff'])", 'non_student'), (f"{sql_any('head', ['student login', 'learner'])} OR list_has_any(words, ['student', 'rollno'])", 'student')], 'ambiguous')} AS audience FROM w"""
-)
-def login_audiences(spark: SparkSession, d: str) -> DataFrame:
-    who = gates.audience(turn(HEADINGS), F.array(turn(FIELDS)), others=["staff", "faculty", "admin"], students=["student login", "learner"], other_names=["admin", "staff"], student_names=["student", "rollno"])
-    return parquet(spark, d, "pages").select("page_id", who.alias("audience"))
-
-
 @R.query(
     rf"""WITH {CANDIDATES}, x AS (SELECT *, lower(path) AS p, split_part(authority, '.', 1) AS label FROM candidates),
     f AS (SELECT DISTINCT page_id FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '(?is)<form(?:\s[^>]*)?>.*?</form>')) AS f FROM x)
@@ -303,26 +275,6 @@ STUDENT_SQL = sql_points([
     (sql_any("b", discovery.STUDENT_PHRASES), 3), ("contains(b, 'student')", 2), (sql_any("b", discovery.PLATFORM_WORDS) + " AND contains(parent, 'student')", 2), (sql_any("b", discovery.LOGIN_WORDS), 1),
     (sql_any("b", discovery.STAFF_WORDS), -2), (sql_any("b", discovery.OTHER_WORDS), -3),
 ])
-PARENTS = ["", "for students", "Alumni"]
-
-
-@R.query(f"WITH {LINKS}, x AS (SELECT page_id, pos, lower(href || ' ' || text) AS b, lower({sql_turn(PARENTS)}) AS parent FROM linked) SELECT page_id, pos, {STUDENT_SQL} AS score FROM x")
-def anchor_scores(spark: SparkSession, d: str) -> DataFrame:
-    """How likely each link of each page leads to a student's portal."""
-    found = links.page_links(candidates(spark, d))
-    return found.select("page_id", "pos", discovery.student_anchor_score(F.col("href"), F.col("text"), turn(PARENTS)).alias("score"))
-
-
-@R.query(
-    f"""WITH {LINKS}, x AS (SELECT page_id, pos, target, lower(href || ' ' || text) AS b, '' AS parent FROM linked), s AS (SELECT *, {STUDENT_SQL} AS score FROM x)
-    SELECT page_id, nth::INTEGER AS nth, target, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS nth FROM s WHERE score >= 2) WHERE nth <= 3"""
-)
-def best_links(spark: SparkSession, d: str) -> DataFrame:
-    """The three best links of a page for students, of two points or more."""
-    scored = links.page_links(candidates(spark, d)).withColumn("score", discovery.student_anchor_score(F.col("href"), F.col("text"), F.lit(""))).filter("score >= 2")
-    return dedup.top(scored, ["page_id"], [F.col("score").desc(), F.col("pos")], 3, "nth").select("page_id", "nth", "target", "score")
-
-
 @R.query(rf"WITH {LINKS} SELECT page_id, pos, target, text FROM linked WHERE regexp_matches(target, '(?i)^https?://') AND regexp_replace(regexp_extract(target, '://([^/?#]*)', 1), '^www\.', '') <> own")
 def outbound_links(spark: SparkSession, d: str) -> DataFrame:
     return links.outbound(links.page_links(candidates(spark, d))).select("page_id", "pos", "target", "text")
@@ -331,18 +283,6 @@ def outbound_links(spark: SparkSession, d: str) -> DataFrame:
 FOOTER_SQL = LINKS.replace("FROM candidates),\nlinked", "FROM (SELECT page_id, regexp_extract(html, '(?is)<footer[^>]*>.*?</footer>', 0) AS html FROM candidates)),\nlinked")
 
 
-@R.query(
-    rf"""WITH {FOOTER_SQL}, l AS (SELECT *, CASE WHEN contains(lower(text), 'terms') THEN 3 WHEN contains(lower(text), 'privacy') THEN 2 ELSE 1 END AS score FROM linked WHERE {sql_any('lower(text)', sites.LEGAL_TEXTS)})
-    SELECT page_id, target, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS n FROM l) WHERE n = 1"""
-)
-def footer_links(spark: SparkSession, d: str) -> DataFrame:
-    """The best link of each footer that names a policy: terms before privacy before others."""
-    low = F.lower("text")
-    found = links.footer_links(candidates(spark, d)).filter(rules.contains_any(low, sites.LEGAL_TEXTS))
-    score = F.when(low.contains("terms"), 3).when(low.contains("privacy"), 2).otherwise(1)
-    return dedup.top(found.withColumn("score", score), ["page_id"], [F.col("score").desc(), F.col("pos")]).select("page_id", "target", "score")
-
-
 @R.query(
     rf"""WITH {FOOTER_SQL}, f AS (SELECT page_id, own, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<footer[^>]*>.*?</footer>', 0), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM candidates JOIN (SELECT DISTINCT page_id, own FROM linked) USING (page_id)),
     x AS (SELECT l.page_id, pos, regexp_replace(regexp_extract(target, '://([^/?#]*)', 1), '^www\.', '') AS host FROM linked l JOIN f USING (page_id) WHERE regexp_matches(said, '(?i)developed by')),
@@ -385,16 +325,6 @@ def legal_sets(spark: SparkSession, d: str) -> DataFrame:
     return links.legal_set(c, host="host", category="category", path="path", strong="strong", order=[F.col("score").desc(), F.col("page_id")]).select("host", "page_id", F.coalesce("category", F.lit("")).alias("category"))
 
 
-@R.query(
-    r"""WITH t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<nav[^>]*>.*?</nav>|<header[^>]*>.*?</header>|<footer[^>]*>.*?</footer>|<aside[^>]*>.*?</aside>', ' ', 'g') AS x FROM pages),
-    m AS (SELECT page_id, x, trim(regexp_replace(regexp_replace(regexp_extract(x, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS whole FROM t)
-    SELECT page_id, md5(CASE WHEN length(a) >= 100 THEN a ELSE whole END) AS text_md5 FROM m"""
-)
-def main_text(spark: SparkSession, d: str) -> DataFrame:
-    """The text of a page's main part, without navigation and footer."""
-    return parquet(spark, d, "pages").select("page_id", F.md5(text.main_text(F.col("html"))).alias("text_md5"))
-
-
 # ------------------------------------------------------------------ answers, names, places
 
 

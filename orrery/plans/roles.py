@@ -72,8 +72,11 @@ SNIPPETS = [
     "", '<form method=post><input name="userid"><input type="password"></form>', '<form action="https://evil.com/p"><input name="email"><INPUT type="password"></form>', '<a href="/login.php"> Student <b>Login</b></a>',
     "<noscript>Please enable JavaScript</noscript>", '<div id="root"></div>', '<meta name="generator" content="Moodle">Powered by Moodle',
     '<footer class="site-footer"><a href="/terms">Terms of Use</a> Developed by <a href="https://www.maker.com/x">Maker</a><a href="//other.org/privacy">Privacy Policy</a></footer>',
-    "Entrance test 2024 now", "prospectus and last date", "prospectus and last date; student login. Forgot password? Sign in",
+    "Entrance test 2024 now. Attention Required! | Cloudflare: sorry, you have been blocked", "prospectus and last date", "prospectus and last date; student login. Forgot password? Sign in",
     '<a href="/student/login">Student Login</a><a href="/staff/login">Staff</a><a href="/portal">Student portal</a><a href="#">Disclaimer</a>', "<form><input type='search'></form> Just a moment",
+    '<form id="StudentLogin"><label for="prn">PRN Number</label><input id="prn" name="txtPRN"><input type="password"></form>', '<h2>Staff Login</h2><form name="AdminLogin$Form"><div>Challan No. <input type="text" name="c1"></div></form>',
+    '<div id="site-footer-links"><div><a href="/legal/terms.pdf">Terms of Use</a></div><div><a href="/privacy">Privacy Policy</a></div></div>',
+    '<section class="page-content"><div>students of the semester</div><ul><li>Student services: <a href="/ums/go">Portal</a></li></ul></section>',
 ]
 
 
@@ -82,16 +85,21 @@ def turn(values: list, page: str = "page_id") -> Column:
     return F.element_at(F.lit(values), (F.col(page) % len(values) + 1).cast("int"))
 
 
+#: Added to the numbers of candidates that are a snippet alone.
+SHORT = 2**40
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Every page as a candidate portal: page_id, url, tenant, root, html and title.
+    """Candidate portals: page_id, url, tenant, root, html and title.
 
-    The urls are of the kinds that organisations have, made from the page's own host; every sixth body is only a
-    snippet, the others are the whole page with a snippet at its end.
+    Every page is one, with a snippet at its end; every sixth is a second one, with a number of its own, whose body is
+    a snippet alone. The urls are of the kinds that organisations have, made from the page's own host.
     """
+    every = pages(spark, d).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    every = every.unionByName(every.filter("page_id % 6 = 0").select((F.col("page_id") + SHORT).alias("page_id"), "url", F.lit("").alias("html")))
     i, tenant = F.col("page_id"), F.substring_index(urls.host(F.col("url")), ".", 1)
     prefix = F.when(i % 7 == 0, "").when(i % 5 == 0, F.concat(tenant, F.lit("."))).otherwise(F.concat(turn(LABELS), F.lit("."), tenant, F.lit(".")))
-    html = F.concat(F.when(i % 6 == 0, "").otherwise(F.coalesce("html", F.lit(""))), turn(SNIPPETS))
-    made = pages(spark, d).select("page_id", F.concat(F.lit("https://"), prefix, turn(ROOTS), turn(PATHS)).alias("url"), tenant.alias("tenant"), turn(ROOTS).alias("root"), html.alias("html"))
+    made = every.select("page_id", F.concat(F.lit("https://"), prefix, turn(ROOTS), turn(PATHS)).alias("url"), tenant.alias("tenant"), turn(ROOTS).alias("root"), F.concat("html", turn(SNIPPETS)).alias("html"))
     return made.withColumn("title", text.title(F.col("html")))
 
 
@@ -103,9 +111,10 @@ def sql_turn(values: list[str], page: str = "page_id") -> str:
     return f"({sql_list(values)})[{page} % {len(values)} + 1]"
 
 
-CANDIDATES = rf"""made AS (SELECT page_id, split_part(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', ''), '.', 1) AS tenant, {sql_turn(ROOTS)} AS root, coalesce(html, '') AS page FROM pages),
+CANDIDATES = rf"""every AS (SELECT page_id, url, coalesce(html, '') AS page FROM pages UNION ALL SELECT page_id + {SHORT}, url, '' FROM pages WHERE page_id % 6 = 0),
+made AS (SELECT page_id, split_part(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', ''), '.', 1) AS tenant, {sql_turn(ROOTS)} AS root, page FROM every),
 cand AS (SELECT page_id, tenant, root, CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 5 = 0 THEN tenant || '.' ELSE {sql_turn(LABELS)} || '.' || tenant || '.' END || root AS authority, {sql_turn(PATHS)} AS path,
-         CASE WHEN page_id % 6 = 0 THEN '' ELSE page END || {sql_turn(SNIPPETS)} AS html FROM made),
+         page || {sql_turn(SNIPPETS)} AS html FROM made),
 candidates AS (SELECT *, regexp_replace(authority, '^www\.', '') AS host, 'https://' || authority || path AS url, lower(html) AS low,
          trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM cand)"""
 

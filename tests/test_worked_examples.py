@@ -138,7 +138,8 @@ def test_hard_gate(spark):
     [
         (sites.admin_path, "https://a.b/wp-admin/x", True), (sites.homepage, "https://a.b/?x", True), (sites.login_subpage, "https://a.b/Forgot", True), (sites.generic_sso, "https://login.live.com/x", True), (sites.webmail, "https://pumail.u.in/", True),
         (sites.webmail, "https://u.in:2096/", True), (sites.webmail, "https://u.in/mailing", False), (sites.academic_host, "x.ac.jp.org", True), (sites.academic_host, "u.com", False), (sites.challenge_page, "short", True),
-        (sites.block_page, "Access Denied " * 9 + " ray id: 7", True), (sites.block_page, "access denied", False), (sites.login_page, "Password. Sign in", True), (sites.login_page, "Password. Sign in" + " " * 2500, False),
+        (sites.block_page, "Access Denied " * 9 + " ray id: 7", True), (sites.block_page, "access denied", False), (sites.block_page, "Attention Required! | Cloudflare. Sorry, you have been blocked", True), (sites.block_page, "Just a moment: access denied, ray id: 7", False),
+        (sites.block_page, "just a moment " * 500 + "access denied, ray id: 7", True), (sites.login_page, "Password. Sign in", True), (sites.login_page, "Password. Sign in" + " " * 2500, False),
         (sites.dead_legal_link, '<a href="#">Privacy Policy</a>', True), (sites.dead_legal_link, '<a href="/p">Privacy Policy</a>', False), (sites.legal_page, "https://a/legal/Privacy-Policy.html", True),
         (sites.legal_page, "https://a/world-copyright-day-2021", False), (sites.legal_page, "https://a/refund-terms", False), (sites.legal_page, "https://a/", False), (sites.error_url, "https://a/x?aspxerrorpath=/y", True),
         (sites.other_document, "https://a/AICTE%20Approvals.pdf", "aicte"), (sites.test_host, "https://uat.a.b/", "uat"), (sites.office_label, "https://hr-portal.harvard.edu/", "hr"), (sites.office_label, "https://harvard.edu/", ""),
