@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import dedup, evaluation, verdicts
 from orrery.plans.roles import JUDGED, PAGE_PARTS, Registry, judged
 from orrery.sources.tables import parquet, scratch
-from orrery.streaming import discover, runs
+from orrery.streaming import discover, runs, signals
 
 R = Registry()
 SEVERE = "CASE verdict WHEN 'No' THEN 3 WHEN 'Maybe' THEN 2 ELSE 1 END"
@@ -130,3 +132,18 @@ def search_log(spark: SparkSession, d: str) -> DataFrame:
     """Results as JSON text of bounded length."""
     ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x)
     return parquet(spark, d, "orders").groupBy("o_custkey").agg(F.substring(F.to_json(ids), 1, 60).alias("results"), F.count("*").alias("n"))
+
+
+@R.query(
+    """WITH due AS (SELECT user_id::VARCHAR AS key, event_type AS value, ts FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR),
+    o AS (SELECT *, row_number() OVER w AS i, CASE WHEN lag(value) OVER w = value AND ts - lag(ts) OVER w <= INTERVAL 40 DAY THEN 0 ELSE 1 END AS starts FROM due WINDOW w AS (PARTITION BY key ORDER BY ts, value)),
+    r AS (SELECT *, sum(starts) OVER (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o), n AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY i) AS nth, min(ts) OVER (PARTITION BY key, run) AS since FROM r)
+    SELECT key, value, since, ts AS at FROM n WHERE nth = 3"""
+)
+def stream_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Users whose events were of one type three times in a row, as a stream with state, up to the watermark of six hours."""
+    table = parquet(spark, d, "events")
+    source = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    found = signals.signals(source, key="user_id", value="event_type", at="ts", delay="6 hours", idle=timedelta(days=40))
+    out = signals.landed(found, table=scratch(spark, "signals"), checkpoint=scratch(spark, "signals-log"))
+    return out.select("key", "value", F.col("since").cast("timestamp_ntz").alias("since"), F.col("at").cast("timestamp_ntz").alias("at"))
