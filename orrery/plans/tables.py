@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import rules, text
-from orrery.operators import dedup, evaluation, updates
+from orrery.operators import dedup, evaluation, parts, updates
 from orrery.plans.roles import ALL_PORTALS, Registry, all_portals, pages
 from orrery.sources import tables
-from orrery.sources.tables import parquet
+from orrery.sources.tables import parquet, scratch
 
 R = Registry()
 
@@ -125,3 +125,25 @@ def doc_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """MD5 of the first 200 bytes of each document, and how many documents share it."""
     docs = parquet(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("print"))
     return docs.join(docs.groupBy("print").agg(F.count("*").alias("n")), "print").select("doc_id", "print", "n")
+
+
+PARTED = """seen AS (SELECT id, orgid, category, status, portal_url, 1::BIGINT AS hits FROM all_portals),
+batch AS (SELECT l_orderkey AS id, min(l_shipmode) AS category, count(*) AS hits, bool_or(l_returnflag = 'R') AS gone FROM lineitem WHERE l_shipdate >= DATE '1998-06-01' GROUP BY l_orderkey)"""
+
+
+@R.query(
+    f"""WITH {ALL_PORTALS}, {PARTED} SELECT s.id, orgid, coalesce(b.category, s.category) AS category, status, portal_url, s.hits + coalesce(b.hits, 0) AS hits
+    FROM seen s LEFT JOIN batch b ON s.id = b.id WHERE NOT coalesce(gone, false) UNION ALL SELECT -id, NULL, category, NULL, NULL, hits FROM batch WHERE NOT gone AND id % 8 = 1"""
+)
+def parted_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue in parts after an upsert of late orders: a new category, counted hits, returned ones deleted, others added."""
+    seen = all_portals(spark, d).select("id", "orgid", "category", "status", "portal_url", F.lit(1).cast("long").alias("hits"))
+    table = parts.PartedTable(spark, scratch(spark, "parted"), ["id"], parts=32)
+    table.create(seen)
+    late = parquet(spark, d, "lineitem").filter("l_shipdate >= DATE '1998-06-01'").groupBy(F.col("l_orderkey").alias("id"))
+    late = late.agg(F.min("l_shipmode").alias("category"), F.count("*").alias("hits"), F.bool_or(F.col("l_returnflag") == "R").alias("gone"))
+    batch = late.unionByName(late.filter("NOT gone AND id % 8 = 1").withColumn("id", -F.col("id")))
+    batch = batch.withColumns({c: F.lit(None).cast(seen.schema[c].dataType) for c in ("orgid", "status", "portal_url")})
+    kept = {c: lambda old, new: F.coalesce(new, old) for c in ("orgid", "status", "portal_url")}
+    table.upsert(batch, merged=kept | {"hits": lambda old, new: old + new}, delete=F.col("gone"))
+    return table.read()
