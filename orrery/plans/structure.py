@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import rules, sites
-from orrery.operators import dedup, discovery, gates, links, structure
+from orrery.operators import dedup, discovery, gates, grams, links, structure
 from orrery.plans.roles import CANDIDATES, Registry, candidates, sql_any, sql_first, sql_list, sql_points
+from orrery.sources.tables import parquet
 
 R = Registry()
 
@@ -180,3 +181,28 @@ def form_audiences(spark: SparkSession, d: str) -> DataFrame:
     """Whom the pages' forms are for, by their fields, and why."""
     who = structure.form_audience(F.col("elements"), F.col("text"), others=OTHER_FIELDS, identity=IDENTITY_FIELDS, context=CONTEXT)
     return pages(spark, d).select("page_id", who.alias("w")).select("page_id", "w.verdict", "w.reason")
+
+
+@R.query(
+    r"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS pattern FROM pages)
+    SELECT pattern, count(*) AS n_docs, min(doc_id) AS first_doc FROM words JOIN documents ON contains(text, pattern) GROUP BY pattern"""
+)
+def signature_documents(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents the text of each of the pages' links occurs, anywhere in the text."""
+    words = links.page_links(parquet(spark, d, "pages")).select(F.col("text").alias("pattern"))
+    found = grams.matches(parquet(spark, d, "documents"), words, text="text", keep=["doc_id"])
+    return found.groupBy("pattern").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@R.query(
+    r"""WITH p AS (SELECT p_partkey, p_type, p_name FROM part), likes AS (SELECT DISTINCT '%' || split_part(p_type, ' ', 2) || '_' || left(split_part(p_type, ' ', 3), 2) || '%' AS pattern FROM p UNION SELECT DISTINCT left(p_name, 2) || '%' || right(p_name, 3) FROM p UNION SELECT '%\_%')
+    SELECT pattern, count(*) AS n, min(p_partkey) AS first_part FROM p JOIN likes ON p_type LIKE pattern ESCAPE '\' OR p_name LIKE pattern ESCAPE '\' GROUP BY pattern"""
+)
+def like_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Many searches of the catalogue of parts by name or type, with live wildcards."""
+    p = parquet(spark, d, "part")
+    word = lambda n: F.split_part("p_type", F.lit(" "), F.lit(n + 1))
+    likes = p.select(F.concat(F.lit("%"), word(1), F.lit("_"), F.substring(word(2), 1, 2), F.lit("%")).alias("pattern")).unionByName(p.select(F.concat(F.substring("p_name", 1, 2), F.lit("%"), F.expr("right(p_name, 3)")).alias("pattern")))
+    likes = likes.unionByName(p.select(F.lit(r"%\_%").alias("pattern")).limit(1))
+    texts = p.select("p_partkey", F.explode(F.array("p_type", "p_name")).alias("text"))
+    return grams.matches(texts, likes, text="text", keep=["p_partkey"], like=True).distinct().groupBy("pattern").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))

@@ -128,7 +128,7 @@ def doc_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 PARTED = """seen AS (SELECT id, orgid, category, status, portal_url, 1::BIGINT AS hits FROM all_portals),
-batch AS (SELECT l_orderkey AS id, min(l_shipmode) AS category, count(*) AS hits, bool_or(l_returnflag = 'R') AS gone FROM lineitem WHERE l_shipdate >= DATE '1998-06-01' GROUP BY l_orderkey)"""
+batch AS (SELECT l_orderkey AS id, min(l_linestatus) AS category, count(*) AS hits, bool_or(l_returnflag = 'R') AS gone FROM lineitem WHERE l_shipdate >= DATE '1998-06-01' GROUP BY l_orderkey)"""
 
 
 @R.query(
@@ -141,7 +141,7 @@ def parted_upserts(spark: SparkSession, d: str) -> DataFrame:
     table = parts.PartedTable(spark, scratch(spark, "parted"), ["id"], parts=32)
     table.create(seen)
     late = parquet(spark, d, "lineitem").filter("l_shipdate >= DATE '1998-06-01'").groupBy(F.col("l_orderkey").alias("id"))
-    late = late.agg(F.min("l_shipmode").alias("category"), F.count("*").alias("hits"), F.bool_or(F.col("l_returnflag") == "R").alias("gone"))
+    late = late.agg(F.min("l_linestatus").alias("category"), F.count("*").alias("hits"), F.bool_or(F.col("l_returnflag") == "R").alias("gone"))
     batch = late.unionByName(late.filter("NOT gone AND id % 8 = 1").withColumn("id", -F.col("id")))
     batch = batch.withColumns({c: F.lit(None).cast(seen.schema[c].dataType) for c in ("orgid", "status", "portal_url")})
     kept = {c: lambda old, new: F.coalesce(new, old) for c in ("orgid", "status", "portal_url")}
