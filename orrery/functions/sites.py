@@ -200,8 +200,7 @@ def attribution(html: Column) -> Column:
     return maker(text.visible_text(F.coalesce(F.nullif(footer(html), F.lit("")), html)))
 
 
-def column_letter(n: Column) -> Column:
-    """The letters of a sheet's column: 1 is A, 27 is AA."""
-    a = lambda k: F.char(F.lit(65) + k)
-    m = n - 1
-    return F.when(n <= 26, a(m)).when(n <= 702, F.concat(a(F.floor(m / 26).cast("int") - 1), a(m % 26))).otherwise(F.concat(a(F.floor((m - 702) / 676).cast("int")), a(F.floor((m - 26) / 26).cast("int") % 26), a(m % 26)))
+def column_letter(n: Column, most: int = 14) -> Column:
+    """The letters of a sheet's column: 1 is A, 26 Z, 27 AA, 18279 AAAA; empty below 1."""
+    step = lambda s, _: F.when(s["n"] > 0, F.struct(F.floor((s["n"] - 1) / 26).cast("long").alias("n"), F.concat(F.char(F.lit(65) + (s["n"] - 1) % 26), s["said"]).alias("said"))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.struct(n.cast("long").alias("n"), F.lit("").alias("said")), step, lambda s: s["said"])

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import urls
-from orrery.operators import catalog, cells, dedup, feedback
+from orrery.operators import catalog, cells, dedup, feedback, insights, paging
 from orrery.plans.roles import ALL_PORTALS, FEEDBACK, ORGS, Registry, all_portals, orgs
 from orrery.plans.roles import feedback as log
-from orrery.sources.tables import parquet
+from orrery.sources.tables import parquet, scratch
 
 R = Registry()
 
@@ -254,3 +254,25 @@ def cell_explode(spark: SparkSession, d: str) -> DataFrame:
 @R.query("SELECT DISTINCT p_partkey, v FROM (SELECT p_partkey, unnest([p_brand, p_type, p_name]) AS v FROM part) WHERE v LIKE '%1%'")
 def unpivot_distinct(spark: SparkSession, d: str) -> DataFrame:
     return cells.unpivoted(parquet(spark, d, "part"), ["p_partkey"], ["p_brand", "p_type", "p_name"], "v", F.col("v").contains("1"))
+
+
+@R.query(
+    f"""WITH {ALL_PORTALS}, s AS (SELECT o.orgid, o.country, o.state, category, count(p.id) AS n, count(*) FILTER (status = 'F') AS f FROM orgs o LEFT JOIN all_portals p ON p.orgid = o.orgid GROUP BY ALL),
+    c AS (SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(state) = 0 THEN 'state' WHEN grouping(country) = 0 THEN 'country' ELSE 'total' END AS level, country, state, category,
+      count(DISTINCT orgid) AS n_orgs, sum(n)::BIGINT AS n_portals, count(DISTINCT orgid) FILTER (n > 0) AS n_covered, sum(f)::BIGINT AS n_final FROM s GROUP BY GROUPING SETS ((), (country), (country, state), (category)))
+    SELECT *, round(100.0 * n_covered / n_orgs, 1) AS coverage_pct FROM c WHERE level <> 'category' OR category IS NOT NULL"""
+)
+def insights_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Totals, countries, states and categories from one scan of a summary, to which the last portals were added."""
+    o, p = orgs(spark, d), all_portals(spark, d).select("orgid", "category", "status", "id")
+    late = F.col("id") % 10 == 0
+    return insights.insights(insights.merged(insights.summary(o, p.filter(~late)), insights.summary(o, p.filter(late))))
+
+
+@R.query(f"WITH {ALL_PORTALS}, p AS (SELECT category, id, orgid, count(*) OVER () AS total, row_number() OVER (ORDER BY category, id) - 1 AS nth FROM all_portals) SELECT category, id, orgid FROM p WHERE nth >= total * 3 // 4 AND nth < total * 3 // 4 + 50")
+def page_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty portals at three quarters of the catalogue, read from the ranges that hold them."""
+    at = scratch(spark, "paged")
+    paging.write(all_portals(spark, d).select("category", "id", "orgid"), at, ["category", "id"], ranges=40)
+    found = paging.Pages(spark, at, ["category", "id"])
+    return found.page(found.total() * 3 // 4, 50)

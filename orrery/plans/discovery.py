@@ -102,11 +102,11 @@ def error_classes(spark: SparkSession, d: str) -> DataFrame:
     return sets.groupBy(error.alias("error")).agg(F.count("*").alias("n"))
 
 
-@R.query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END AS bucket FROM orders ORDER BY bucket, o_orderkey LIMIT 500")
+@R.query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END AS bucket FROM orders ORDER BY bucket, o_orderkey")
 def bucket_order(spark: SparkSession, d: str) -> DataFrame:
     """Rows in buckets, and in their old order within one."""
     bucket = rules.first_of([(F.col("o_orderpriority").startswith("1"), "0"), (F.col("o_orderstatus") == "P", "1")], "2").cast("int")
-    return parquet(spark, d, "orders").select("o_orderkey", bucket.alias("bucket")).orderBy("bucket", "o_orderkey").limit(500)
+    return parquet(spark, d, "orders").select("o_orderkey", bucket.alias("bucket")).orderBy("bucket", "o_orderkey")
 
 
 @R.query("WITH c AS (SELECT l_orderkey, list(DISTINCT l_shipdate::DATE::VARCHAR) AS days FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey FROM c WHERE list_has_any(days, ['1995-01-01', '1996-02-02', '1997-03-03', '1995-06-17', '1996-12-12', '1994-07-07'])")

@@ -469,10 +469,16 @@ def keyword_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return _occurrences(parquet(spark, d, "documents").select("doc_id", "text"))
 
 
-@R.query("SELECT p_partkey, CASE WHEN p_partkey + 1 <= 26 THEN chr(CAST(65 + p_partkey AS INTEGER)) WHEN p_partkey + 1 <= 702 THEN chr(CAST(64 + p_partkey // 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) ELSE chr(CAST(65 + (p_partkey - 702) // 676 AS INTEGER)) || chr(CAST(65 + (p_partkey - 26) // 26 % 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) END AS letters FROM part WHERE p_partkey < 18278")
+def _letters_sql(n: str, most: int = 4) -> str:
+    below = [(26 ** (k + 1) - 26) // 25 for k in range(most + 1)]  # numbers of fewer than k + 1 letters
+    cases = [f"WHEN {n} <= {below[k]} THEN " + " || ".join(f"chr(CAST(65 + ({n} - {below[k - 1] + 1}) // {26**j} % 26 AS INTEGER))" for j in range(k - 1, -1, -1)) for k in range(1, most + 1)]
+    return "CASE " + " ".join(cases) + " END"
+
+
+@R.query(f"SELECT p_partkey, {_letters_sql('(p_partkey + 1)')} AS letters FROM part")
 def column_letters(spark: SparkSession, d: str) -> DataFrame:
-    """Sheet columns by number; there are none beyond three letters."""
-    return parquet(spark, d, "part").filter("p_partkey < 18278").select("p_partkey", sites.column_letter(F.col("p_partkey") + 1).alias("letters"))
+    """Sheet columns by number."""
+    return parquet(spark, d, "part").select("p_partkey", sites.column_letter(F.col("p_partkey") + 1).alias("letters"))
 
 
 # ------------------------------------------------------------------ judgements and metrics joined on

@@ -87,10 +87,10 @@ def reclassified(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.transitions(p, "old", "new")
 
 
-@R.query("SELECT DISTINCT 'https://' || l || '.' || lower(n_name) || '.edu/' AS url FROM nation, (VALUES ('portal'), ('lms'), ('student')) v(l) WHERE n_regionkey = 1")
+@R.query("SELECT DISTINCT 'https://' || l || '.' || lower(n_name) || '.edu/' AS url FROM nation, (VALUES ('portal'), ('lms'), ('student')) v(l)")
 def probe_urls(spark: SparkSession, d: str) -> DataFrame:
     """Addresses to try: each label before each domain. The labels travel as an array, so nothing is joined."""
-    domains = parquet(spark, d, "nation").filter("n_regionkey = 1").select(F.concat(F.lower("n_name"), F.lit(".edu")).alias("domain"))
+    domains = parquet(spark, d, "nation").select(F.concat(F.lower("n_name"), F.lit(".edu")).alias("domain"))
     return domains.select(F.explode(F.lit(["portal", "lms", "student"])).alias("label"), "domain").select(F.concat(F.lit("https://"), "label", F.lit("."), "domain", F.lit("/")).alias("url")).distinct()
 
 

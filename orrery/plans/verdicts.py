@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions import blobs
 from orrery.operators import dedup, evaluation, verdicts
 from orrery.plans.roles import JUDGED, PAGE_PARTS, Registry, judged
 from orrery.sources.tables import parquet, scratch
@@ -127,11 +128,27 @@ def cache_read_through(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("s_suppkey", F.col("cached").isNull().alias("miss"), F.coalesce("cached", F.lit(-1.0)).alias("value"))
 
 
-@R.query("SELECT o_custkey, substr('[' || string_agg(o_orderkey, ',' ORDER BY o_orderkey) || ']', 1, 60) AS results, count(*) AS n FROM orders GROUP BY o_custkey")
+@R.query(
+    """SELECT o_custkey, '{"ids":[' || string_agg(o_orderkey, ',' ORDER BY o_orderkey) || '],"top":{"status":"' || arg_max(o_orderstatus, o_orderkey) || '"}}' AS results, count(*) AS n, max(o_orderkey) AS last_id, arg_max(o_orderstatus, o_orderkey) AS top_status FROM orders GROUP BY o_custkey"""
+)
 def search_log(spark: SparkSession, d: str) -> DataFrame:
-    """Results as JSON text of bounded length."""
-    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x)
-    return parquet(spark, d, "orders").groupBy("o_custkey").agg(F.substring(F.to_json(ids), 1, 60).alias("results"), F.count("*").alias("n"))
+    """Results as JSON, and what is read back from them."""
+    log = parquet(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"), F.max_by("o_orderstatus", "o_orderkey").alias("status"), F.count("*").alias("n"))
+    log = log.select("o_custkey", blobs.written(F.struct("ids", F.struct("status").alias("top"))).alias("results"), "n")
+    v = blobs.read(F.col("results"))
+    return log.select("o_custkey", "results", "n", F.try_element_at(blobs.value(v, "$.ids", "array<bigint>"), F.lit(-1)).alias("last_id"), blobs.value(v, "$.top.status", "string").alias("top_status"))
+
+
+@R.query(
+    """WITH b AS (SELECT event_id, user_id, CASE WHEN user_id % 5 = 0 THEN left(props, length(props) - 1) ELSE props END AS blob FROM events)
+    SELECT user_id, count(*) AS n, count(*) FILTER (NOT json_valid(blob)) AS n_bad, sum(CASE WHEN json_valid(blob) THEN CAST(json_extract_string(blob, '$.k') AS BIGINT) END) AS sum_k FROM b GROUP BY user_id"""
+)
+def blob_values(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of events' JSON by user; the JSON of a fifth of the users is torn."""
+    torn = F.when(F.col("user_id") % 5 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    v = blobs.read(torn)
+    e = parquet(spark, d, "events").select("user_id", v.alias("v"), torn.alias("blob"))
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(blobs.bad(F.col("blob"))).alias("n_bad"), F.sum(blobs.value(F.col("v"), "$.k", "bigint")).alias("sum_k"))
 
 
 @R.query(

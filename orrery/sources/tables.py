@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,9 +51,40 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"').na.fill("")
 
 
-def jdbc(spark: SparkSession, url: str, table: str, *, column: str, bounds: tuple[int, int], parts: int, **options: str) -> DataFrame:
-    """A database table, read in `parts` ranges of a numeric column."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, **options).load()
+def jdbc(spark: SparkSession, url: str, table: str, *, column: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 1, **options: str) -> DataFrame:
+    """A database table, read in `parts` ranges of a numeric column; filters and columns are asked of the database."""
+    split = {"partitionColumn": column, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": parts} if column else {}
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **split, **options).load()
+
+
+def into_database(df: DataFrame, url: str, table: str, keys: list[str], *, batch: int = 1000, connections: int = 8, columns: list[str] | None = None, **options: str) -> int:
+    """Appends the rows of df whose keys the database's table lacks, and returns how many; a repeated run adds nothing.
+
+    Written in batches, by at most `connections` tasks. A table that isn't there is made. `columns` leaves out others, as an identity
+    that the database gives. Of rows with equal keys one is written; rows with a null key are written each time, as
+    null equals nothing there. A failed task may have committed batches: the next run passes over them.
+    """
+    spark, rows = df.sparkSession, (df.select(*columns) if columns else df).dropDuplicates(keys)
+    if _has_table(spark, url, table, options):
+        have = jdbc(spark, url, table, **options).select(*keys)
+        rows = rows.join(have.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in keys]), keys, "left_anti")
+    at = scratch(spark, "to-database")  # fixed before the table that it was held against changes
+    rows.write.parquet(at)
+    rows = spark.read.schema(rows.schema).parquet(at)
+    n = rows.count()
+    if n:
+        rows.coalesce(connections).write.format("jdbc").options(url=url, dbtable=table, batchsize=batch, **options).mode("append").save()
+    return n
+
+
+def _has_table(spark: SparkSession, url: str, table: str, options: dict) -> bool:
+    try:
+        jdbc(spark, url, table, **options)
+    except Exception as e:
+        if re.search("(?i)does not exist|doesn.t exist|not found|no such table|unknown table", str(e)):
+            return False
+        raise
+    return True
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
