@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions import urls
+from orrery.functions import rules, sites, urls
 from orrery.functions.text import anchors
 from orrery.operators import structure
 from orrery.operators.dedup import not_in, top
@@ -71,3 +71,22 @@ def legal_set(df: DataFrame, *, host: str, category: str, path: str, strong: str
     one = top(df.withColumn("__key", F.coalesce(category, path)), [host, "__key"], order).drop("__key")
     good = one.groupBy(host).agg(F.bool_or(strong).alias("__strong")).filter("__strong").select(host)
     return top(one.join(good, host, "left_semi"), [host], order, cap)
+
+
+#: Words around a link that speak against a portal for students.
+NOT_PORTAL = ["alumni", "faculty only", "staff only", "recruitment", "vendor", "tender", "rti", "employee", "admin"]
+
+
+def siblings(pages: DataFrame, *, primary: str, blocked: list[str], known: list[str] = sites.PORTAL_TEXTS, against: list[str] = NOT_PORTAL, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """The other hosts that a home page links to: page, host, portal_url (the first link to it that reads as a portal, else null) and n_links.
+
+    primary names the column with the page's own host; it, hosts below it and those under `blocked` are no siblings. A
+    link reads as a portal by its whole text, unless the block around it says whom else it is for.
+    """
+    structured = structure.structured(pages, html=html, keep=(page, url, primary))
+    found = structure.links_in_context(structured, blocks=("li", "div", "p", "nav", "section", "aside"))
+    found = found.withColumn("target", absolute(F.trim("href"), F.col(url))).filter((F.trim("href") != "") & F.col("target").rlike("(?i)^https?://") & ~F.col("href").rlike("^(#|mailto:|tel:|javascript:)"))
+    found = found.withColumns({"host": urls.host(F.col("target")), "__own": urls.host(F.col(primary))})
+    found = found.filter((F.col("host") != "") & (F.col("host") != F.col("__own")) & ~F.endswith("host", F.concat(F.lit("."), "__own")) & ~urls.under(F.col("host"), blocked))
+    portal = sites.portal_anchor(F.col("text"), F.col("target"), known) & ~rules.contains_any(F.lower("parent_text"), against)
+    return found.groupBy(page, "host").agg(F.min_by(F.when(portal, F.col("target")), F.when(portal, F.col("pos"))).alias("portal_url"), F.count("*").alias("n_links"))

@@ -206,3 +206,21 @@ def like_searches(spark: SparkSession, d: str) -> DataFrame:
     likes = likes.unionByName(p.select(F.lit(r"%\_%").alias("pattern")).limit(1))
     texts = p.select("p_partkey", F.explode(F.array("p_type", "p_name")).alias("text"))
     return grams.matches(texts, likes, text="text", keep=["p_partkey"], like=True).distinct().groupBy("pattern").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@R.query(
+    rf"""WITH {LINKED}, t AS (SELECT page_id, pos, href, text, parent, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www[.]', '') AS own, CASE WHEN starts_with(href, '//') THEN 'https:' || href ELSE href END AS target FROM linked WHERE regexp_matches(href, '^(https?:)?//')),
+    h AS (SELECT *, regexp_replace(regexp_extract(target, '://([^/?#]*)', 1), '^www[.]', '') AS host FROM t)
+    SELECT page_id, host, min(CASE WHEN lower(text) = 'student portal' THEN target END) AS portal_url, count(*) AS n_links FROM h WHERE host <> own AND NOT ends_with(host, '.' || own) AND host <> 'other.org' GROUP BY page_id, host"""
+)
+def sibling_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """The other hosts that candidates link to."""
+    return links.siblings(candidates(spark, d).select("page_id", "url", F.col("url").alias("primary"), "html"), primary="primary", blocked=["other.org"])
+
+
+@R.query()
+def text_rechecks(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn of a conversation held against the next, by matching blocks. SQL has no such measure."""
+    c = parquet(spark, d, "conversations")
+    later = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return discovery.rechecked(c.select("conv_id", "turn", "text").join(later, ["conv_id", "turn"]), "text", "next").select("conv_id", "turn", "ratio", "confirmed", "reason")

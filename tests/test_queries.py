@@ -40,7 +40,7 @@ def test_query(spark, duck, name):
 
 
 def test_all_have_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"text_rechecks"}  # held against a plain loop in test_structure
     assert catalog.FLAGSHIP in catalog.QUERIES
 
 

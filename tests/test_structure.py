@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.operators import discovery, links
 from orrery.operators import structure as S
 from orrery.plans import structure as plans
 
@@ -197,3 +198,45 @@ def test_reading_is_linear():
     for page in ("<a <b x='" * 100_000, "<div><p class=x>t" * 30_000, "<" * 500_000, "<div>" * 20_000 + "</p>" * 50_000, "<a x=\"'>" * 50_000):
         S.Page(page)
     assert time.time() - began < 20
+
+
+def test_siblings(spark):
+    page = (
+        "<li>For <a href='https://erp.org/in'>Student Portal</a></li><p>Staff only <a href='//hub.net/x'>Student Login</a></p><a href='https://uni.ac.in/a'>own</a><a href='https://exam.uni.ac.in/'>Exam Portal</a>"
+        "<a href='https://fb.com/u'>Student Portal</a><a href='mailto:a@b.c'>m</a><a href='https://erp.org/2'>Student Portal</a><a href='/rel'>Student Portal</a><a href='https://hub.net/'>more</a>"
+    )
+    df = spark.createDataFrame([(1, "https://www.uni.ac.in/", "https://uni.ac.in/", page)], "page_id long, url string, primary string, html string")
+    got = sorted(map(tuple, links.siblings(df, primary="primary", blocked=["fb.com"]).collect()))
+    assert got == [(1, "erp.org", "https://erp.org/in", 2), (1, "hub.net", None, 2)]
+
+
+def blocks(a, b, junk):
+    """Characters in matching blocks: the longest block whose begin isn't junk, the first of equals; then left and right of it."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and b[j + k] not in junk:
+                k += 1
+            if k > best[2]:
+                best = (i, j, k)
+    i, j, k = best
+    while i > 0 and j > 0 and a[i - 1] == b[j - 1] and k:  # a block grows over popular characters too
+        i, j, k = i - 1, j - 1, k + 1
+    while k and i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+        k += 1
+    if not k:
+        return 0
+    return k + blocks(a[:i], b[:j], junk) + blocks(a[i + k :], b[j + k :], junk)
+
+
+def test_block_ratio(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+    pairs = [(None, None), ("", "a"), ("abc", "abc"), ("a" * 5000, "a" * 4096 + "b")] + [(word(rnd.randint(0, 25)), word(rnd.randint(0, 25))) for _ in range(60)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r for r in discovery.rechecked(df, "a", "b").collect()}
+    assert got[0].ratio == 1.0 and got[0].reason == "empty on one of the readings" and got[2].confirmed and got[3].ratio == 1.0
+    for i, (a, b) in enumerate(pairs[4:], 4):
+        want = 2 * blocks(a, b, set()) / (len(a) + len(b)) if a or b else 1.0
+        assert got[i].ratio == pytest.approx(want) and got[i].confirmed == bool(a and b and want >= 0.5)
