@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.functions import rules, sites, urls
-from orrery.operators import frontier, links, structure, verdicts
+from orrery.functions import rules, sites, text, urls
+from orrery.operators import frontier, links, resume, structure, verdicts
 from orrery.plans.roles import CANDIDATES, Registry, candidates, pages, sql_any
 from orrery.plans.structure import FOOTER_SQL
+from orrery.sources.tables import scratch
 
 R = Registry()
 ROUNDS = [("words", 2, 2), ("host", 2, 1), ("domain", 2, 2)]  # strategy, rounds, budget
@@ -108,3 +109,17 @@ def terms_levels(spark: SparkSession, d: str) -> DataFrame:
         best = legal.groupBy(key).agg(F.min("url").alias("found"))  # one page of each key, so a hot key joins once
         hits = hits.unionByName(c.select("page_id", key).join(best, key).select("page_id", F.lit(level).alias("level"), "found"))
     return verdicts.first_rung(hits, ["page_id"], LEVELS, value="found")
+
+
+@R.query(
+    rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '') AS host, html FROM pages)
+    SELECT host, count(*) AS n_pages, sum(len(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>')))::BIGINT AS n_links FROM p GROUP BY host"""
+)
+def resumed_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Links by host, host by host in parts: one run that stops early and a second one that goes on."""
+    job = resume.Resumable(spark, scratch(spark, "resumed"))
+    job.deal(pages(spark, d).select("page_id", "html", urls.host(F.col("url")).alias("host")), "host", parts=6)
+    work = lambda items: items.groupBy("host").agg(F.count("*").alias("n_pages"), F.sum(F.size(text.anchors(F.col("html")))).cast("long").alias("n_links"))
+    job.run(work, most=2)
+    job.run(work)
+    return job.results()
