@@ -121,7 +121,7 @@ candidates AS (SELECT *, regexp_replace(authority, '^www\.', '') AS host, 'https
 
 # Conditions and decision lists as SQL, from the parameters of a query.
 def sql_any(c: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    return "(" + " OR ".join("contains({}, '{}')".format(c, w.replace("'", "''")) for w in words) + ")"
 
 
 def sql_under(h: str, roots: list[str]) -> str:
