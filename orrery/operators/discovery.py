@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import rules, urls
+from orrery.operators import grams
 from orrery.operators.dedup import top
 from orrery.operators.links import footer_links
 
@@ -25,7 +26,6 @@ LMS_HOSTS = ["moodle", "lms", "elearning", "learning", "vle", "lcms", "elearn"]
 LMS_ROOTS = ["cognibot.in", "talentlms.com", "classplusapp.com", "edmingle.com", "schoolyard.in", "blackboard.com", "canvaslms.com", "instructure.com", "brightspace.com", "moodlecloud.com"]
 
 
-MAX_SIGNATURES = 5_000
 
 
 def student_anchor_score(href: Column, text: Column, parent: Column) -> Column:
@@ -158,17 +158,13 @@ def collapsed(df: DataFrame, key: str, working: Column, pos: str) -> DataFrame:
 
 
 def vendors(df: DataFrame, signatures: DataFrame, *, keys: list[str], text: Column) -> DataFrame:
-    """Rows with the first vendor, by rank, of whom a signature is in their text. signatures: vendor, rank, words (array).
+    """keys (unique) and the first vendor, by rank and then name, of whom a signature is in a row's text, whatever its case.
 
-    Each text is looked through for each signature, so more than MAX_SIGNATURES of them are an error; longer lists are
-    rules on hosts (suffix.suffix_matches) or on tokens (feedback.apply_rules), which are joined.
+    signatures: vendor, rank, words (array); of any number, as they are met by their rarest grams (operators.grams).
     """
-    n = signatures.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    if n > MAX_SIGNATURES:
-        raise ValueError(f"{n} signatures, but at most {MAX_SIGNATURES} can be looked for in each text")
-    small = signatures.select(F.struct("rank", "vendor", "words").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("all"))
-    found = F.try_element_at(F.filter("all", lambda s: F.exists(s["words"], lambda w: F.contains(F.lower(text), w))), F.lit(1))
-    return df.crossJoin(F.broadcast(small)).select(*keys, found["vendor"].alias("vendor")).filter("vendor IS NOT NULL")  # one row of settings
+    words = signatures.select("vendor", "rank", F.explode("words").alias("pattern"))
+    found = grams.matches(df.select(*keys, F.lower(text).alias("__low")), words, text="__low", keep=keys)
+    return found.join(words, "pattern").groupBy(*keys).agg(F.min_by("vendor", F.struct("rank", "vendor")).alias("vendor"))
 
 
 def linked_makers(df: DataFrame, blocked: list[str], *, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
