@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions import rules, text
-from orrery.operators import dedup, evaluation, parts, updates
-from orrery.plans.roles import ALL_PORTALS, Registry, all_portals, pages
+from orrery.functions import rules, text, urls
+from orrery.operators import dedup, evaluation, parts, regions, updates
+from orrery.plans.roles import ALL_PORTALS, CANDIDATES, Registry, all_portals, candidates, pages
 from orrery.sources import tables
 from orrery.sources.tables import parquet, scratch
 
@@ -147,3 +147,37 @@ def parted_upserts(spark: SparkSession, d: str) -> DataFrame:
     kept = {c: lambda old, new: F.coalesce(new, old) for c in ("orgid", "status", "portal_url")}
     table.upsert(batch, merged=kept | {"hits": lambda old, new: old + new}, delete=F.col("gone"))
     return table.read()
+
+
+_PROBES = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in regions.ARGENTINA.probes) + ") v(label, category, path)"
+REGIONAL = """h AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') AS host FROM pages),
+o AS (SELECT page_id, [replace(host, '.example.net', '.edu.ar'), host] AS domains, CASE WHEN ends_with(host, '.org') AND contains(host, 'blog') THEN 'Argentina' END AS country FROM h),
+r AS (SELECT *, CASE WHEN len(list_filter(domains, lambda d: ends_with(d, '.ar'))) > 0 OR country = 'Argentina' THEN 'argentina' END AS region FROM o)"""
+
+
+def _regional(spark: SparkSession, d: str) -> DataFrame:
+    host = urls.host(F.col("url"))
+    o = pages(spark, d).select("page_id", F.array(F.replace(host, F.lit(".example.net"), F.lit(".edu.ar")), host).alias("domains"), F.when(host.endswith(".org") & host.contains("blog"), "Argentina").alias("country"))
+    return o.withColumn("region", regions.region(F.col("domains"), F.col("country")))
+
+
+@R.query(f"WITH {REGIONAL} SELECT page_id, region FROM r")
+def page_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The region pack that holds for each page's organisation; domains of one suffix stand for a country's."""
+    return _regional(spark, d).select("page_id", "region")
+
+
+@R.query(f"WITH {REGIONAL}, d AS (SELECT page_id, unnest(list_distinct(domains)) AS d FROM r WHERE region IS NOT NULL) SELECT page_id, 'https://' || label || '.' || d || path AS url, category, 'argentina region probe: ' || label || '.' || d AS reason FROM d, {_PROBES}")
+def region_probes(spark: SparkSession, d: str) -> DataFrame:
+    """The addresses that each organisation's pack tries."""
+    return regions.probes(_regional(spark, d), org="page_id", domains="domains", region="region")
+
+
+@R.query(
+    rf"""WITH {CANDIDATES}, u AS (SELECT page_id, host, CASE WHEN page_id % 2 = 0 THEN replace(lower(path), '/student/login', '/acceso/login') ELSE lower(path) END AS p FROM candidates)
+    SELECT page_id, CASE WHEN contains(p, '/acceso/login') THEN 'SIU-Guaraní' WHEN contains(p, '/login/index.php') AND list_has_any(string_split(host, '.'), ['campus', 'campusvirtual', 'aulavirtual', 'aula', 'virtual', 'moodle', 'eduvirtual']) THEN 'Moodle' END AS platform FROM u"""
+)
+def region_logins(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that are a regional platform's login; half of those for students are at another path."""
+    moved = F.when(F.col("page_id") % 2 == 0, F.replace("url", F.lit("/student/login"), F.lit("/acceso/login"))).otherwise(F.col("url"))
+    return candidates(spark, d).select("page_id", regions.login_surface(moved)["platform"].alias("platform"))
