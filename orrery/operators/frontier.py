@@ -6,7 +6,7 @@ round brought, for organisations that have no accepted page yet, to targets that
 the next one starts from all that was visited. Settled organisations take no part any more, so what is joined
 shrinks to those that are still empty.
 
-Each round is written to the shared folder and counted while it is written. The seen set is dealt by organisation
+A strategy's edges are written once, and not at all when every organisation is settled. Each round is written to the shared folder and counted while it is written. The seen set is dealt by organisation
 and page with the targets it is held against; no round is collected, and no organisation's pages are in one task
 but in Spark's sorted windows.
 """
@@ -55,8 +55,11 @@ def explored(starts: DataFrame, strategies: list[Strategy], accepted: DataFrame)
     visited, _ = written(first, "start", 0)
     nth = 0
     for s in strategies:
-        edges = s.edges.select("source", F.col("target").alias("key"), "score", "pos").filter("key IS NOT NULL")
-        frontier = visited
+        if visited.select("org").join(visited.filter("accepted").select("org"), "org", "left_anti").isEmpty():
+            break
+        at = scratch(spark, f"edges-{s.name}")  # once for all rounds of the strategy
+        s.edges.select("source", F.col("target").alias("key"), "score", "pos").filter("source IS NOT NULL AND key IS NOT NULL").write.parquet(at)
+        edges, frontier = spark.read.parquet(at), visited
         for _ in range(s.rounds):
             settled = visited.filter("accepted").select("org").distinct()
             still = visited.select("org", "key").join(settled, "org", "left_anti")  # what organisations without an accepted page have seen
