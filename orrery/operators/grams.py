@@ -6,7 +6,8 @@ counted over all texts, each pattern is kept under its rarest one, the texts' gr
 the text is verified. A pattern with a gram that no text holds is done. Patterns without a literal are few
 (SCANNED at most) and are held against each row.
 
-Only grams that some pattern is kept under leave the tasks that read the texts, without the texts; these meet the candidate
+Texts are cut into grams once. Only grams of patterns leave the tasks that read them (where these are few enough for Spark to
+broadcast; else the grams are dealt), without the texts; the texts meet the candidate
 pairs once, by the columns `keep`, which should tell rows apart. A gram that many rows hold is a hot key of the join; Spark splits its rows.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.sources.tables import scratch
+
 SIZE = 3
 SCANNED = 100  # distinct patterns without a literal, as `%` or `__%`
 _MARKS = {"\\\\": "\x01", "\\%": "\x02", "\\_": "\x03"}  # escaped characters while a pattern is taken apart
@@ -47,6 +50,12 @@ def _grams(c: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def matches(df: DataFrame, patterns: DataFrame, *, text: str, keep: list[str], pattern: str = "pattern", like: bool = False) -> DataFrame:
     """The columns `keep` of each row of df with each distinct pattern that its text holds, or is LIKE with backslash escapes.
 
@@ -69,11 +78,13 @@ def matches(df: DataFrame, patterns: DataFrame, *, text: str, keep: list[str], p
     pattern_grams = empty
     for s in sizes:
         pattern_grams = F.when(F.col("size") == s, F.array_distinct(F.flatten(F.transform("runs", lambda r: _grams(r, s))))).otherwise(pattern_grams)  # noqa: B023
-    posted = wanted.filter("size > 0").select("pattern", F.explode(pattern_grams).alias("gram"))
+    posted = _stored(wanted.filter("size > 0").select("pattern", F.explode(pattern_grams).alias("gram")), "posted")
+    known = _stored(posted.select("gram").distinct(), "grams")  # written, so that its size decides how it is joined
     held = rows.select("__key", F.explode(F.concat(*[_grams(F.col("__text"), s) for s in sizes])).alias("gram"))
-    counts = held.join(posted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    held = _stored(held.join(known, "gram", "left_semi"), "held")
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = posted.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
-    kept = rarest.filter("a.n > 0").select("pattern", F.col("a.gram").alias("gram"))
+    kept = _stored(rarest.filter("a.n > 0").select("pattern", F.col("a.gram").alias("gram")), "kept")
     pairs = held.join(kept, "gram").select("__key", "pattern").distinct()
     found = pairs.join(rows, "__key").filter(verified("pattern")).select(*keep, "pattern")
     return found.unionByName(scan) if bare else found
