@@ -292,13 +292,20 @@ def form_audience(found: Column, text: Column, *, others: list[str], identity: l
     What the field to type into says comes first (`others`), then an identity in any label or input, then words of
     context in the page's text, of which `needed` count. Without all of these a form isn't for students; a page without text is ambiguous.
     """
-    primary, fields, body = primary_field(found, text), field_words(found, text), F.lower(F.replace(text, F.lit(SEP), F.lit(" ")))
-    other, own, around = (F.try_element_at(rules.contained(c, words), F.lit(1)) for c, words in ((primary, others), (fields, identity), (body, context)))
-    n = F.size(rules.contained(body, context))
-    verdict = rules.first_of([(other.isNotNull(), "non_student"), (own.isNotNull(), "student"), (body == "", "ambiguous"), (n >= needed, "student")], "non_student")
-    reason = F.when(other.isNotNull(), F.concat(F.lit("primary field: "), other)).when(own.isNotNull(), F.concat(F.lit("identity field: "), own)).when(body == "", F.lit("no text"))
-    reason = reason.when(n >= needed, F.concat(F.lit("context: "), around)).otherwise(F.lit("no identity field or context"))
-    return F.struct(verdict.alias("verdict"), reason.alias("reason"))
+    given = F.struct(primary_field(found, text).alias("primary"), field_words(found, text).alias("fields"), F.lower(F.replace(text, F.lit(SEP), F.lit(" "))).alias("body"))
+
+    def judged(g: Column) -> Column:
+        hit = F.struct(*[F.try_element_at(rules.contained(g[c], words), F.lit(1)).alias(c) for c, words in (("primary", others), ("fields", identity))], rules.contained(g["body"], context).alias("around"), g["body"].alias("body"))
+        return F.transform(F.array(hit), decided)[0]
+
+    def decided(h: Column) -> Column:
+        other, own, n = h["primary"], h["fields"], F.size(h["around"])
+        verdict = rules.first_of([(other.isNotNull(), "non_student"), (own.isNotNull(), "student"), (h["body"] == "", "ambiguous"), (n >= needed, "student")], "non_student")
+        reason = F.when(other.isNotNull(), F.concat(F.lit("primary field: "), other)).when(own.isNotNull(), F.concat(F.lit("identity field: "), own)).when(h["body"] == "", F.lit("no text"))
+        reason = reason.when(n >= needed, F.concat(F.lit("context: "), h["around"][0])).otherwise(F.lit("no identity field or context"))
+        return F.struct(verdict.alias("verdict"), reason.alias("reason"))
+
+    return F.transform(F.array(given), judged)[0]  # bound in a transform, so that each part is computed once
 
 
 def links_in_context(pages: DataFrame, within=None, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
