@@ -10,7 +10,8 @@ structured() keeps a page one row, with its elements as an array: no shuffle, an
 elements() is the same as a table.
 
 As parsers of real pages do, a closing tag closes the nearest open element of its name and all within; one without such an element
-is passed over; void and self-closed elements hold nothing; what is open at the end ends there. Comments, declarations
+is passed over; void and self-closed elements hold nothing; what is open at the end ends there. The closing tags of body and
+html end nothing, as what follows them still belongs to the body. Comments, declarations
 and the bodies of scripts, styles and templates are no text. Attributes' names are lower case, of repeated ones the last counts.
 """
 
@@ -31,6 +32,7 @@ from orrery.functions.text import one_line
 SEP = "\x1f"  # between two texts of a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = ("script", "style", "template")
+ROOTS = ("html", "body")  # open up to the end of the page
 CHROME = ("script", "style", "noscript", "nav", "header", "footer", "aside")
 SMALL_FORM = 400  # characters of text below which a form is chrome
 BLOCKS = ("li", "div", "p", "section", "nav")
@@ -109,7 +111,7 @@ class Page:
 
     def close(self, name: str) -> None:
         self.settle()
-        was = self.counts[name]
+        was = 0 if name in ROOTS else self.counts[name]
         while was and self.counts[name] == was:
             self.end(self.stack.pop())
 
