@@ -39,10 +39,19 @@ def without_portals(orgs: DataFrame, portals: DataFrame) -> DataFrame:
     return not_in(orgs, portals, ["orgid"])
 
 
+def portal_cells(portals: DataFrame, *keys: str, rows: int = 250_000) -> DataFrame:
+    """Per key, which begins with orgid: the urls of the portals, by category and url, one under the other in a cell, and n_portals.
+
+    Portals are counted, then dealt into parts of about `rows`, so that what a task sorts doesn't grow with the table.
+    """
+    parts = max(portals.sparkSession.sparkContext.defaultParallelism, -(-portals.count() // rows))
+    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "portal_url"))), lambda p: p["portal_url"]), "\n")
+    return portals.select(*keys, "category", "portal_url").repartition(parts, "orgid").groupBy(*keys).agg(cell.alias("portals"), F.count("*").alias("n_portals"))
+
+
 def with_portal_list(orgs: DataFrame, portals: DataFrame) -> DataFrame:
     """Organisations with the urls of their portals, by category and url, one under the other in a cell."""
-    lists = portals.groupBy("orgid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "portal_url"))), lambda p: p["portal_url"]), "\n").alias("portals"))
-    return orgs.join(lists, "orgid", "left").withColumn("portals", F.coalesce("portals", F.lit("")))
+    return orgs.join(portal_cells(portals, "orgid").drop("n_portals"), "orgid", "left").withColumn("portals", F.coalesce("portals", F.lit("")))
 
 
 def search(orgs: DataFrame, portals: DataFrame, text: str, *, groups: int = 20, country: str | None = None) -> DataFrame:

@@ -239,9 +239,7 @@ def cross_product_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"WITH {ALL_PORTALS} SELECT orgid, university AS name, string_agg(portal_url, chr(10) ORDER BY category, portal_url) AS portal_cell, count(*) AS n FROM all_portals GROUP BY ALL")
 def sheet_row(spark: SparkSession, d: str) -> DataFrame:
-    p = all_portals(spark, d)
-    rows = p.select("orgid", F.col("university").alias("name")).distinct()
-    return catalog.with_portal_counts(catalog.with_portal_list(rows, p), p).select("orgid", "name", F.col("portals").alias("portal_cell"), F.col("n_portals").alias("n"))
+    return catalog.portal_cells(all_portals(spark, d), "orgid", "university").select("orgid", F.col("university").alias("name"), F.col("portals").alias("portal_cell"), F.col("n_portals").alias("n"))
 
 
 @R.query(f"WITH {ALL_PORTALS}, c AS (SELECT orgid, portal_url FROM all_portals) SELECT orgid, portal_url AS url FROM c")
