@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import rules, sites
 from orrery.operators import dedup, discovery, gates, grams, links, structure
 from orrery.plans.roles import CANDIDATES, Registry, candidates, sql_any, sql_first, sql_list, sql_points
-from orrery.sources.tables import parquet
+from orrery.sources.tables import parquet, scratch
 
 R = Registry()
 
@@ -200,12 +200,17 @@ def signature_documents(spark: SparkSession, d: str) -> DataFrame:
 )
 def like_searches(spark: SparkSession, d: str) -> DataFrame:
     """Many searches of the catalogue of parts by name or type, with live wildcards."""
-    p = parquet(spark, d, "part")
+    # parts of equal type and name are found by the same searches, so one of them is searched and all are counted
+    at = scratch(spark, "kinds")
+    parquet(spark, d, "part").groupBy("p_type", "p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).write.parquet(at)
+    p = spark.read.parquet(at)
     word = lambda n: F.split_part("p_type", F.lit(" "), F.lit(n + 1))
     likes = p.select(F.concat(F.lit("%"), word(1), F.lit("_"), F.substring(word(2), 1, 2), F.lit("%")).alias("pattern")).unionByName(p.select(F.concat(F.substring("p_name", 1, 2), F.lit("%"), F.expr("right(p_name, 3)")).alias("pattern")))
     likes = likes.unionByName(p.select(F.lit(r"%\_%").alias("pattern")).limit(1))
-    texts = p.select("p_partkey", F.explode(F.array("p_type", "p_name")).alias("text"))
-    return grams.matches(texts, likes, text="text", keep=["p_partkey"], like=True).distinct().groupBy("pattern").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+    texts = p.select(F.explode(F.array("p_type", "p_name")).alias("text")).distinct()
+    found = grams.matches(texts, likes, text="text", keep=["text"], like=True)
+    hits = p.join(found.withColumnRenamed("text", "p_type"), "p_type").unionByName(p.join(found.withColumnRenamed("text", "p_name"), "p_name"))
+    return hits.groupBy("p_type", "p_name", "pattern").agg(F.first("n").alias("n"), F.first("first").alias("first")).groupBy("pattern").agg(F.sum("n").alias("n"), F.min("first").alias("first_part"))
 
 
 @R.query(
