@@ -31,45 +31,40 @@ class RunSignals(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, value string")
-        self.run = handle.getValueState("run", "value string, n long, since long, at long")
+        # one value for all that a key has, as each call of the store is a round trip to the executor
+        self.state = handle.getValueState("state", "value string, n long, since long, at long, timer long, waiting array<struct<at: long, value: string>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            self.waiting.appendList([(int(a), v) for a, v in zip(frame["at"], frame["value"], strict=True)])
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        fresh = [x for frame in rows for x in zip(frame["at"].tolist(), frame["value"].tolist(), strict=True)]
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), [], expiredTimerInfo.getExpiryTimeInMs())
 
-    def _advance(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key, watermark_ms: int, fresh: list, expired: int | None = None) -> Iterator[pd.DataFrame]:
         mark = watermark_ms * 1000
-        waiting = sorted((tuple(x) for x in self.waiting.get()), key=lambda x: (x[0], x[1] is not None, x[1] or "")) if self.waiting.exists() else []
+        value, n, since, last, timer, waiting = self.state.get() or (None, 0, 0, 0, None, [])
+        waiting = sorted([*map(tuple, waiting), *fresh], key=lambda x: (x[0], x[1] is not None, x[1] or ""))
         due = [x for x in waiting if x[0] <= mark]
         left = waiting[len(due) :]
-        run = tuple(self.run.get()) if self.run.exists() else None
         out = []
-        for at, value in due:
-            if run is None or run[0] != value or at - run[3] > self.idle:
-                run = (value, 0, at, at)
-            run = (value, run[1] + 1, run[2], at)
-            if run[1] == self.least:
-                out.append((key[0], value, run[2], at))
-        if due:
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if run is not None and not left and run[3] + self.idle <= mark:
-            self.run.clear()
+        for at, v in due:
+            if n == 0 or value != v or at - last > self.idle:
+                value, n, since = v, 0, at
+            n, last = n + 1, at
+            if n == self.least:
+                out.append((key[0], v, since, at))
+        forgotten = not left and (n == 0 or last + self.idle <= mark)
+        # wakes up when the watermark reaches the next observation, or when the key has been idle for long enough
+        wake = None if forgotten else max(-(-(left[0][0] if left else last + self.idle) // 1000), watermark_ms + 1)
+        if timer is not None and timer not in (wake, expired):  # Spark deletes the one that expired
+            self.handle.deleteTimer(timer)
+        if wake is not None and wake != timer:
+            self.handle.registerTimer(wake)
+        if forgotten:
+            self.state.clear()
         else:
-            if run is not None and due:
-                self.run.update(run)
-            # wakes up when the watermark reaches the next observation, or when the key has been idle for long enough
-            next_at = left[0][0] if left else run[3] + self.idle
-            self.handle.registerTimer(max(-(-next_at // 1000), watermark_ms + 1))
+            self.state.update((value, n, since, last, wake, left))
         if out:
             yield pd.DataFrame(out, columns=["key", "value", "since", "at"])
 
