@@ -21,7 +21,7 @@ def indexed(texts, ids=None):
 
 
 def test_an_index_row_is_no_longer_than_a_slice(monkeypatch):
-    monkeypatch.setattr(bm25_search, "SLICE", 1_000)
+    monkeypatch.setattr(bm25_search, "ROW_BYTES", 1_000)
     rows = indexed([f"word{i} and {'more ' * (i % 9)}text" for i in range(400)])
     assert sum(len(r.column("ids")[0]) for r in rows) == 400
     assert len(rows) >= 10 and max(r.column("size")[0].as_py() for r in rows) < 10_000
